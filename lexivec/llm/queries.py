@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import quality
+from lexivec.llm import near_dup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,9 @@ SELECT *, NOT base_failed
   AND 100 * n_stop_words >= 6 * n_words
   AND 100 * n_dup_lines <= 45 * n_lines AS kept
 FROM b""".replace("{stop}", ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS)))
+
+
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: class_id (smallest doc_id of its component) and the number of documents it links to."""
+    return near_dup.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
