@@ -56,3 +56,26 @@ def materialize(df: DataFrame, *keys: str) -> DataFrame:
 def partitions_of(df: DataFrame) -> int:
     """The number of partitions that the session shuffles into."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def running_sums(values: Column) -> Column:
+    """For an array of numbers, the sums of what comes before each: [0, v0, v0 + v1, ...], one more than values.
+
+    Works in blocks of the square root of the length, as arrays can only be appended to by copying them."""
+    zero = F.array(F.lit(0).cast("bigint"))
+
+    def appended(of: Column, last: Callable[[Column], Column]) -> Column:
+        return F.aggregate(of, zero, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + last(x))))
+
+    def cut(n: Column) -> Column:
+        width = F.ceil(F.sqrt(n)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), n, width), lambda s: appended(F.slice(values, s, width), lambda x: x))
+        return let(
+            blocks,
+            lambda b: F.concat(
+                F.flatten(F.zip_with(b, F.slice(appended(b, lambda x: F.element_at(x, -1)), F.lit(1), F.size(b)), lambda x, o: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y + o))),
+                F.array(F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)),
+            ),
+        )
+
+    return F.when(F.size(values) == 0, zero).otherwise(cut(F.size(values)))

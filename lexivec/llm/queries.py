@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import near_dup, quality
+from lexivec.llm import near_dup, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,10 @@ FROM b""".replace("{stop}", ", ".join(f"'{w}'" for w in dict.fromkeys(quality.ST
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: class_id (smallest doc_id of its component) and the number of documents it links to."""
     return near_dup.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("bigint").alias(f"n_{k}") for r, k in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.show(F.col("base")), 256).alias("base_sha256"), pii.show(F.col("spans")).alias("spans"))
