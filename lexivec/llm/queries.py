@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import near_dup, pii, quality
+from lexivec.llm import mixing, near_dup, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -78,3 +84,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
     counts = [F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("bigint").alias(f"n_{k}") for r, k in enumerate(pii.BASE)]
     return found.select("doc_id", *counts, F.sha2(pii.show(F.col("base")), 256).alias("base_sha256"), pii.show(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each use of a document in the mix."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    rows = mixing.materialize(mixing.sized(docs, "doc_id"))
+    return mixing.schedule(rows).select("doc_id", "source", "n_tokens", "epoch", "block", "place")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer())
