@@ -1,6 +1,9 @@
-"""The named queries and their SQL."""
+"""All named queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from lexivec.plans import retrieval
+from lexivec.plans.registry import ORACLES, QUERIES
+from lexivec.plans.retrieval import flagship
+
+__all__ = ["ORACLES", "QUERIES", "flagship", "retrieval"]
