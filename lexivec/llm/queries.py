@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import archive, chat, html_crf, lz_fingerprint, mixing, near_dup, packing, pii, quality
+from lexivec.llm import archive, chat, html_crf, licenses, lz_fingerprint, mixing, near_dup, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,9 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)"""
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each license notice in a document, with its span, matched words and coverage."""
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
