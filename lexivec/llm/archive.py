@@ -50,12 +50,12 @@ def classify(pages: DataFrame) -> DataFrame:
     return keyed.join(first, keyed["payload_digest"] == first["d"], "left").withColumn("refers_to", refers).drop("d", "first")
 
 
-def record(page_id, url: str | None, html: str, digest: str, refers_to) -> bytes:
-    """One record, compressed by itself. A revisit keeps the HTTP head, and so the payload's length, without the payload."""
+def record(page_id: str | None, url: str | None, html: str, digest: str, refers_to: str | None) -> bytes:
+    """One record, compressed by itself; a null page_id is an empty name. A revisit keeps the HTTP head, and so the payload's length, without the payload."""
     payload = html.encode("utf-8", "surrogatepass")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id or ''}>", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=''':/?#[]@!$&'()*+,;=%~''')}")
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
@@ -99,9 +99,9 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         package, done = None, []
         for pdf in batches:
-            for ids, url, html, digest in pdf.itertuples(index=False, name=None):
+            for page_id, refers_to, url, html, digest in pdf.itertuples(index=False, name=None):
                 package = package or Package(folder)
-                package.add(ids["page_id"], record(ids["page_id"], url, html, digest, ids["refers_to"]))
+                package.add(page_id, record(page_id, url, html, digest, refers_to))
                 if package.size >= package_bytes:
                     done.append(package.close())
                     package = None
@@ -109,7 +109,7 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
             done.append(package.close())
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
-    rows = classify(pages).select(F.struct("page_id", "refers_to").alias("ids"), "url", "html", "payload_digest")
+    rows = classify(pages).select(F.col("page_id").cast("string").alias("page_id"), F.col("refers_to").cast("string").alias("refers_to"), "url", "html", "payload_digest")
     return materialize(rows.mapInPandas(run, "path string, records bigint, bytes bigint"))
 
 
@@ -201,9 +201,9 @@ def read_record(data: bytes) -> dict:
     length = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
     digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
 
-    def page(name: str) -> int | None:
+    def page(name: str) -> str | None:
         found = re.fullmatch(r"<urn:page:(.*)>", headers.get(name, ""))
-        return int(found[1]) if found and found[1] != "None" else None
+        return (found[1] or None) if found else None
 
     if headers["WARC-Type"] == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"{headers['WARC-Record-ID']} is damaged")
@@ -243,11 +243,12 @@ def read_records(places: DataFrame, payload: bool = False) -> DataFrame:
                 with fs.open_input_file(name) as source:
                     reader = ZipReader(source)
                     out += [read_record(reader.range(o, n)) for o, n in zip(part["offset"].tolist(), part["length"].tolist(), strict=True)]
-            yield pd.DataFrame({"ids": [{"page_id": r["page_id"], "refers_to": r["refers_to"]} for r in out], **{c: [r[c] for r in out] for c in columns if c not in ("page_id", "refers_to")}})
+            yield pd.DataFrame({c: [r[c] for r in out] for c in columns})
 
-    schema = "ids struct<page_id:bigint,refers_to:bigint>, url string, record_type string, payload_bytes bigint, payload_digest string" + ", payload binary" * payload
+    schema = "page_id string, url string, record_type string, refers_to string, payload_bytes bigint, payload_digest string" + ", payload binary" * payload
     dealt = places.repartition(partitions_of(places))
-    return dealt.mapInPandas(run, schema).select("ids.page_id", "url", "record_type", "ids.refers_to", *columns[4:])
+    ids = {c: F.col(c).cast("bigint") for c in ("page_id", "refers_to")}
+    return dealt.mapInPandas(run, schema).withColumns(ids)
 
 
 def round_trip(pages: DataFrame, payload: bool = False) -> DataFrame:

@@ -65,12 +65,12 @@ def encode_turns(turns: DataFrame, path: str) -> DataFrame:
                 content = enc.encode_ordinary(escape(text))
                 ids.append(np.array([*opening, *content, turn_end], np.int32))
                 lengths.append([len(opening), len(content), 1])
-            yield pd.DataFrame({"key": pdf["key"], "role": pdf["role"], "ids": ids, "lengths": lengths})
+            yield pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"], "role": pdf["role"], "ids": ids, "lengths": lengths})
 
-    kinds = {c: turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    rows = turns.select(F.struct("conv_id", "turn").alias("key"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInPandas(run, f"key struct<conv_id:{kinds['conv_id']},turn:{kinds['turn']}>, role string, ids array<int>, lengths array<int>")
-    return out.select("key.conv_id", "key.turn", "role", "ids", "lengths")
+    keys = [F.col(c).cast("string").alias(c) for c in ("conv_id", "turn")]
+    rows = turns.select(*keys, F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    out = rows.mapInPandas(run, "conv_id string, turn string, role string, ids array<int>, lengths array<int>")
+    return out.select(*[F.col(c).cast(turns.schema[c].dataType).alias(c) for c in ("conv_id", "turn")], "role", "ids", "lengths")
 
 
 def assemble(turns: DataFrame, path: str) -> DataFrame:
@@ -80,7 +80,6 @@ def assemble(turns: DataFrame, path: str) -> DataFrame:
     Turns are encoded where they lie and then dealt by conversation; a task passes over its conversations turn by turn
     and holds a chunk, so that a conversation can be of any length. Equal turn numbers go by role and tokens, null turns
     and conversations first; null roles and texts are empty."""
-    kind = turns.schema["conv_id"].dataType.simpleString()
     ordered = encode_turns(turns, path).repartition(partitions_of(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,8 +117,8 @@ def assemble(turns: DataFrame, path: str) -> DataFrame:
         if begun:
             yield pd.DataFrame(rows(True), columns=["conv_id", "chunk", "start", "ids", "loss"])
 
-    out = ordered.select(F.struct("conv_id").alias("conv_id"), "role", "ids", "lengths").mapInPandas(run, f"conv_id struct<conv_id:{kind}>, chunk int, start bigint, ids array<int>, loss array<tinyint>")
-    return out.withColumn("conv_id", F.col("conv_id.conv_id"))
+    out = ordered.select(F.col("conv_id").cast("string").alias("conv_id"), "role", "ids", "lengths").mapInPandas(run, "conv_id string, chunk int, start bigint, ids array<int>, loss array<tinyint>")
+    return out.withColumn("conv_id", F.col("conv_id").cast(turns.schema["conv_id"].dataType))
 
 
 class Reader:
@@ -157,7 +156,6 @@ class Reader:
 def digests(chunks: DataFrame, path: str) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) read back from assemble()'s rows, which
     must come straight from it: it leaves each conversation's chunks together and in order."""
-    kind = chunks.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(path)
@@ -184,6 +182,6 @@ def digests(chunks: DataFrame, path: str) -> DataFrame:
         if state:
             yield pd.DataFrame([row()], columns=columns)
 
-    schema = f"conv_id struct<conv_id:{kind}>, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    out = chunks.select(F.struct("conv_id").alias("conv_id"), "ids", "loss").mapInPandas(run, schema)
-    return out.withColumn("conv_id", F.col("conv_id.conv_id"))
+    schema = "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    out = chunks.select(F.col("conv_id").cast("string").alias("conv_id"), "ids", "loss").mapInPandas(run, schema)
+    return out.withColumn("conv_id", F.col("conv_id").cast(chunks.schema["conv_id"].dataType))

@@ -178,7 +178,6 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
 
     start and end are code points of the text. A null or empty text has none; repeated rows each have theirs. Templates
     are a parameter of the job and go to the tasks with the code."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ["license", "start", "end", "matched", "template_words", "coverage"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,6 +186,6 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
             rows = [(i, *m) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for m in scanner.scan(t)]
             yield pd.DataFrame(rows, columns=["doc_id", *columns])
 
-    schema = f"doc_id struct<doc_id:{kind}>, license string, start bigint, end bigint, matched int, template_words int, coverage double"
-    out = docs.select(F.struct("doc_id").alias("doc_id"), text_of().alias("text")).mapInPandas(run, schema)
-    return out.withColumn("doc_id", F.col("doc_id.doc_id"))
+    schema = "doc_id string, license string, start bigint, end bigint, matched int, template_words int, coverage double"
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text")).mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

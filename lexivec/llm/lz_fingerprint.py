@@ -147,12 +147,11 @@ def edited_pairs(docs: DataFrame, size: int = SIZE) -> DataFrame:
     # Of rows with the first id of a part only the smallest text is its first row.
     tails = rows.withColumn("before", F.coalesce(*heads)).where("before is not null").groupBy("part", "before", "doc_id").agg(F.min("text").alias("text"))
     tails = tails.select("doc_id", "text", F.col("before").cast("int").alias("part"), F.lit(True).alias("tail"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = (
         rows.unionByName(tails)
         .repartition(max(partitions_of(docs), len(first)), "part")
         .sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "text")
-        .select(F.struct("doc_id").alias("doc_id"), "text", "part", "tail")
+        .select(F.col("doc_id").cast("string").alias("doc_id"), "text", "part", "tail")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,5 +184,5 @@ def edited_pairs(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     held = (doc_id, text, p)
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    schema = f"doc_id struct<doc_id:{kind}>, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id.doc_id"))
+    schema = "doc_id string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return dealt.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

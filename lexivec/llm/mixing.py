@@ -95,13 +95,13 @@ def schedule(sized: DataFrame, target: Target = Target(), block_tokens: int = BL
     per = sources.select(F.col("source").alias("of"), "tokens", "quota", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(1).cast("int").alias("full"))
 
     def order(*more: Column | str) -> Column:
-        return F.xxhash64(F.lit(seed), *more)
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *more), 1)
 
     uses = (
         sized.join(per, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("epoch", F.explode(F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0), F.col("full"))).otherwise(F.array(F.lit(0)))))
         .withColumn("h", order("epoch", "row_key"))
-        .withColumn("slice", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+        .withColumn("slice", F.shiftright("h", 63 - bits) if bits else F.lit(0).cast("bigint"))
     )
     per_slice = uses.groupBy("source", "epoch", "slice").agg(F.sum("n_tokens").alias("t"))
     before = Window.partitionBy("source", "epoch").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -123,10 +123,9 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
                 hashes.append(signer.sign(g) if len(g) else None)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "set_key": keys, "n_grams": sizes, "bands": hashes})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows_in = docs.select(F.struct("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_of().alias("text"))
-    signed = rows_in.mapInPandas(sign, f"doc_id struct<doc_id:{kind}>, text_hash bigint, set_key binary, n_grams int, bands array<bigint>")
-    return signed.withColumn("doc_id", F.col("doc_id.doc_id"))
+    rows_in = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_of().alias("text"))
+    signed = rows_in.mapInPandas(sign, "doc_id string, text_hash bigint, set_key binary, n_grams int, bands array<bigint>")
+    return signed.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def _overlaps(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
