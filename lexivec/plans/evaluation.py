@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexivec.config import DEFAULT
 from lexivec.functions import scores as S
 from lexivec.functions import text as T
-from lexivec.operators import calibrate, evaluate, ground, latency, retrieve, truth
+from lexivec.operators import calibrate, evaluate, ground, guard, latency, retrieve, truth
 from lexivec.plans import retrieval as R
 from lexivec.plans.registry import query, table
 from lexivec.sources import corpus
@@ -419,22 +419,17 @@ def q_event_order(spark: SparkSession, sf: str) -> DataFrame:
 
 # Guardrails
 
-EMAIL, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\+[0-9][0-9 ().-]{7,}[0-9]"
-INJECTION = r"(?i)ignore (?:all |any )?(?:previous|prior|above) instructions|disregard the (?:system|above)|reveal (?:the|your) (?:system )?prompt|you are now"
+EMAIL, PHONE, INJECTION = guard.EMAIL, guard.PHONE, guard.INJECTION
 
 
 @query(f"""WITH r AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g'), '{PHONE}', '<PHONE>', 'g') AS red FROM documents)
 SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}'))::BIGINT AS n_emails, len(regexp_extract_all(text, '{PHONE}'))::BIGINT AS n_phones, sha256(red) AS redacted_sha256 FROM r""")
 def q_pii_redact(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    red = F.regexp_replace(F.regexp_replace(t, EMAIL, "<EMAIL>"), PHONE, "<PHONE>")
-    return table(spark, sf, "documents").select("doc_id", F.regexp_count(t, F.lit(EMAIL)).cast("bigint").alias("n_emails"), F.regexp_count(t, F.lit(PHONE)).cast("bigint").alias("n_phones"), F.sha2(red, 256).alias("redacted_sha256"))
+    emails, phones = guard.contact_counts(t)
+    return table(spark, sf, "documents").select("doc_id", emails.alias("n_emails"), phones.alias("n_phones"), F.sha2(guard.masked(t), 256).alias("redacted_sha256"))
 
 
 @query(f"SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '{INJECTION}')) AS flagged, round(avg(regexp_matches(text, '{INJECTION}')::INT), 6) AS rate, avg(regexp_matches(text, '{INJECTION}')::INT) <= 0.01 AS passes FROM conversations GROUP BY 1")
 def q_injection_rate(spark: SparkSession, sf: str) -> DataFrame:
-    hit = F.col("text").rlike(INJECTION)
-    rate = F.avg(hit.cast("int"))
-    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(hit).alias("flagged"), r6(rate).alias("rate"), (rate <= 0.01).alias("passes"))
-
-
+    return guard.flag_rate(table(spark, sf, "conversations"), guard.injected(F.col("text")), "role", 0.01)

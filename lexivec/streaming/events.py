@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from lexivec.config import DEFAULT
+from lexivec.functions import text as T
 
 
 def assembled_text(parts: DataFrame) -> DataFrame:
@@ -79,3 +80,22 @@ def latency_windows(samples: DataFrame, width: str = "1 minute", delay: str = "1
     """(start, stage, n, p95) of a stream (ts, stage, value) in tumbling windows, once the watermark has passed them."""
     grouped = samples.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "stage")
     return grouped.agg(F.count("*").alias("n"), F.percentile_approx("value", 0.95, 1000).alias("p95")).select(F.col("w.start").alias("start"), "stage", "n", "p95")
+
+
+def log_entries(answers: DataFrame) -> DataFrame:
+    """(user, request_id, chunk_ids, retrieve_ms, rerank_ms, generate_ms, n_citations, outcome) of answered requests
+    (user, request_id, retrieved: array<struct<chunk_id, ...>>, latency_ms, citations, text)."""
+    times = [F.bround(F.col("latency_ms")[c], 1).alias(f"{c}_ms") for c in ("retrieve", "rerank", "generate")]
+    return answers.select(
+        "user", "request_id", F.transform("retrieved", lambda c: c["chunk_id"]).alias("chunk_ids"), *times, F.size("citations").alias("n_citations"), T.outcome(F.col("text")).alias("outcome")
+    )
+
+
+def log_sink(answers: DataFrame, folder: str):
+    """A started query that appends the log entries of a stream of answers; each batch is a folder of its own, so that one
+    that runs again replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        log_entries(batch).write.mode("overwrite").json(f"{folder}/log/batch={number}")
+
+    return answers.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

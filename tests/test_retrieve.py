@@ -120,3 +120,15 @@ def test_chunks(spark):
     with pytest.raises(ValueError):
         chunk.recursive_chunks(docs, Config(chunk_strategy="semantic"))
     assert tuple(chunk.chunk_stats(spark.createDataFrame([], "token_count int")).first()) == (0, 0.0, 0, 0)
+
+
+def test_retriever_objects(tables):
+    from lexivec.operators.retrievers import Dense, Ensemble, Sparse
+
+    asked = tables["questions"].join(tables["question_vectors"], "qid")
+    dense, sparse = Dense(tables["vectors"]), Sparse(tables["chunks"])
+    fused = Ensemble(dense, sparse).search(asked, 4).collect()
+    assert len(fused) == 12 and {r["rank"] for r in fused} == {1, 2, 3, 4} and max(r["score"] for r in fused) <= 1 / 61 + 1e-9
+    assert sparse.documents(asked, tables["chunks"], 2).count() == 6
+    only = Ensemble(dense, sparse, (1.0, 0.0)).search(asked, 3)
+    assert {(r["qid"], r["key"]) for r in only.collect()} == {(r["qid"], r["key"]) for r in dense.search(asked, 3).collect()}

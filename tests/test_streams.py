@@ -34,3 +34,11 @@ def test_rate_limit_stream(spark, tmp_path):
 
 def test_single_files_are_streams(spark):
     assert streams.stream(spark, "/root/testdata/sf0.001", "events").isStreaming
+
+
+def test_log_sink(spark, tmp_path):
+    ddl = "user string, request_id long, retrieved array<struct<chunk_id string>>, latency_ms struct<retrieve double, rerank double, generate double>, citations array<string>, text string"
+    stream = folder(spark, tmp_path, [("u", 1, [("a#0",)], (1.25, 2.0, 3.06), ["a#0"], "It is so."), ("u", 2, [], (0.0, 0.0, 0.0), [], "I don't have enough information in the provided context to answer that.")], ddl)
+    E.log_sink(stream, str(tmp_path / "sink")).awaitTermination()
+    rows = {r["request_id"]: r for r in spark.read.json(str(tmp_path / "sink/log")).collect()}
+    assert (rows[1]["outcome"], rows[1]["n_citations"], rows[1]["retrieve_ms"], rows[2]["outcome"]) == ("answered", 1, 1.2, "abstained")
