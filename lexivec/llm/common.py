@@ -53,6 +53,27 @@ def materialize(df: DataFrame, *keys: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter that sieve() uses, in bitmaps of 32,768: at most 1 MB in all.
+SIEVE_BITS = 1 << 23
+
+
+def sieve(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key in the only column of keys, rows that surely have none); key and keys are hashes (bigint).
+
+    The sieve is a bitmap of fixed size, so it can be broadcast for any number of keys; as it fills, more rows have to be
+    looked up exactly. It saves the shuffle of the other rows."""
+    bits, bitmap, number = (fresh(f"lx_{x}", df) for x in ("bits", "bitmap", "number"))
+    place = F.pmod(F.col(keys.columns[0]), F.lit(SIEVE_BITS))
+    bitmaps = keys.groupBy(F.bitmap_bucket_number(place).alias(number)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(bitmap))
+    held = materialize(bitmaps)
+    here = df.withColumn(bits, F.pmod(key, F.lit(SIEVE_BITS)))
+    joined = here.join(F.broadcast(held), F.bitmap_bucket_number(F.col(bits)) == F.col(number), "left")
+    at = F.bitmap_bit_position(F.col(bits)).cast("int")
+    byte = F.conv(F.hex(F.col(bitmap).substr(F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), at % 8 + 1)) != 0, F.lit(False))
+    return joined.where(hit).select(*df.columns), joined.where(~hit).select(*df.columns)
+
+
 def partitions_of(df: DataFrame) -> int:
     """The number of partitions that the session shuffles into."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

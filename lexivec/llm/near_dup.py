@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexivec.llm.common import fresh, materialize, text_of
+from lexivec.llm.common import fresh, materialize, sieve, text_of
 from lexivec.llm.graphs import components
 
 WORDS = 5
@@ -231,7 +231,8 @@ def _verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: fl
             yield pd.DataFrame({"set_key": keys, "grams": [g.view(np.int64) for g in grams]})
 
     firsts = members.select(F.col("first_id").alias("wanted")).distinct()
-    texts = docs.select("doc_id", "text").join(firsts, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    near, _ = sieve(docs.select("doc_id", "text"), F.xxhash64("doc_id"), firsts.select(F.xxhash64("wanted").alias("key")))
+    texts = near.join(firsts, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     grams = texts.select(text_of().alias("text")).mapInPandas(shingle, "set_key binary, grams array<bigint>")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -279,12 +280,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     marks = materialize(marks)
     h, d, stays, times, other = (fresh(f"lx_{x}", docs) for x in ("hash", "id", "stays", "times", "other"))
     marks = marks.select(F.col("d").alias(d), F.col("h").alias(other), F.col("stays").alias(stays), F.col("times").alias(times))
-    kept = docs.withColumn(h, F.xxhash64(F.col("text")))
+    hashed = docs.withColumn(h, F.xxhash64(F.col("text")))
+    gone = marks.where(~F.col(stays) | (F.col(times) > 1))
+    maybe, clear = sieve(hashed, F.xxhash64("doc_id", h), gone.select(F.xxhash64(d, other).alias("key")))
 
     def against(which: DataFrame, how: str) -> DataFrame:
-        return kept.join(which, kept["doc_id"].eqNullSafe(which[d]) & (kept[h] == which[other]), how)
+        return maybe.join(which, maybe["doc_id"].eqNullSafe(which[d]) & (maybe[h] == which[other]), how)
 
-    out = against(marks.where(~F.col(stays) | (F.col(times) > 1)), "left_anti")
+    out = clear.unionByName(against(gone, "left_anti"))
     repeated = marks.where(F.col(stays) & (F.col(times) > 1))
     if not repeated.isEmpty():
         out = out.unionByName(against(repeated, "left_semi").dropDuplicates(["doc_id", h]))
