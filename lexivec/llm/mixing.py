@@ -122,11 +122,14 @@ def sized(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, target: Target = Target(), block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
-    """docs with each row as often as the mix uses it, at least once, written block by block in the order of the mix.
+    """docs with each row as often as the mix uses it, at least once.
+
+    Each partition holds a part of every block, block after block and in the order of the mix, so files that are read side
+    by side give the blocks. Texts are shuffled once.
 
     Rows are matched by doc_id and a hash of the whole row; rows that are equal are matched once and used as often as
     all of them together."""
-    key, of, row, times, block, place = (fresh(f"lx_{x}", docs) for x in ("key", "of", "row", "times", "block", "place"))
+    key, of, row, block, place = (fresh(f"lx_{x}", docs) for x in ("key", "of", "row", "block", "place"))
     rows = materialize(sized(docs, "doc_id"))
     uses = schedule(rows, target, block_tokens, seed).select(F.col("doc_id").alias(of), F.col("row_key").alias(row), F.col("block").alias(block), F.col("place").alias(place))
     keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
@@ -140,4 +143,4 @@ def mix(docs: DataFrame, target: Target = Target(), block_tokens: int = BLOCK_TO
         single = keyed.join(again, same(keyed, again), "left_anti")
         keyed = single.unionByName(keyed.join(again, same(keyed, again), "left_semi").dropDuplicates(["doc_id", key]))
     out = keyed.join(uses, same(keyed, uses))
-    return out.repartition(block).sortWithinPartitions(block, place).select(*docs.columns)
+    return out.sortWithinPartitions(block, place).select(*docs.columns)
