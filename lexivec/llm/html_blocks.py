@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
-#: Fixed lists of the HTML standard: elements that break text into blocks, that have no content, and whose content is no text.
+#: Fixed lists of the HTML standard: elements that break text into blocks, that have no content, whose content is no markup, and whose content is no text.
 BLOCK_TAGS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe "
     "legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID_TAGS = {"hr"}
-SKIPPED_TAGS = "script|style|noscript|template|svg|math|object|canvas|audio|video"
+RAW_TAGS = "script|style"
+SKIPPED_TAGS = "noscript|template|svg|math|object|canvas|audio|video"
 #: An open element of the first name is closed by the start of one of the others.
 CLOSED_BY = {
     "p": BLOCK_TAGS - {"button", "option", "optgroup", "legend", "caption"},
@@ -27,8 +29,12 @@ CLOSED_BY = {
 }
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{SKIPPED_TAGS})\b[^>]*(?:/>|>.*?(?:</(?P=skip)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'<>])*+)>|<[!?/][^>]*>", re.S | re.I
-)
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TAGS})(?=[\s/>])[^>]*(?:/>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))|<(?P<skip>{SKIPPED_TAGS})(?=[\s/>])(?P<rest>(?:\"[^\"<]*\"|'[^'<]*'|[^\"'<>])*+>|[^>]*>)"
+    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'<>])*+)>|<[!?/][^>]*>", re.S | re.I
+)
+_SKIPPED = frozenset(SKIPPED_TAGS.split("|"))
+_SKIP = re.compile(rf"<(?:{SKIPPED_TAGS})[\s/>]", re.I)
+_NOSCRIPT = re.compile(r"<(/?)noscript(?=[\s/>])[^>]*>", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -48,6 +54,41 @@ def names(attrs: str) -> frozenset[str]:
     return frozenset(_PART.findall(_CAMEL.sub(r"\1 \2", found).lower()))
 
 
+def skipped(page: str) -> dict[int, int]:
+    """The start and end of each outermost skipped element that is closed before what it lies in; one that is not closed
+    loses only its tag, as all that follows would go with it. What is inside noscript are no tags."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    at = 0
+
+    def pop() -> tuple[str, int]:
+        opened[stack[-1][0]] -= 1
+        return stack.pop()
+
+    for m in _TOKEN.finditer(page):
+        if m.start() < at:
+            continue
+        tag = (m["skip"] or m["tag"] or "").lower()
+        if tag == "noscript":
+            end = not m["close"] and not (m["rest"] or "").endswith("/>") and _NOSCRIPT.search(page, m.end())
+            if end and end[1]:
+                ends[m.start()] = at = end.end()
+        elif m["close"]:
+            if opened[tag]:
+                while (last := pop())[0] != tag:
+                    pass
+                if tag in _SKIPPED:
+                    ends[last[1]] = m.end()
+        elif tag in _SKIPPED or tag in BLOCK_TAGS:
+            while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
+                pop()
+            if tag not in VOID_TAGS and not (m["rest"] or m["attrs"] or "").rstrip(" >").endswith("/"):
+                stack.append((tag, m.start()))
+                opened[tag] += 1
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in page order; those without text are left out."""
     out: list[Block] = []
@@ -68,10 +109,13 @@ def blocks(page: str) -> list[Block]:
             parts.append(text)
             linked += len(text.strip()) * in_link
 
+    ends = skipped(page) if _SKIP.search(page) else {}
     at = 0
     for m in _TOKEN.finditer(page):
+        if m.start() < at:
+            continue
         say(page[at : m.start()])
-        at = m.end()
+        at = ends.get(m.start(), m.end())
         tag = (m["tag"] or "").lower()
         if not tag:
             continue

@@ -75,7 +75,7 @@ def featurize(page: list[Block]) -> np.ndarray:
             on.append(_AT["ends a sentence"])
         if "©" in b.text or "copyright" in b.text.lower():
             on.append(_AT["copyright"])
-        if not any(c.isalpha() for c in b.text[:200]):
+        if not any(c.isalpha() for c in b.text):
             on.append(_AT["no letters"])
         row[on] = 1
     if len(x):

@@ -18,6 +18,31 @@ def test_blocks():
     assert len(blocks("<div>" * 5000 + "deep")[0].path) == 5000 and blocks("<a '" * 50_000)
 
 
+def test_custom_and_unclosed_elements():
+    said = lambda page: [b.text for b in blocks(page)]
+    for tag in ("svg-icon", "video-js", "audio-player", "object-view", "style-guide", "script-box"):
+        assert said(f"<p>One <{tag} a='>'></{tag}>two.</p><p>Three.</p>") == ["One two.", "Three."]
+    for tag in ("svg", "math", "object", "canvas", "audio", "video", "noscript", "template"):
+        assert said(f"<div><{tag} src=x></div><article><p>One.</p><p>Two.</p></article>") == ["One.", "Two."]
+        assert said(f"<div><{tag} src=x></div><p>One.</p><{tag} src=y><p>other</p></{tag}><p>Two.</p>") == ["One.", "Two."]
+        assert said(f"<p>One <{tag} a='x>y'><title>no</title><p>no</p></{tag}>two <{tag}/>three</p>") == ["One two three"]
+    assert said("<object>a<object>b</object>c</object><noscript></p></div>d</noscript>e<svg><math>f</svg>g") == ["eg"]
+    assert said("<p>a<script>b</script x>c<style>d") == ["ac"]
+    assert len(blocks("<video><p>x" * 20_000)) == 20_000 == len(blocks("<noscript><p>x" * 20_000))
+
+
+def test_letters_far_into_a_block():
+    rows = html_crf.featurize(blocks(f"<p>{'1 ' * 150}words</p><p>{'1 ' * 150}</p>"))
+    assert rows[:, html_crf.FEATURES.index("no letters")].tolist() == [0, 1]
+
+
+def test_article_with_custom_and_unclosed_elements():
+    field = html_crf.default_field()
+    for broken in ("<svg-icon></svg-icon>", '<div><video src="x"></div>', '<video src="x">'):
+        page = PAGE.replace("<h1>", f"{broken}<h1>")
+        assert page != PAGE and html_crf.main_text(page, field) == html_crf.main_text(PAGE, field) != ""
+
+
 def test_held_out_accuracy():
     field, wrong, total = html_crf.default_field(), 0, 0
     for page, labels in labelled_pages(200, seed=77):
