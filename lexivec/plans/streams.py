@@ -31,4 +31,5 @@ def s_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def s_latency_window(spark: SparkSession, sf: str) -> DataFrame:
-    return E.run_available(E.latency_windows(stream(spark, sf, "events").select("ts", F.col("event_type").alias("stage"), "value")))
+    """Every window of the events, the open ones too."""
+    return E.run_latest(E.latency_windows(stream(spark, sf, "events").select("ts", F.col("event_type").alias("stage"), "value")), ["start", "stage"])

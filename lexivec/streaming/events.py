@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from lexivec.config import DEFAULT
 from lexivec.functions import text as T
+from lexivec.operators.evaluate import last_written
 
 
 def assembled_text(parts: DataFrame) -> DataFrame:
@@ -43,6 +44,21 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def run_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """What an aggregated stream yields from all input there is, with the groups that are still open: the last row of each key."""
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    # An empty batch, as a stream without input has none.
+    write(spark.createDataFrame([], stream.schema), -1)
+    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(stream.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    return last_written(rows, keys, "batch").select(*stream.columns)
+
+
 def answer_events(requests: DataFrame) -> DataFrame:
     """(request_id, seq, event, data) of requests (request_id, payload, text): retrieved, a token for each word, done."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
@@ -77,7 +93,8 @@ def limit_stream(requests: DataFrame, limit: int = DEFAULT.rate_limit, delay: st
 
 
 def latency_windows(samples: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """(start, stage, n, p95) of a stream (ts, stage, value) in tumbling windows, once the watermark has passed them."""
+    """(start, stage, n, p95) of a stream (ts, stage, value) in tumbling windows. In append mode a window comes once the
+    watermark has passed it; run_latest also returns those that are open when the input ends."""
     grouped = samples.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "stage")
     return grouped.agg(F.count("*").alias("n"), F.percentile_approx("value", 0.95, 1000).alias("p95")).select(F.col("w.start").alias("start"), "stage", "n", "p95")
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lexivec.plans import streams
 from lexivec.streaming import events as E
 
@@ -32,6 +34,39 @@ def test_rate_limit_stream(spark, tmp_path):
     assert len(out) == 71 and allowed == [*range(20), *range(60, 70), 100]
 
 
+def test_all_latency_windows(spark, tmp_path):
+    import datetime as dt
+    import random
+    from collections import defaultdict
+
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(start + dt.timedelta(seconds=rng.randint(0, 3600)), rng.choice("ab"), float(rng.randint(0, 99))) for _ in range(400)]
+    rows += [(start + dt.timedelta(seconds=3600 + rng.randint(0, 300)), "a", float(rng.randint(0, 99))) for _ in range(200)]
+    want = defaultdict(list)
+    for ts, stage, value in rows:
+        want[int(ts.timestamp()) // 60, stage].append(value)
+    want = {k: (len(v), sorted(v)[-(-95 * len(v) // 100) - 1]) for k, v in want.items()}
+    for f in range(2):
+        spark.createDataFrame(rows[f::2], "ts timestamp, stage string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("ts timestamp, stage string, value double")
+    for reader in (source, spark.readStream.schema("ts timestamp, stage string, value double").option("maxFilesPerTrigger", 1)):
+        windows = E.latency_windows(reader.parquet(str(tmp_path / "in")), delay="2 hours")
+        got = E.run_latest(windows, ["start", "stage"])
+        assert got.columns == ["start", "stage", "n", "p95"]
+        assert {(int(r["start"].timestamp()) // 60, r["stage"]): (r["n"], r["p95"]) for r in got.collect()} == want
+    spark.createDataFrame([], "ts timestamp, stage string, value double").write.parquet(str(tmp_path / "none"))
+    assert E.run_latest(E.latency_windows(source.parquet(str(tmp_path / "none"))), ["start", "stage"]).count() == 0
+    assert E.run_available(E.latency_windows(source.parquet(str(tmp_path / "in")))).count() < len(want)
+
+
+def test_registered_latency_windows_hold_every_event(spark):
+    sf = "/root/testdata/sf0.001"
+    got = streams.s_latency_window(spark, sf)
+    want = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.date_trunc("minute", "ts").alias("start"), F.col("event_type").alias("stage")).agg(F.count("*").alias("n"))
+    rows = lambda df: sorted(map(tuple, df.select(F.unix_timestamp("start"), "stage", "n").collect()))
+    assert rows(got) == rows(want.withColumn("start", F.col("start").cast("timestamp")))
+
+
 def test_single_files_are_streams(spark):
     assert streams.stream(spark, "/root/testdata/sf0.001", "events").isStreaming
 
