@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lexivec.operators.evaluate import value_counts
 
 
 def average_ranks(rows: DataFrame, value: str, into: str) -> DataFrame:
-    """rows with the rank of value, ties sharing the mean of theirs. Ranks are counted from the distinct values, of which
-    one running sum is made; labels and rounded scores have few."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.select(value, (before + (F.col("_n") + 1) / 2).alias(into)), value)
+    """rows with the rank of value, ties sharing the mean of theirs. Ranks are counted from the distinct values."""
+    ranks = value_counts(rows, value, [])
+    return rows.join(ranks.select(value, (F.col("before") + (F.col("n") + 1) / 2).alias(into)), value)
 
 
 def pearson(x: Column | str, y: Column | str) -> Column:

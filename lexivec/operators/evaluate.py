@@ -58,6 +58,35 @@ def subset(items: DataFrame, n: int | None, order: str) -> DataFrame:
     return placed if wanted is None else placed.where(F.col("position").isin(wanted))
 
 
+def slice_of(value: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are under the value, by halving; 0 for null."""
+    if not cuts:
+        return F.lit(0)
+    at_cut = F.array(*[F.lit(c) for c in cuts])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(at_cut, at + step - 1) < value, at + step).otherwise(at))
+
+
+def value_counts(rows: DataFrame, value: str, by: list[str], slice_rows: int = 100_000) -> DataFrame:
+    """(by, value, n, before): the rows of each distinct number in its group, and those of the smaller ones.
+
+    Sums run within slices of the values' range (at most 1000) and over the sums of slices, so that no task sees all."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
+    found = counts.agg(F.count("*").alias("n"), F.percentile_approx(value, [k / 1000 for k in range(1, 1000)], 10_000).alias("cuts")).first()
+    parts = min(1000, math.ceil(found["n"] / slice_rows))
+    cuts = sorted({found["cuts"][k * 1000 // parts - 1] for k in range(1, parts)}) if found["cuts"] else []
+    dealt = counts.withColumn("_part", slice_of(F.col(value), cuts))
+    under = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("_inside", F.coalesce(F.sum("n").over(under), F.lit(0)))
+    if not cuts:
+        return inside.select(*by, value, "n", F.col("_inside").alias("before"))
+    earlier = Window.partitionBy(*[f"_{c}" for c in by]).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_slice")).agg(F.sum("n").alias("_sum"))
+    sums = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("_part") == F.col("_slice"))
+    return inside.join(sums, same).select(*by, value, "n", (F.col("_inside") + F.col("_offset")).alias("before"))
+
+
 def coerced(items: DataFrame) -> DataFrame:
     """items (faith, arel, crec, abstained) with numbers in place of NaN and null."""
     return items.select(
@@ -114,13 +143,29 @@ def trends(run_means: DataFrame, order: str, config: Config = DEFAULT) -> DataFr
     return run_means.withColumn("delta", F.col("faithfulness") - before).withColumn("above", F.col("faithfulness") - F.lit(config.faithfulness_threshold))
 
 
+def _summary(items: DataFrame, by: str) -> tuple[DataFrame, list[Column]]:
+    shown = [F.struct("faithfulness", "answer_relevance", "context_recall").alias("means"), F.struct("retrieval_fail", "generation_fail").alias("attribution_counts")]
+    return means(items, by).join(attribution_counts(items, by), by), shown
+
+
 def exported(items: DataFrame, by: str) -> DataFrame:
     """(by, json): a run with its items, means and counts as one JSON document, nulls kept.
 
-    A run's items are a list in its row: an evaluation run is as long as its question set."""
+    A run's items are a list in its row, for runs that fit in one; exported_rows has no such bound."""
     rows = [c for c in items.columns if c != by]
-    runs = means(items, by).join(attribution_counts(items, by), by).join(items.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*rows))).alias("per_item")), by)
-    return runs.select(by, F.to_json(F.struct(by, "per_item", F.struct("faithfulness", "answer_relevance", "context_recall").alias("means"), F.struct("retrieval_fail", "generation_fail").alias("attribution_counts")), {"ignoreNullFields": "false"}).alias("json"))
+    runs, shown = _summary(items, by)
+    runs = runs.join(items.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*rows))).alias("per_item")), by)
+    return runs.select(by, F.to_json(F.struct(by, "per_item", *shown), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def exported_rows(items: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, key, json): a JSON row for each item of a run as exported has it in per_item, and one with null as key for the
+    run itself, with means and counts."""
+    rows = [c for c in items.columns if c != by]
+    runs, shown = _summary(items, by)
+    keep = {"ignoreNullFields": "false"}
+    heads = runs.select(by, F.lit(None).cast(items.schema[key].dataType).alias(key), F.to_json(F.struct(by, *shown), keep).alias("json"))
+    return items.select(by, key, F.to_json(F.struct(*rows), keep).alias("json")).unionByName(heads)
 
 
 def best_counted(items: DataFrame, by: str) -> DataFrame:
@@ -129,10 +174,17 @@ def best_counted(items: DataFrame, by: str) -> DataFrame:
 
 
 def ids_by_bucket(items: DataFrame, by: str, key: str) -> DataFrame:
-    """(by, attribution, n, ids) for the buckets of failures."""
+    """(by, attribution, n, ids) for the buckets of failures, each with its ids in one row; offenders has no such bound."""
     return items.where("attribution != 'pass'").groupBy(by, "attribution").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("ids"))
 
 
+def offenders(items: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, attribution, key, n): a row for each failure, and one with null as key for each bucket with its count."""
+    failed = items.where("attribution != 'pass'").select(by, "attribution", key)
+    counts = failed.groupBy(by, "attribution").agg(F.count("*").alias("n"))
+    return failed.withColumn("n", F.lit(None).cast("bigint")).unionByName(counts.withColumn(key, F.lit(None).cast(items.schema[key].dataType)))
+
+
 def judged_in_batches(rows: DataFrame, provider, schema: str) -> DataFrame:
     """rows through a provider of verdicts or answers: a function from an iterator of pandas frames to another.
 

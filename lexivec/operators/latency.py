@@ -7,14 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexivec.config import DEFAULT
+from lexivec.operators.evaluate import value_counts
+
+#: Of the percentiles in a summary.
+SHARES = (0.5, 0.95, 0.99)
+
+
+def percentiles(samples: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, p): exact percentiles at SHARES, linear between neighbours, looked up at their positions among counted values."""
+    counts = value_counts(samples.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v")), "_v", [by])
+    totals = counts.groupBy(F.col(by).alias("_by")).agg(F.sum("n").alias("_total"))
+    placed = counts.join(totals, F.col(by).eqNullSafe(F.col("_by")))
+
+    def at(k):
+        return F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("_v")))
+
+    places = [(F.col("_total") - 1) * F.lit(p) for p in SHARES]
+    ends = [c for p in places for c in (F.max(p), at(F.floor(p)), at(F.ceil(p)))]
+    found = placed.groupBy(by).agg(*[c.alias(f"_{i}") for i, c in enumerate(ends)])
+
+    def between(place, low, high):
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return found.select(by, F.array(*[between(*[F.col(f"_{3 * i + j}") for j in range(3)]) for i in range(len(SHARES))]).alias("p"))
 
 
 def summary(samples: DataFrame, by: str, value: str, exact: bool = True) -> DataFrame:
     """(by, n, mean, p50, p95, p99, min, max), linear between neighbours, to one digit.
 
-    The exact percentiles count distinct values before they are shuffled; exact=False takes an approximation."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))) if exact else F.percentile_approx(value, [0.5, 0.95, 0.99], 10_000)
-    s = samples.groupBy(by).agg(F.count(value).alias("n"), F.avg(F.col(value).cast("decimal(18,6)")).cast("double").alias("mean"), p.alias("p"), F.min(value).alias("min"), F.max(value).alias("max"))
+    exact=False takes approximate percentiles."""
+    more = [] if exact else [F.percentile_approx(value, list(SHARES), 10_000).alias("p")]
+    s = samples.groupBy(by).agg(F.count(value).alias("n"), F.avg(F.col(value).cast("decimal(18,6)")).cast("double").alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *more)
+    if exact:
+        s = s.join(percentiles(samples, by, value).withColumnRenamed(by, "_key"), F.col(by).eqNullSafe(F.col("_key")), "left")
 
     def one(c):
         return F.round(F.coalesce(c, F.lit(0.0)), 1)

@@ -259,7 +259,8 @@ def q_answer_relevance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_export_json(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.exported(classified(spark, sf).select("git_sha", "doc_id", "faith", "arel", "crec", "attribution"), "git_sha")
+    """A JSON row for each item, and one with null as doc_id for each run."""
+    return evaluate.exported_rows(classified(spark, sf).select("git_sha", "doc_id", "faith", "arel", "crec", "attribution"), "git_sha", "doc_id")
 
 
 @query(f"WITH {S_SQL} SELECT git_sha, round(faithfulness, 6) AS faithfulness, round(faithfulness - lag(faithfulness) OVER (ORDER BY git_sha), 6) AS delta, round(faithfulness - 0.8, 6) AS above FROM m")
@@ -282,6 +283,13 @@ def q_offenders(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.ids_by_bucket(classified(spark, sf), "git_sha", "doc_id").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
+@query(f"""WITH {S_SQL} SELECT git_sha, attribution, doc_id, NULL::BIGINT AS n FROM a WHERE attribution <> 'pass'
+UNION ALL SELECT git_sha, attribution, NULL, count(*) FROM a WHERE attribution <> 'pass' GROUP BY 1, 2""")
+def q_offender_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What q_offenders has as one row for each bucket, for any number of failures."""
+    return evaluate.offenders(classified(spark, sf), "git_sha", "doc_id")
+
+
 # Calibration
 
 

@@ -95,6 +95,55 @@ def test_percentiles(spark):
     assert (row["mean"], row["p50"], row["p95"], row["p99"], row["min"], row["max"]) == (5757.8, 5951.0, 7192.0, 7260.8, 4121.0, 7278.0)
 
 
+def test_values_are_counted_in_slices(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 5.0, 5.0, rng.uniform(-10, 10), float(rng.randint(0, 9))])) for _ in range(3000)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for size in (100_000, 300, 7):
+        got = evaluate.value_counts(df.where("v IS NOT NULL"), "v", ["k"], size)
+        want = {}
+        for k in ("a", "b", None):
+            vs = sorted(v for g, v in rows if g == k and v is not None)
+            want |= {(k, v): (vs.count(v), sum(x < v for x in vs)) for v in vs}
+        assert {(r["k"], r["v"]): (r["n"], r["before"]) for r in got.collect()} == want
+        windows = got._jdf.queryExecution().executedPlan().toString()
+        assert size == 100_000 or "_slice" in windows
+    old = {r["k"]: tuple(r["p"] or ()) for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p")).collect()}
+    assert {r["k"]: pytest.approx(tuple(r["p"])) for r in latency.percentiles(df, "k", "v").collect()} == {k: p for k, p in old.items() if p}
+    assert {r["k"]: (r["n"], r["p50"]) for r in latency.summary(df, "k", "v").collect()}["none"] == (0, 0.0)
+    assert latency.summary(df.limit(0), "k", "v").count() == 0
+
+
+def test_no_percentile_buffer_and_no_window_over_all(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("'a' AS k", "CAST(id AS double) AS v", "CAST(id % 7 AS double) AS w")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "percentile(" not in plan(latency.summary(rows, "k", "v"))
+    real = evaluate.value_counts
+    monkeypatch.setattr(calibrate, "value_counts", lambda rows, value, by: real(rows, value, by, 100))
+    got = calibrate.average_ranks(rows, "v", "r")
+    assert "_part" in plan(got) and got.where("r != v + 1").count() == 0 and got.count() == 5000
+    assert {(r["w"], r["r"]) for r in calibrate.average_ranks(rows, "w", "r").select("w", "r").collect()} == {(w, sum(x % 7 < w for x in range(5000)) + (sum(x % 7 == w for x in range(5000)) + 1) / 2) for w in range(7)}
+
+
+def test_exports_and_offenders_are_rows(spark):
+    rows = [("st"[i % 2], i, 0.5, 1.0, 1.0, [None, "pass", "retrieval_fail"][i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "git_sha string, doc_id long, faith double, arel double, crec double, attribution string")
+    whole = {r["git_sha"]: json.loads(r["json"]) for r in evaluate.exported(df, "git_sha").collect()}
+    made = {}
+    for r in sorted(evaluate.exported_rows(df, "git_sha", "doc_id").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"])):
+        if r["doc_id"] is None:
+            made[r["git_sha"]] = json.loads(r["json"]) | {"per_item": []}
+        else:
+            made[r["git_sha"]]["per_item"].append(json.loads(r["json"]))
+    assert made == whole
+    got = evaluate.offenders(df, "git_sha", "doc_id").collect()
+    assert sorted((r["git_sha"], r["doc_id"]) for r in got if r["n"] is None) == sorted((r[0], r[1]) for r in rows if r[5] == "retrieval_fail")
+    assert {(r["git_sha"], r["attribution"], r["n"]) for r in got if r["doc_id"] is None} == {("s", "retrieval_fail", 10), ("t", "retrieval_fail", 10)}
+    assert "collect_list" not in evaluate.exported_rows(df, "git_sha", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rate_limit(spark):
     rows = spark.createDataFrame([(1, i) for i in range(23)] + [(2, 99)], "client long, id long").withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:30")))
     got = latency.rate_limited(rows, "client", "ts", "id").orderBy("client", "id").collect()
