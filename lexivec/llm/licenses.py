@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0-only", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -34,6 +36,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("proprietary", "All rights reserved."),
 )
 
+#: A notice of the first name is one of the second if that one's own clause comes before the next notice of the first.
+WITH_CLAUSE = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Words in a fingerprinted gram, and grams in a winnowing window: every shared run of GRAM + WINDOW - 1 words is found.
 GRAM, WINDOW = 2, 2
 #: The least part of a template's words that an alignment must match.
@@ -113,6 +117,12 @@ def align(template: list[int], text: list[int], shift: int, band: int) -> tuple[
     return best
 
 
+def sure_run(n: int, coverage: float) -> int:
+    """Words of the longest run that is left for sure when a template of n words is matched as far as the coverage asks."""
+    least = next((m for m in range(1, n + 1) if m >= coverage * n), n)
+    return math.ceil(least / (n - least + 1))
+
+
 class Scanner:
     """Matches of templates in a text; holds the inverted index from fingerprints to places in templates."""
 
@@ -120,18 +130,22 @@ class Scanner:
         self.words, self.coverage = Words(), coverage
         self.names = [n for n, _ in templates]
         self.templates = [self.words(t.encode())[0] for _, t in templates]
-        # All grams of the templates are indexed; a text's are winnowed, and each run it shares leaves one of them.
+        # All grams of the templates are indexed; a text's are winnowed, and each run it shares leaves one of them. Templates
+        # of which changed words may leave no run that long have every gram looked up.
         self.index: dict[int, list[tuple[int, int]]] = {}
         for k, t in enumerate(self.templates):
             for q, g in enumerate(self.words.grams(t).tolist()):
                 self.index.setdefault(g, []).append((k, q))
         self.known = np.array(sorted(self.index), np.uint64)
+        short = [sure_run(len(t), coverage) < GRAM + WINDOW - 1 for t in self.templates]
+        self.every = np.array([any(short[k] for k, _ in self.index[g]) for g in self.known.tolist()], bool)
 
     def regions(self, grams: np.ndarray) -> Iterator[tuple[int, int]]:
         """(template, shift) of each place of a text where a template may stand."""
-        chosen = winnow(grams)
-        at = np.minimum(np.searchsorted(self.known, grams[chosen]), len(self.known) - 1)
-        hits = chosen[self.known[at] == grams[chosen]]
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        chosen = self.every[at]
+        chosen[winnow(grams)] = True
+        hits = np.flatnonzero(chosen & (self.known[at] == grams))
         live: dict[int, list[int]] = {}
         for p in hits.tolist():
             for k, q in self.index[int(grams[p])]:
@@ -163,12 +177,20 @@ class Scanner:
                 taken.append((a, b))
                 out.append((k, a, b, matched, -cover))
         out.sort(key=lambda m: m[1])
+        later: set[str] = set()
+        names = []
+        for k, *_ in reversed(out):
+            name = self.names[k]
+            more = WITH_CLAUSE.get(name)
+            names.append(more if more in later else name)
+            later.add(name)
+            later.discard(more)
         rows, byte, point = [], 0, 0
-        for k, a, b, matched, cover in out:
+        for (k, a, b, matched, cover), name in zip(out, reversed(names), strict=True):
             i, j = int(starts[a]), int(ends[b - 1])
             point += len(data[byte:i].decode("utf-8", "surrogatepass"))
             length = len(data[i:j].decode("utf-8", "surrogatepass"))
-            rows.append((self.names[k], point, point + length, matched, len(self.templates[k]), cover))
+            rows.append((name, point, point + length, matched, len(self.templates[k]), cover))
             byte, point = j, point + length
         return rows
 

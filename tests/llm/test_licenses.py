@@ -38,6 +38,31 @@ def test_changed_notices():
     assert s.scan("all the rights of the reserved are under the version of a license " * 30) == []
 
 
+def test_every_changed_or_deleted_word_of_short_notices():
+    s, rng = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE), random.Random(6)
+    for line in (t for t in LINES if 5 <= len(s.words(t.encode())[0]) <= 9):
+        words = line.split()
+        n = len(s.words(line.encode())[0])
+        for i in range(len(words)):
+            if len(s.words(words[i].encode())[0]) > 1:
+                continue
+            for new in (["an"], ["those"], []):
+                changed = words[:i] + new + words[i + 1 :]
+                for _ in range(20):
+                    around = ["".join(rng.choice("qxzjk") for _ in range(6)) for _ in range(6)]
+                    got = s.scan(" ".join([*around[:3], *changed, *around[3:]]))
+                    assert len(got) == 1 and got[0][3] >= licenses.COVERAGE * got[0][4], (n, changed, got)
+
+
+def test_bsd_clauses():
+    s = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    shared, own = (next(t for n, t in licenses.TEMPLATES if n == f"BSD-{k}-Clause") for k in (2, 3))
+    names = lambda text: [m[0] for m in s.scan(text)]
+    assert names(f"{shared}: a. b.") == ["BSD-2-Clause"]
+    assert names(f"{shared}: a. b. {own}. c") == ["BSD-3-Clause"] * 2
+    assert names(f"{shared}: a. {shared}: b. {own}. {shared}") == ["BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "BSD-2-Clause"]
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(3)
     for _ in range(50):
