@@ -127,6 +127,13 @@ def q_todo_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     return truth.undrafted(seeds(spark, sf), drafts, "pos", "pos", 10).select("pos", "question")
 
 
+@query("SELECT item_id AS pos, text AS question FROM benchmark WHERE item_id NOT IN (SELECT conv_id FROM conversations WHERE turn >= 3)")
+def q_todo_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All seeds without a draft; q_todo_antijoin has the first ten."""
+    drafts = table(spark, sf, "conversations").where("turn >= 3").select(F.col("conv_id").alias("pos")).distinct()
+    return truth.undrafted(seeds(spark, sf), drafts, "pos", "pos").select("pos", "question")
+
+
 @query(f"""WITH {R.BM25_SQL}, last AS (SELECT conv_id, arg_max(text, turn) AS draft FROM conversations WHERE role = 'assistant' GROUP BY 1)
 SELECT item_id, draft AS existing_draft, string_agg(doc_id || '#0000', ',' ORDER BY rank) AS candidates FROM benchmark LEFT JOIN last ON conv_id = item_id JOIN sparse USING (item_id) WHERE rank <= 6 GROUP BY ALL""")
 def q_assist(spark: SparkSession, sf: str) -> DataFrame:

@@ -212,6 +212,16 @@ def test_guard(spark):
     assert (pr["tp"], pr["fp"], pr["fn"], pr["precision"], pr["recall"]) == (2, 0, 0, 1.0, 1.0)
 
 
+def test_all_undrafted_seeds(spark):
+    from lexivec.plans import evaluation
+
+    sf = "/root/testdata/sf0.01"
+    drafts = {r[0] for r in spark.read.parquet(f"{sf}/conversations.parquet").where("turn >= 3").select("conv_id").collect()}
+    want = sorted({r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()} - drafts)
+    assert sorted(r["pos"] for r in evaluation.q_todo_all(spark, sf).collect()) == want
+    assert [r["pos"] for r in evaluation.q_todo_antijoin(spark, sf).collect()] == want[:10] and len(want) > 10
+
+
 def test_providers(spark):
     import pandas as pd
 
