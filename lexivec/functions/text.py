@@ -33,9 +33,9 @@ def strip(text: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """Unix line ends without page headers, page footers and form feeds, lines without trailing space, at most one blank
+    """Unix line ends without byte order marks, page headers, page footers and form feeds, lines without trailing space, at most one blank
     line in a row, and one line end at the end."""
-    unix = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n"), "\f", "")
+    unix = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\ufeff", ""), r"\r\n?", "\n"), "\f", "")
     lines = F.filter(F.split(unix, "\n", -1), lambda x: ~x.rlike(PAGE_FOOTER) & ~x.rlike(PAGE_HEADER))
     body = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), "\n")
     return F.concat(strip(F.regexp_replace(body, r"\n{3,}", "\n\n")), F.lit("\n"))

@@ -97,7 +97,7 @@ def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"), F.get("t", F.lit(0)).alias("first_token"))
 
 
-_SPLIT = "string_split(replace(regexp_replace(regexp_replace(text, '^\\x{FEFF}', ''), '\\r\\n?', chr(10), 'g'), chr(12), ''), chr(10))"
+_SPLIT = "string_split(replace(regexp_replace(regexp_replace(text, '\\x{FEFF}', '', 'g'), '\\r\\n?', chr(10), 'g'), chr(12), ''), chr(10))"
 _SPACE = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]"
 
 

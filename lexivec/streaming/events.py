@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +13,7 @@ from pyspark.sql.window import Window
 from lexivec.config import DEFAULT
 from lexivec.functions import text as T
 from lexivec.operators.evaluate import last_written
+from lexivec.sources.folders import new_folder
 
 
 def assembled_text(parts: DataFrame) -> DataFrame:
@@ -30,15 +29,9 @@ def order_violations(events: DataFrame) -> DataFrame:
     return events.withColumn("before", before).groupBy("request_id").agg(F.count_if(wrong).alias("violations"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir where it is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexivec-")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream yields from all input there is now, written and read as Parquet."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, new_folder(stream.sparkSession, "stream")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -46,7 +39,7 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def run_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
     """What an aggregated stream yields from all input there is, with the groups that are still open: the last row of each key."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, new_folder(stream.sparkSession, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")

@@ -22,6 +22,7 @@ def test_tokens(spark):
 def test_clean(spark):
     raw = "﻿Title  \r\n\r\n\r\n\r\nFielding            Standards Track      [Page 12]\n\f\nRFC 9110      HTTP Semantics      June 2022\nbody \nRFC 9110 is cited here in 2022, no header\r"
     assert ask(spark, T.clean, raw) == "Title\n\nbody\nRFC 9110 is cited here in 2022, no header\n"
+    assert ask(spark, T.clean, "a\ufeffb\n\ufeff\ufeffc\ufeff") == "ab\nc\n"
 
 
 def test_citations(spark):
