@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexivec.sources.folders import materialize
+
 #: ASCII white space, the separators of words throughout this subpackage.
 SPACES = " \t\n\x0b\f\r"
 
@@ -35,38 +35,22 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="lexivec-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, *keys: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts lineage and fixes the rows for all later readers."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexivec-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Bits of the filter that sieve() uses, in bitmaps of 32,768: at most 1 MB in all.
-SIEVE_BITS = 1 << 23
+#: Bits of the filter that sieve() uses for each key, and the most in all (32 MB), in bitmaps of 32,768 bits.
+SIEVE_KEY_BITS, SIEVE_BITS = 8, 1 << 28
 
 
 def sieve(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have a key in the only column of keys, rows that surely have none); key and keys are hashes (bigint).
+    """(rows that may have a key in the only column of keys, rows that surely have none); key and keys are hashes (bigint)
+    without nulls, of which repeated ones count once.
 
-    The sieve is a bitmap of fixed size, so it can be broadcast for any number of keys; as it fills, more rows have to be
-    looked up exactly. It saves the shuffle of the other rows."""
+    The sieve is a bitmap that grows with the number of keys, up to a size that can be broadcast; the more keys there are
+    beyond that, the more rows have to be looked up exactly. It saves the shuffle of the other rows."""
     bits, bitmap, number = (fresh(f"lx_{x}", df) for x in ("bits", "bitmap", "number"))
-    place = F.pmod(F.col(keys.columns[0]), F.lit(SIEVE_BITS))
+    size = min(SIEVE_BITS, max(1 << 15, 1 << (SIEVE_KEY_BITS * keys.count()).bit_length()))
+    place = F.pmod(F.col(keys.columns[0]), F.lit(size))
     bitmaps = keys.groupBy(F.bitmap_bucket_number(place).alias(number)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(bitmap))
     held = materialize(bitmaps)
-    here = df.withColumn(bits, F.pmod(key, F.lit(SIEVE_BITS)))
+    here = df.withColumn(bits, F.pmod(key, F.lit(size)))
     joined = here.join(F.broadcast(held), F.bitmap_bucket_number(F.col(bits)) == F.col(number), "left")
     at = F.bitmap_bit_position(F.col(bits)).cast("int")
     byte = F.conv(F.hex(F.col(bitmap).substr(F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -74,6 +58,23 @@ def sieve(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataF
     return joined.where(hit).select(*df.columns), joined.where(~hit).select(*df.columns)
 
 
+#: Keys with more than one in so many of all rows are frequent: there are fewer than that of them.
+FREQUENT_SHARE, FREQUENT_LEAST = 1000, 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
+    """left join right on key, an inner join, where right has one row for each key and in `count` the rows that left has of
+    it, in all `total`. Null keys meet nothing.
+
+    Frequent keys go with a broadcast, so that no task gets all rows of one: those with more than total / FREQUENT_SHARE
+    rows are fewer than FREQUENT_SHARE, however large the tables are. Spark joins the others as it likes."""
+    keys = [key] if isinstance(key, str) else key
+    limit = max(FREQUENT_LEAST, total // FREQUENT_SHARE)
+    frequent = right.where(F.col(count) > limit)
+    rest = left.join(F.broadcast(frequent.select(*keys)), keys, "left_anti").join(right.where(F.col(count) <= limit), keys)
+    return left.join(F.broadcast(frequent), keys).unionByName(rest)
+
+
 def partitions_of(df: DataFrame) -> int:
     """The number of partitions that the session shuffles into."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

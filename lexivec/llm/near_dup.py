@@ -1,9 +1,11 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets decide.
 
 The work on texts that no band brings together ends with their signature. Texts with equal n-gram sets become one set
-with a number of copies. Sets that share a band hash are joined into candidate groups; every set of a group is sent
-there once (large groups are cut into blocks and each pair of blocks is a task), and there all pairs are compared on
-their full sets of n-gram hashes. Only counts and a spanning forest of the links leave a task, never the pairs."""
+with a number of copies. Pairs of sets meet where a band brings them together: in the bucket of the first band hash that
+both have, or, for sets that share so many bands that they would meet again and again, once in their cluster. A set is
+sent to each such meeting once (large ones are cut into blocks and each pair of blocks is a task), and there pairs are
+compared on their full sets of n-gram hashes. Only counts and a spanning forest of the links leave a task, never the
+pairs."""
 
 from __future__ import annotations
 
@@ -13,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexivec.llm.common import fresh, materialize, sieve, text_of
+from lexivec.llm import hashing
+from lexivec.llm.common import fresh, join_counted, sieve, text_of
 from lexivec.llm.graphs import components
+from lexivec.llm.hashing import U64, mixed
+from lexivec.sources.folders import materialize
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -26,12 +30,9 @@ TARGET_RECALL = 0.9995
 MAX_HASHES = 256
 #: Sets in a block, and n-grams in a block.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 21
-#: Candidate groups that are smaller than a block share tasks of about so many sets.
+#: Meetings that are smaller than a block share tasks of about so many sets.
 TASK_SETS = 256
 
-_U64 = np.uint64
-_MIX = (_U64(0xBF58476D1CE4E5B9), _U64(0x94D049BB133111EB))
-
 
 def plan_bands(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band for which a pair at the threshold shares some band with probability recall."""
@@ -43,52 +44,20 @@ def plan_bands(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, max_
     return best
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finalizer of splitmix64."""
-    x = (x ^ (x >> _U64(30))) * _MIX[0]
-    x = (x ^ (x >> _U64(27))) * _MIX[1]
-    return x ^ (x >> _U64(31))
-
-
 class Shingler:
     """64-bit hashes of the word n-grams of a text; words are runs of bytes that are not ASCII white space."""
 
-    BASE = 0x9E3779B97F4A7C15 | 1
-
     def __init__(self, words: int = WORDS):
-        rng = np.random.default_rng(20240501)
-        self.words, self.inverse = words, pow(self.BASE, -1, 1 << 64)
-        self.bytes = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.places = rng.integers(1, 1 << 63, words + 1, dtype=np.uint64) | _U64(1)
-        self.space = np.zeros(256, bool)
-        self.space[list(b" \t\n\x0b\f\r")] = True
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            self.up = np.cumprod(np.r_[_U64(1), np.full(n - 1, self.BASE, np.uint64)], dtype=np.uint64)
-            self.down = np.cumprod(np.r_[_U64(1), np.full(n - 1, self.inverse, np.uint64)], dtype=np.uint64)
-
-    def word_hashes(self, data: bytes) -> np.ndarray:
-        b = np.frombuffer(data, np.uint8)
-        inside = np.r_[False, ~self.space[b], False]
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, ends = edges[::2], edges[1::2]
-        self._powers(len(b) + 1)
-        sums = np.r_[_U64(0), np.cumsum(self.bytes[b] * self.up[: len(b)], dtype=np.uint64)]
-        return _mix((sums[ends] - sums[starts]) * self.down[starts])
+        self.words, self.hasher = words, hashing.RangeHasher(20240501)
+        self.places = np.random.default_rng(20240505).integers(1, 1 << 63, words, dtype=U64) | U64(1)
+        self.inside = np.ones(256, bool)
+        self.inside[list(b" \t\n\x0b\f\r")] = False
 
     def grams(self, text: str) -> np.ndarray:
         """Sorted, distinct; a text of fewer words is a single n-gram, one without words has none."""
-        h = self.word_hashes(text.encode("utf-8", "surrogatepass"))
-        n = min(self.words, len(h))
-        if not n:
-            return h
-        out = np.zeros(len(h) - n + 1, np.uint64)
-        for i in range(n):
-            out += h[i : len(h) - n + 1 + i] * self.places[i]
-        return np.unique(_mix(out + _U64(n)))
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        h = self.hasher(data, *hashing.runs(data, self.inside))
+        return np.unique(hashing.grams(h, self.places[: min(self.words, len(h))])) if len(h) else h
 
 
 class Signer:
@@ -98,15 +67,15 @@ class Signer:
         rng = np.random.default_rng(20240502)
         self.bands, self.rows = bands, rows
         self.factors = (rng.integers(0, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
-        self.weights = rng.integers(1, 1 << 63, rows, dtype=np.uint64) | _U64(1)
+        self.weights = rng.integers(1, 1 << 63, rows, dtype=np.uint64) | U64(1)
         self.salts = rng.integers(1, 1 << 63, bands, dtype=np.uint64)
 
     def sign(self, grams: np.ndarray) -> np.ndarray:
-        x = (grams ^ (grams >> _U64(32))).astype(np.uint32)
+        x = (grams ^ (grams >> U64(32))).astype(np.uint32)
         least = np.full(self.bands * self.rows, np.iinfo(np.uint32).max, np.uint32)
         for i in range(0, len(x), 1024):
             np.minimum(least, (self.factors * x[i : i + 1024]).min(axis=1), out=least)
-        return _mix((least.reshape(self.bands, self.rows).astype(np.uint64) * self.weights).sum(axis=1, dtype=np.uint64) + self.salts).view(np.int64)
+        return mixed((least.reshape(self.bands, self.rows).astype(np.uint64) * self.weights).sum(axis=1, dtype=np.uint64) + self.salts).view(np.int64)
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
@@ -185,16 +154,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, rec
         .groupBy("set_key")
         .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     )
-    bucket = Window.partitionBy("bucket").orderBy("a")
-    edges = (
-        sets.select(F.col("set_key").alias("a"), F.posexplode("bands").alias("band", "hash"))
-        .select("a", F.xxhash64("band", "hash").alias("bucket"))
-        .select("a", F.first("a").over(bucket).alias("b"))
-        .where("a != b")
-        .distinct()
-    )
-    groups = components(edges).withColumnsRenamed({"node": "set_key", "root": "group"})
-    found = materialize(_verified(docs, sets, groups, threshold, words))
+    tasks = materialize(_meetings(sets, max(1, round(bands * threshold**per_band / 2))))
+    found = materialize(_verified(docs, sets, tasks, threshold, words))
     roots = components(found.where("root is not null").select(F.col("set_key").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "set_key"})
     counts = found.groupBy("set_key").agg(F.sum("n_links").alias("linked"))
     sets = (
@@ -206,22 +167,59 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, rec
     return rows.select("doc_id", "text_hash", "set_key"), sets
 
 
-def _verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, words: int) -> DataFrame:
-    """(set_key, n_links, root) from each task that compared the set; root is null where it found no link."""
-    members = materialize(sets.select("set_key", "first_id", "copies", "n_grams").join(groups, "set_key"))
-    sizes = members.groupBy("group").agg(F.count("*").alias("k"), F.sum("n_grams").alias("g"))
-    blocks = sizes.select("group", F.ceil(F.greatest(F.col("k") / BLOCK_SETS, F.col("g") / BLOCK_GRAMS)).cast("int").alias("n_blocks"))
-    n_tasks = members.count() // TASK_SETS + 1
-    placed = (
-        members.join(blocks, "group")
-        .withColumn("block", F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("n_blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select(
-            "set_key", "first_id", "copies", "block",
-            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            F.when(F.col("n_blocks") > 1, F.base64("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(n_tasks)).cast("string")).alias("task"),
-        )
+def _meetings(sets: DataFrame, strong: int) -> DataFrame:
+    """(set_key, cluster, task, i, j, block, at): the tasks that compare each set, with the block it is in there and its
+    places (band, unit) in the meetings of that task.
+
+    Sets that share `strong` bands or more with the smallest set of their buckets are a cluster, which meets once (band
+    -1). A bucket meets too if it has sets of more than one cluster; large clusters in it are blocks of their own, which
+    are not compared with themselves again."""
+    banded = sets.select("set_key", F.posexplode("bands").alias("band", "hash")).select("set_key", "band", F.xxhash64("band", "hash").alias("bucket"))
+    total = banded.count()
+    buckets = materialize(banded.groupBy("bucket").agg(F.min("set_key").alias("head"), F.count("*").alias("k")).where("k > 1"))
+    shared = materialize(join_counted(banded, buckets, "bucket", "k", total))
+    ties = shared.where("set_key != head").groupBy("set_key", "head").count().where(F.col("count") >= strong)
+    clusters = components(ties.select(F.col("set_key").alias("a"), F.col("head").alias("b"))).withColumnsRenamed({"node": "set_key", "root": "cluster"})
+    placed = shared.join(clusters, "set_key", "left").select("set_key", "band", "bucket", "k", F.coalesce("cluster", "set_key").alias("cluster"))
+    mixed_buckets = placed.groupBy("bucket").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.first("k").alias("k")).where("low != high")
+    apart = join_counted(placed.drop("k"), mixed_buckets.select("bucket", "k"), "bucket", "k", total).select("set_key", "band", F.col("bucket").alias("unit"), "cluster")
+    together = clusters.select("set_key", F.lit(-1).alias("band"), F.xxhash64("cluster").alias("unit"), "cluster")
+    members = materialize(apart.unionByName(together).join(sets.select("set_key", "n_grams"), "set_key"))
+
+    # Blocks: (0, b) for sets of small clusters, (c, b) for the c-th large cluster of a bucket.
+    per_cluster = members.groupBy("band", "unit", "cluster").agg(F.count("*").alias("k"), F.sum("n_grams").alias("g"))
+    needed = F.greatest(F.col("k") / BLOCK_SETS, F.col("g") / BLOCK_GRAMS)
+    large = (F.col("band") >= 0) & (needed > 1)
+    units = per_cluster.groupBy("band", "unit").agg(
+        F.sum("k").alias("rows"),
+        F.array_sort(F.collect_list(F.when(large, F.struct("cluster", F.ceil(needed).cast("int").alias("n"))))).alias("large"),
+        F.ceil(F.sum(F.when(large, 0.0).otherwise(needed))).cast("int").alias("rest"),
+    )
+    units = materialize(units.select("band", "unit", "rows", "large", F.concat(F.array("rest"), F.transform("large", lambda x: x["n"])).alias("blocks")))
+    small = (F.size("blocks") == 1) & (F.get("blocks", F.lit(0)) == 1)
+    found = units.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(small, F.col("rows"))), F.lit(0)).alias("small")).first()
+    n_tasks = found["small"] // TASK_SETS + 1
+    joined = join_counted(members.drop("n_grams"), units, ["band", "unit"], "rows", found["rows"])
+
+    def block(c: Column, b: Column) -> Column:
+        return F.struct(c.cast("int").alias("c"), b.cast("int").alias("b"))
+
+    c = F.coalesce(F.array_position(F.transform("large", lambda x: x["cluster"]), F.col("cluster")), F.lit(0))
+    own = block(c, F.pmod(F.xxhash64("set_key", F.lit(1)), F.get("blocks", c.cast("int"))))
+    others = F.flatten(F.transform("blocks", lambda n, i: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: block(i, b))).otherwise(F.array().cast("array<struct<c:int,b:int>>"))))
+    spread = joined.withColumn("own", own).withColumn("other", F.explode(F.filter(others, lambda o: (o["c"] != F.col("own.c")) | (o["c"] == 0))))
+    shown = [F.concat_ws(":", x["c"], x["b"]) for x in (F.least("own", "other"), F.greatest("own", "other"), F.col("own"))]
+    spread = spread.select(
+        "set_key", "cluster", "band", "unit",
+        F.when(small, F.pmod(F.xxhash64("band", "unit"), F.lit(n_tasks)).cast("string")).otherwise(F.concat_ws(":", F.col("band").cast("string"), F.col("unit").cast("string"))).alias("task"),
+        *[x.alias(name) for x, name in zip(shown, ("i", "j", "block"), strict=True)],
     )
+    return spread.groupBy("set_key", "cluster", "task", "i", "j", "block").agg(F.collect_set(F.struct("band", "unit")).alias("at"))
+
+
+def _verified(docs: DataFrame, sets: DataFrame, tasks: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(set_key, n_links, root) from each task that compared the set; root is null where it found no link."""
+    members = materialize(sets.join(tasks.select("set_key").distinct(), "set_key", "left_semi"))
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
@@ -230,27 +228,38 @@ def _verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: fl
             keys = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in grams]
             yield pd.DataFrame({"set_key": keys, "grams": [g.view(np.int64) for g in grams]})
 
-    firsts = members.select(F.col("first_id").alias("wanted")).distinct()
+    firsts = materialize(members.select(F.col("first_id").alias("wanted")).distinct())
     near, _ = sieve(docs.select("doc_id", "text"), F.xxhash64("doc_id"), firsts.select(F.xxhash64("wanted").alias("key")))
     texts = near.join(firsts, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     grams = texts.select(text_of().alias("text")).mapInPandas(shingle, "set_key binary, grams array<bigint>")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("set_key").drop_duplicates("set_key", ignore_index=True)
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        block = pdf["block"].to_numpy()
-        grams = [np.asarray(g, np.int64) for g in pdf["grams"]]
-        a, b = _overlaps(grams, np.flatnonzero(block == i), np.flatnonzero(block == j), threshold)
+        left, right = ((pdf["block"] == pdf[end].iloc[0]).to_numpy() for end in "ij")
+        bands = np.stack(pdf["bands"])
+        a, b = _overlaps([np.asarray(g, np.int64) for g in pdf["grams"]], np.flatnonzero(left), np.flatnonzero(right), threshold)
+        # A pair counts where it meets: in its cluster, or else in the bucket of the first band that both sets have.
+        unit_of = np.full((len(pdf), bands.shape[1] + 1), -1, np.int64)
+        numbers: dict[tuple, int] = {}
+        for row, at in zip(unit_of, pdf["at"], strict=True):
+            for place in at:
+                row[place["band"] + 1] = numbers.setdefault((place["band"], place["unit"]), len(numbers))
+        equal = bands[a] == bands[b]
+        cluster = pdf["cluster"].to_numpy()
+        place = np.where(cluster[a] == cluster[b], 0, np.where(equal.any(axis=1), equal.argmax(axis=1) + 1, -1)) if len(a) else np.zeros(0, np.int64)
+        here = (place >= 0) & (unit_of[a, place] == unit_of[b, place]) & (unit_of[a, place] >= 0)
+        a, b = a[here], b[here]
         copies = pdf["copies"].to_numpy()
         n = np.bincount(a, copies[b], len(pdf))
-        if i != j:
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
             n += np.bincount(b, copies[a], len(pdf))
         root = _roots(len(pdf), a, b)
         keys = pdf["set_key"].to_numpy()
         alone = (n == 0) & (root == np.arange(len(pdf)))
         return pd.DataFrame({"set_key": keys, "n_links": n.astype(np.int64), "root": np.where(alone, None, keys[root])})
 
-    return placed.join(grams, "set_key").groupBy("task", "i", "j").applyInPandas(compare, "set_key binary, n_links bigint, root binary")
+    heads = members.select("set_key", "copies", "bands")
+    return tasks.join(heads, "set_key").join(grams, "set_key").groupBy("task", "i", "j").applyInPandas(compare, "set_key binary, n_links bigint, root binary")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -259,22 +268,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A row without words is a class of its own; a class in which every id is null has a null class_id."""
     rows, sets = links(docs, threshold)
     sets = materialize(sets)
-    ids = sets.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    of = sets.join(ids, "root").select("set_key", "class_id", "n_links")
-    return rows.join(of, "set_key", "left").select(
-        "doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
-    )
+    ids = materialize(sets.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n_sets")))
+    of = materialize(join_counted(sets, ids, "root", "n_sets", sets.count()).select("set_key", "class_id", "n_links", "copies"))
+    named = join_counted(rows.where("set_key is not null"), of, "set_key", "copies", rows.count()).select("doc_id", "class_id", F.col("n_links").cast("bigint").alias("n_links"))
+    return named.unionByName(rows.where("set_key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that with the smallest doc_id (null last), of equal ids that with the smallest
     text hash, and one of equal rows. Rows without words stay."""
     rows, sets = links(docs, threshold)
-    named = rows.where("set_key is not null").join(sets.select("set_key", "root"), "set_key")
+    sets = materialize(sets.select("set_key", "root", "copies"))
+    named = join_counted(rows.where("set_key is not null"), sets, "set_key", "copies", rows.count())
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    named = materialize(named.select("doc_id", "text_hash", "root").groupBy("root", "doc_id", "text_hash").count())
-    first = named.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("k"))
-    marks = named.join(first, "root").where("k > 1 or count > 1").select(
+    named = materialize(named.groupBy("root", "doc_id", "text_hash").count())
+    first = materialize(named.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("k")))
+    marks = join_counted(named, first, "root", "k", named.count()).where("k > 1 or count > 1").select(
         F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), (order == F.col("first")).alias("stays"), F.col("count").alias("times")
     )
     marks = materialize(marks)

@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -75,6 +77,60 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_weak_collisions_do_not_chain(spark):
+    """Only sets of one bucket meet: a with b and b with c, but not a with c; two that share many bands meet once."""
+    alone = iter(range(1000, 10_000))
+    rows = []
+    for key, own in ((b"a", {0: 1}), (b"b", {0: 1, 1: 2}), (b"c", {1: 2, 2: 3}), (b"d", {2: 3}), (b"x", dict.fromkeys(range(5), 7)), (b"y", dict.fromkeys(range(4), 7)), (b"z", {4: 7})):
+        rows.append((key, 1, 1, 10, [own.get(k, next(alone)) for k in range(6)]))
+    sets = spark.createDataFrame(rows, "set_key binary, first_id long, copies long, n_grams int, bands array<long>")
+    met = defaultdict(set)
+    for r in near_dup._meetings(sets, 3).collect():
+        for at in r["at"]:
+            met[at["band"], at["unit"]].add(bytes(r["set_key"]))
+    assert sorted(map(sorted, met.values())) == [[b"a", b"b"], [b"b", b"c"], [b"c", b"d"], [b"x", b"y"], [b"x", b"z"]]
+
+
+def test_large_clusters_meet_strangers_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_SETS", 3)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        v = list(base)
+        for _ in range(rng.choice([1, 2, 6, 9, 14])):
+            v[rng.randrange(60)] = f"x{rng.random()}"
+        rows.append((i, " ".join(v)))
+    got = {tuple(r) for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_recall_of_a_query_set(spark, capsys):
+    """Links of the documents with ids divisible by 100 to all documents at sf0.1, against exact counts."""
+    path = Path("/root/testdata/sf0.1/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(str(path)).select("doc_id", "text")
+    shingler = near_dup.Shingler()
+    grams = {r["doc_id"]: shingler.grams(r["text"] or "") for r in docs.toLocalIterator()}
+    holders = defaultdict(list)
+    for i, g in grams.items():
+        for x in g.tolist():
+            holders[x].append(i)
+    true = {}
+    for i in (i for i in grams if i % 100 == 0):
+        common = defaultdict(int)
+        for x in grams[i].tolist():
+            for j in holders[x]:
+                common[j] += 1
+        true[i] = sum(j != i and n >= 0.8 * (len(grams[i]) + len(grams[j]) - n) - 1e-9 for j, n in common.items())
+    got = {r["doc_id"]: r["n_links"] for r in near_dup.classes(docs).where("doc_id % 100 = 0").collect()}
+    recall = sum(got.values()) / sum(true.values())
+    with capsys.disabled():
+        print(f"\nop9: {len(true)} queries, {sum(true.values())} links, recall {recall:.4f}")
+    assert all(got[i] <= true[i] for i in true) and recall >= 0.99
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(3, text), (1, text + " more"), (1, text + " more"), (None, text), (None, None), (5, ""), (5, ""), (7, "another text of its own kind")]
