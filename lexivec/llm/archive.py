@@ -11,13 +11,14 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import materialize, partitions_of, shared_dir, text_of
+from lexivec.llm.common import join_counted, partitions_of, sieve, text_of
+from lexivec.sources.folders import materialize, new_folder
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads under this many bytes are never revisits.
@@ -44,23 +45,32 @@ def classify(pages: DataFrame) -> DataFrame:
     Of payloads of LEAST_BYTES or more that are equal, the smallest page_id has the response; rows that repeat that id
     are responses too. A null page_id is never smallest; where all are null all are responses. A null page is empty."""
     keyed = pages.select("page_id", "url", text_of("html").alias("html")).withColumn("payload_digest", F.sha2("html", 256)).withColumn("payload_bytes", F.octet_length("html").cast("bigint"))
-    slim = pages.select("page_id", text_of("html").alias("html")).select("page_id", F.sha2("html", 256).alias("d"), F.octet_length("html").alias("n"))
-    first = slim.where(F.col("n") >= LEAST_BYTES).groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("d", "first")
+    slim = keyed.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= LEAST_BYTES)
+    again = materialize(slim.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1"))
+    # Only pages that may repeat another are joined; the others stay where they are.
+    maybe, single = sieve(keyed, F.xxhash64("payload_digest"), again.select(F.xxhash64("payload_digest").alias("key")))
+    joined = join_counted(maybe, again, "payload_digest", "k", int(again.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return keyed.join(first, keyed["payload_digest"] == first["d"], "left").withColumn("refers_to", refers).drop("d", "first")
+    columns = [*keyed.columns, "refers_to"]
+    return joined.withColumn("refers_to", refers).select(*columns).unionByName(single.withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType)).select(*columns))
+
+
+def name_of(page_id: str | None) -> str:
+    """The name of a page's record; ids are escaped, and a null id is no page."""
+    return "<urn:nil>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
 
 
 def record(page_id: str | None, url: str | None, html: str, digest: str, refers_to: str | None) -> bytes:
-    """One record, compressed by itself; a null page_id is an empty name. A revisit keeps the HTTP head, and so the payload's length, without the payload."""
+    """One record, compressed by itself. A revisit keeps the HTTP head, and so the payload's length, without the payload."""
     payload = html.encode("utf-8", "surrogatepass")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id or ''}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name_of(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=''':/?#[]@!$&'()*+,;=%~''')}")
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {name_of(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", 1, mtime=0)
 
@@ -203,7 +213,7 @@ def read_record(data: bytes) -> dict:
 
     def page(name: str) -> str | None:
         found = re.fullmatch(r"<urn:page:(.*)>", headers.get(name, ""))
-        return (found[1] or None) if found else None
+        return unquote(found[1]) if found else None
 
     if headers["WARC-Type"] == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"{headers['WARC-Record-ID']} is damaged")
@@ -231,8 +241,10 @@ def index_packages(packages: DataFrame) -> DataFrame:
     return packages.select("path").mapInPandas(run, "path string, offset bigint, length bigint")
 
 
-def read_records(places: DataFrame, payload: bool = False) -> DataFrame:
-    """Every record of places (path, offset, length), each read as a range of its package; with its payload if asked for."""
+def read_records(places: DataFrame, payload: bool = False, id_type: str = "bigint") -> DataFrame:
+    """Every record of places (path, offset, length), each read as a range of its package; with its payload if asked for.
+
+    Ids are cast to id_type; a package says nothing of their type."""
     columns = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * payload]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,12 +259,17 @@ def read_records(places: DataFrame, payload: bool = False) -> DataFrame:
 
     schema = "page_id string, url string, record_type string, refers_to string, payload_bytes bigint, payload_digest string" + ", payload binary" * payload
     dealt = places.repartition(partitions_of(places))
-    ids = {c: F.col(c).cast("bigint") for c in ("page_id", "refers_to")}
+    ids = {c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")}
     return dealt.mapInPandas(run, schema).withColumns(ids)
 
 
+def unresolved(records: DataFrame) -> DataFrame:
+    """Revisits whose response is not there, or has another digest."""
+    said = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest")
+    return records.where("record_type = 'revisit'").join(said, ["refers_to", "payload_digest"], "left_anti")
+
+
 def round_trip(pages: DataFrame, payload: bool = False) -> DataFrame:
     """pages written into packages in the shared folder and read back. An empty table writes nothing."""
-    spark: SparkSession = pages.sparkSession
-    packages = write_packages(pages, f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}")
-    return read_records(index_packages(packages), payload)
+    packages = write_packages(pages, new_folder(pages.sparkSession, "packages"))
+    return read_records(index_packages(packages), payload, pages.schema["page_id"].dataType.simpleString())

@@ -62,16 +62,16 @@ def sieve(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataF
 FREQUENT_SHARE, FREQUENT_LEAST = 1000, 1000
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
-    """left join right on key, an inner join, where right has one row for each key and in `count` the rows that left has of
-    it, in all `total`. Null keys meet nothing.
+def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """left join right on key ("inner" or "left"), where right has one row for each key and in `count` the rows that left
+    has of it, in all at most `total`. Null keys meet nothing.
 
     Frequent keys go with a broadcast, so that no task gets all rows of one: those with more than total / FREQUENT_SHARE
     rows are fewer than FREQUENT_SHARE, however large the tables are. Spark joins the others as it likes."""
     keys = [key] if isinstance(key, str) else key
     limit = max(FREQUENT_LEAST, total // FREQUENT_SHARE)
     frequent = right.where(F.col(count) > limit)
-    rest = left.join(F.broadcast(frequent.select(*keys)), keys, "left_anti").join(right.where(F.col(count) <= limit), keys)
+    rest = left.join(F.broadcast(frequent.select(*keys)), keys, "left_anti").join(right.where(F.col(count) <= limit), keys, how)
     return left.join(F.broadcast(frequent), keys).unionByName(rest)
 
 

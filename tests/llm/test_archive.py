@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexivec.llm import archive
+from lexivec.llm import archive, common
 
 
 def test_round_trip(spark):
@@ -25,6 +25,18 @@ def test_round_trip(spark):
     assert archive.round_trip(pages.limit(0)).count() == 0
 
 
+def test_text_ids_and_hot_digests(spark, monkeypatch):
+    monkeypatch.setattr(common, "FREQUENT_LEAST", 10)
+    same, ids = "<p>" + "same " * 60, ["", "b:1>\r\nx", "é", None, *(f"k{i:03}" for i in range(60))]
+    pages = spark.createDataFrame([(i, "u", same) for i in ids] + [(f"z{i}", "u", f"other {i} " * 40) for i in range(5)], "page_id string, url string, html string")
+    out = archive.round_trip(pages)
+    assert archive.unresolved(out).count() == 0
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in out.collect()}
+    assert got == {("", "response", None), *((i, "revisit", "") for i in ids if i != ""), *((f"z{i}", "response", None) for i in range(5))}
+    wrong = out.withColumn("payload_digest", F.when(F.col("page_id") == "k001", "00").otherwise(F.col("payload_digest")))
+    assert [r["page_id"] for r in archive.unresolved(wrong).collect()] == ["k001"]
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_zip_directories(wide, monkeypatch):
     if wide:
