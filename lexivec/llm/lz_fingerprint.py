@@ -8,22 +8,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexivec.llm.common import partitions_of, text_of
+from lexivec.llm.hashing import RangeHasher
+from lexivec.operators.evaluate import slice_of
 
 #: The smallest phrase hashes that a signature keeps.
 SIZE = 128
-
-_U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: About so many ids, chosen by their hashes, tell where ranges of ids begin; this only affects how even the ranges are.
+SAMPLED_IDS = 50_000
 
 
 class PhraseHasher:
     """Parses bytes into dictionary phrases and hashes each phrase to 32 bits."""
 
     def __init__(self) -> None:
-        self.bytes = np.random.default_rng(20240503).integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.hasher = RangeHasher(20240503)
         self.up = self.down = np.ones(1, np.uint64)
 
     @staticmethod
@@ -44,16 +45,7 @@ class PhraseHasher:
 
     def hashes(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """One hash for each data[start:end]."""
-        n = len(data)
-        if len(self.up) <= n:
-            size = max(n + 1, 2 * len(self.up))
-            self.up = np.cumprod(np.r_[_U64(1), np.full(size - 1, _BASE, np.uint64)], dtype=np.uint64)
-            self.down = np.cumprod(np.r_[_U64(1), np.full(size - 1, _INVERSE, np.uint64)], dtype=np.uint64)
-        sums = np.r_[_U64(0), np.cumsum(self.bytes[np.frombuffer(data, np.uint8)] * self.up[:n], dtype=np.uint64)]
-        x = (sums[ends] - sums[starts]) * self.down[starts]
-        x = (x ^ (x >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U64(27))) * _U64(0x94D049BB133111EB)
-        return ((x ^ (x >> _U64(31))) >> _U64(32)).astype(np.uint32)
+        return (self.hasher(np.frombuffer(data, np.uint8), starts, ends) >> np.uint64(32)).astype(np.uint32)
 
     def phrase_hashes(self, data: bytes, ends: list[int]) -> np.ndarray:
         """Hashes of the phrases with these ends; what is left after the last one is a phrase too."""
@@ -117,10 +109,12 @@ def compare(a: str | Column, b: str | Column, size: int = SIZE) -> Column:
     return of(a, b)
 
 
-def _bounds(docs: DataFrame, n: int) -> list:
-    """Up to n - 1 ids that cut the range of doc_id into even parts."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else []
-    return sorted(set(cuts or []))
+def _bounds(rows: DataFrame, n: int) -> list:
+    """Up to n - 1 ids, in order, that cut the range of doc_id into even parts; ids can be of any type that has an order."""
+    share = max(1, rows.count() // SAMPLED_IDS)
+    ids = rows.select("doc_id").where("doc_id is not null").distinct().where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    found = [r[0] for r in ids.orderBy("doc_id").collect()]
+    return [found[k * len(found) // n] for k in range(1, n)] if len(found) > n else found[1:]
 
 
 def edited_pairs(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -135,21 +129,17 @@ def edited_pairs(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     rows = docs.select("doc_id", text_of().alias("text"))
     bounds = _bounds(rows, partitions_of(docs))
-    part = F.lit(0)
-    if bounds:
-        part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(len(bounds) - F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))))
+    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(len(bounds) - slice_of(F.col("doc_id"), bounds))
     rows = rows.withColumn("part", part.cast("int")).withColumn("tail", F.lit(False))
     first = sorted((r["part"], r["first"]) for r in rows.groupBy("part").agg(F.max("doc_id").alias("first")).collect())
-    if not first:
-        first = [(0, None)]
-    follows = {p: first[k - 1][0] for k, (p, _) in enumerate(first)}  # the part before each part, around the end
-    heads = [F.when((F.col("part") == p) & F.col("doc_id").eqNullSafe(F.lit(i)), follows[p]) for p, i in first]
-    # Of rows with the first id of a part only the smallest text is its first row.
-    tails = rows.withColumn("before", F.coalesce(*heads)).where("before is not null").groupBy("part", "before", "doc_id").agg(F.min("text").alias("text"))
-    tails = tails.select("doc_id", "text", F.col("before").cast("int").alias("part"), F.lit(True).alias("tail"))
+    # The first id of each part goes to the part before it, around the end; of rows with that id only the smallest text.
+    heads = [(p, i, first[k - 1][0]) for k, (p, i) in enumerate(first)]
+    heads = docs.sparkSession.createDataFrame(heads, StructType([StructField("at", IntegerType()), StructField("first", docs.schema["doc_id"].dataType), StructField("before", IntegerType())]))
+    tails = rows.join(F.broadcast(heads), (F.col("part") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("before", "doc_id").agg(F.min("text").alias("text"))
+    tails = tails.select("doc_id", "text", F.col("before").alias("part"), F.lit(True).alias("tail"))
     dealt = (
         rows.unionByName(tails)
-        .repartition(max(partitions_of(docs), len(first)), "part")
+        .repartitionById(len(bounds) + 2, "part")
         .sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "text")
         .select(F.col("doc_id").cast("string").alias("doc_id"), "text", "part", "tail")
     )

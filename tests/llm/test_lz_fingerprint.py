@@ -46,6 +46,29 @@ def test_edited_pairs_match_brute_force(spark):
         assert sorted(got, key=repr) == brute(rows)
 
 
+def test_text_ids_and_a_sample_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLED_IDS", 20)
+    rows = [(f"id{i % 97:03}é", f"text {i} of some words " * (i % 5)) for i in range(200)] + [(None, "last"), ("", "empty id")]
+    order = sorted(sorted(rows, key=lambda r: r[1]), key=lambda r: (r[0] is not None, r[0] or ""), reverse=True)
+    want = sorted((i, hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(order) if i is not None)
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted((r["doc_id"], r["edited_sha256"]) for r in L.edited_pairs(docs).collect() if r["doc_id"] is not None) == want
+
+
+def test_likeness_estimates_the_jaccard_similarity_of_phrase_sets():
+    rng = np.random.default_rng(7)
+    hasher, errors = L.PhraseHasher(), []
+    for k in range(60):
+        word = lambda: "".join(chr(256 + 40 * k + d) for d in rng.integers(0, 16, 3))  # noqa: B023, E731
+        words = [word() for _ in range(1500)]
+        other = [w if rng.random() > k / 100 else word() for w in words]
+        a, b = " ".join(words), " ".join(other)
+        pa, pb = phrases(a), phrases(b)
+        got = L.likeness(L.signature(hasher.one(a.encode())), L.signature(hasher.one(b.encode())))
+        errors.append(got - len(pa & pb) / len(pa | pb))
+    assert np.abs(errors).max() < 5 * 0.5 / np.sqrt(L.SIZE) and abs(np.mean(errors)) < 0.02
+
+
 def test_fingerprint_and_compare(spark):
     docs = spark.createDataFrame([(1, "to be or not to be " * 20), (2, "to be or not to be " * 20), (3, "qqq zzz xxx"), (4, None), (5, "")], "doc_id long, text string")
     prints = {r["doc_id"]: r["fingerprint"] for r in L.fingerprint(docs).collect()}
