@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import materialize, partitions_of, text_of
+from lexivec.llm.common import partitions_of, text_of
+from lexivec.sources.folders import materialize
 
 CAPACITY = 4096
 END_ID = 1
@@ -123,28 +124,33 @@ def _packed_once(items: DataFrame, capacity: int, number: int) -> tuple[DataFram
         base = (number << 56) | (int(pdf["g"].iloc[0]) << 28)
         return pd.DataFrame({"item": pdf["item"], "bin": bins + base, "offset": offsets, "size": pdf["size"]})
 
-    dealt = items.withColumn("g", F.pmod(F.xxhash64("item"), F.lit(groups)))
+    dealt = items.withColumn("g", F.pmod(F.xxhash64("item", F.lit(number)), F.lit(groups)))
     return materialize(dealt.groupBy("g").applyInPandas(pack, "item bigint, bin bigint, offset bigint, size bigint")), groups
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, rounds: int = 4) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The pieces of docs (doc_id, text) with sequence_id and offset: each sequence is filled from 0 without gaps.
 
-    Pieces of the full capacity are sequences of their own. The others are packed in groups; the bins that a group
-    leaves open are items of the next round, until one group holds them all or after `rounds` rounds.
+    Pieces of the full capacity are sequences of their own. The others are packed in groups; the bins that a round leaves
+    open are items of the next one, until one group holds them all or a round puts none of them together.
     A null or empty text is END_ID alone; null ids are ids like any others; repeated rows are packed each by itself."""
     cut = materialize(pieces(docs, tokenizer, capacity, with_ids).withColumn("item", F.monotonically_increasing_id()))
-    items, placed = cut.where(F.col("length") < capacity).select("item", F.col("length").alias("size")), None
-    for number in range(rounds):
+    items = cut.where(F.col("length") < capacity).select("item", F.col("length").alias("size"))
+    placed = now = None
+    number, before = 0, None
+    while True:
         now, groups = _packed_once(items, capacity, number)
         if placed is None:
             placed = now
         else:
             moves = now.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("offset").alias("by"))
-            placed = placed.join(moves, "bin", "left").select("item", F.coalesce("to", "bin").alias("bin"), (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"), "size")
-        if groups == 1:
+            placed = materialize(placed.join(moves, "bin", "left").select("item", F.coalesce("to", "bin").alias("bin"), (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"), "size"))
+        bins = materialize(now.groupBy("bin").agg(F.sum("size").alias("size")))
+        n = bins.count()
+        if groups == 1 or n == before:
             break
-        items = now.groupBy("bin").agg(F.sum("size").alias("size")).where(F.col("size") < capacity).select(F.col("bin").alias("item"), "size")
+        items = bins.where(F.col("size") < capacity).select(F.col("bin").alias("item"), "size")
+        number, before = number + 1, items.count()
     whole = F.col("length") >= capacity
     return cut.join(placed.select("item", "bin", "offset"), "item", "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids,
@@ -153,7 +159,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids, doc_starts) from pack(with_ids=True): one row of at most the capacity for each sequence."""
+    """(sequence_id, ids, doc_starts) from pack(with_ids=True): one row of at most the capacity for each sequence.
+
+    Pieces are put in the order of their offsets; an empty table has no sequence. Rows that repeat a piece of pack() in
+    its place make the sequence longer than it is: pass what pack() gave."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     out = packed.repartition(partitions_of(packed), "sequence_id").groupBy("sequence_id").agg(parts.alias("p"))
     return out.select("sequence_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), F.transform("p", lambda x: x["offset"]).alias("doc_starts"))

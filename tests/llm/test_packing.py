@@ -1,5 +1,6 @@
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,6 +45,50 @@ def test_sum_of_squares_fills_bins_without_gaps(sizes):
         assert at <= 20
 
 
+def naive(sizes, capacity):
+    """(bin levels in order of opening) of each item, with the whole sum of squares made anew for every choice."""
+    levels, out = [], []
+
+    def cost(ls):
+        return sum(n * n for level, n in Counter(ls).items() if level < capacity)
+
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        choices = [(cost([*levels, sizes[i]]), 0)]
+        for level in {x for x in levels if x + sizes[i] <= capacity}:
+            at = levels.index(level)
+            choices.append((cost([*levels[:at], level + sizes[i], *levels[at + 1 :]]), -level))
+        _, level = min(choices)
+        if level:
+            at = levels.index(-level)
+            levels[at] = -level + sizes[i]
+        else:
+            levels.append(sizes[i])
+        out.append(-level)
+    return out, sorted(levels)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=60))
+def test_sum_of_squares_is_the_least_at_each_step(sizes):
+    bins, offsets = packing.sum_of_squares(np.array(sizes, np.int64), 12)
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    levels = Counter()
+    for b, n in zip(bins.tolist(), sizes, strict=True):
+        levels[b] += n
+    assert ([int(offsets[i]) for i in order], sorted(levels.values())) == naive(sizes, 12)
+
+
+def test_rounds_go_on_until_one_group_is_left(spark, monkeypatch):
+    """More groups than four rounds would merge, and bins that can never be merged."""
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 6)
+    for text, most in (("cat " * 9, 1.35), ("cat " * 60, 2)):
+        out = packing.pack(spark.createDataFrame([(i, text) for i in range(150)], "doc_id long, text string"), PATH, capacity=100).collect()
+        used = Counter()
+        for r in out:
+            used[r["sequence_id"]] += r["length"]
+        assert max(used.values()) <= 100 and len(used) <= most * sum(used.values()) / 100 + 1
+
+
 def test_pack(spark, plain):
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(["the", "cat,", "É", "zq9"], rng.integers(0, 60))) for _ in range(300)] + [None, "", "word " * 500]
