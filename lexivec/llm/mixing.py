@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexivec.llm.common import fresh, materialize, text_of, words_of
+from lexivec.llm.common import fresh, text_of, words_of
+from lexivec.sources.folders import materialize
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1 << 20
@@ -116,23 +117,32 @@ def schedule(sized: DataFrame, target: Target = Target(), block_tokens: int = BL
     return out.withColumn("place", place.cast("bigint")).drop("h")
 
 
-def sized(docs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, row_key, source, n_tokens) of docs (text, source, ...): tokens are runs without white space."""
-    return docs.select(*keys, F.xxhash64(*docs.columns).alias("row_key"), "source", F.size(words_of(text_of())).cast("bigint").alias("n_tokens"))
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row. Columns with maps, which have no hash of their own, are hashed as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema])
 
 
-def mix(docs: DataFrame, target: Target = Target(), block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
+def sized(docs: DataFrame, *keys: str, tokens: Column | None = None) -> DataFrame:
+    """(keys, row_key, source, n_tokens) of docs (text, source, ...).
+
+    tokens is the number of tokens of a row: a column that docs has, or packing.token_count(path) to have a tokenizer
+    count. Without it, runs without white space count, which is only right for languages that have spaces."""
+    n = F.size(words_of(text_of())) if tokens is None else F.coalesce(tokens, F.lit(0))
+    return docs.select(*keys, _row_key(docs).alias("row_key"), "source", n.cast("bigint").alias("n_tokens"))
+
+
+def mix(docs: DataFrame, target: Target = Target(), block_tokens: int = BLOCK_TOKENS, seed: int = 0, tokens: Column | None = None) -> DataFrame:
     """docs with each row as often as the mix uses it, at least once.
 
     Each partition holds a part of every block, block after block and in the order of the mix, so files that are read side
-    by side give the blocks. Texts are shuffled once.
+    by side give the blocks. Texts are shuffled once. tokens is as for sized().
 
     Rows are matched by doc_id and a hash of the whole row; rows that are equal are matched once and used as often as
     all of them together."""
     key, of, row, block, place = (fresh(f"lx_{x}", docs) for x in ("key", "of", "row", "block", "place"))
-    rows = materialize(sized(docs, "doc_id"))
+    rows = materialize(sized(docs, "doc_id", tokens=tokens))
     uses = schedule(rows, target, block_tokens, seed).select(F.col("doc_id").alias(of), F.col("row_key").alias(row), F.col("block").alias(block), F.col("place").alias(place))
-    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    keyed = docs.withColumn(key, _row_key(docs))
     again = rows.groupBy("doc_id", "row_key").count().where("count > 1").select(F.col("doc_id").alias(of), F.col("row_key").alias(row))
 
     def same(left: DataFrame, right: DataFrame) -> Column:

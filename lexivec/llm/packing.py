@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.common import partitions_of, text_of
@@ -66,6 +66,25 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
+    def count(self, text: str) -> int:
+        for c in "\n\t\r":
+            if c in text:
+                text = text.replace(c, " ")
+        return sum(map(len, map(self.__getitem__, text.split(" ")))) // 4
+
+
+def token_count(tokenizer: str, text: str = "text") -> Column:
+    """The number of ids of a text by a tokenizer file, without special ones; a null text has none."""
+
+    @F.pandas_udf("bigint")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = WordEncoder(tokenizer)
+        for batch in batches:
+            yield pd.Series([encoder.count(t) for t in batch], dtype="int64")
+
+    return count(text_of(text))
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and END_ID, cut only where longer than capacity."""
 

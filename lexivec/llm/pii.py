@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import fresh, let, materialize, running_sums, text_of
+from lexivec.llm.common import fresh, let, running_sums, text_of
+from lexivec.sources.folders import materialize
 
 #: Base patterns, written so that a failing attempt is not repeated inside the same run of characters: a match starts
 #: where a run starts or where the last match ended, and what is matched is not given back.

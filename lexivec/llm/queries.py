@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.llm import archive, chat, html_crf, licenses, lz_fingerprint, mixing, near_dup, packing, pii, quality
+from lexivec.sources.folders import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,9 +89,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each use of a document in the mix."""
+    """One row for each use of a document in the mix; shares are those of the packing tokenizer's tokens."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    rows = mixing.materialize(mixing.sized(docs, "doc_id"))
+    rows = materialize(mixing.sized(docs, "doc_id", tokens=packing.token_count(tokenizer())))
     return mixing.schedule(rows).select("doc_id", "source", "n_tokens", "epoch", "block", "place")
 
 

@@ -1,9 +1,10 @@
+import math
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexivec.llm import mixing
+from lexivec.llm import mixing, packing, queries
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -56,6 +57,71 @@ def test_slices_make_the_same_sums(spark, monkeypatch):
     assert key(mixing.schedule(sized).collect()) == whole
 
 
+def brute_schedule(rows, order, target, block_tokens):
+    """The uses (row_key, epoch, block) and their order in each block, from the definition and one row at a time."""
+    tokens = Counter()
+    for r in rows:
+        tokens[r["source"]] += r["n_tokens"]
+    total = sum(tokens.values())
+    share = {s: n / total for s, n in tokens.items() if n}
+
+    def holds(e):
+        p, z = share.values(), sum(x**e for x in share.values())
+        q = [x**e / z for x in p]
+        entropy = -sum(x * math.log(x) for x in q) / math.log(len(q)) if len(q) > 1 else 1.0
+        repeats = max(x ** (1 - e) for x in p) / min(x ** (1 - e) for x in p)
+        return repeats <= target.max_repeats if target.entropy is None else entropy < target.entropy
+
+    low, high = 0.0, 1.0
+    if holds(0.0):
+        high = 0.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if holds(mid) else (mid, high)
+    e = round(high, 6)
+    most = max(x ** (1 - e) for x in share.values())
+    quota = {s: max(tokens[s], math.floor(total * most * x**e + 0.5)) for s, x in share.items()}
+    blocks = max(1, math.ceil(sum(quota.values()) / block_tokens))
+    uses = []
+    for s in tokens:
+        mine = [r for r in rows if r["source"] == s]
+        at = 0
+        for epoch in range(quota[s] // tokens[s] + 1) if s in quota else [0]:
+            for r in sorted(mine, key=lambda r: (order["", epoch, r["row_key"]], r["row_key"])):
+                if epoch and not r["n_tokens"]:
+                    continue
+                if s not in quota:
+                    uses.append((r["row_key"], epoch, order["", epoch, r["row_key"]] % blocks))
+                elif epoch < quota[s] // tokens[s] or at + r["n_tokens"] <= quota[s]:
+                    uses.append((r["row_key"], epoch, min(blocks - 1, at * blocks // quota[s])))
+                at += r["n_tokens"]
+    return e, {(k, ep): (b, 1 + sum((order["block", x, y], y, x) < (order["block", ep, k], k, ep) for y, x, c in uses if c == b)) for k, ep, b in uses}
+
+
+def test_schedule_matches_brute_force(spark):
+    rows = [(i, "w " * (i % 9 + 1), "big") for i in range(90)] + [(100 + i, "v " * 5, "small") for i in range(8)] + [(200 + i, "u " * 3, None) for i in range(9)] + [(300, "", "none"), (301, "", "small")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for target in (mixing.Target(max_repeats=3.0), mixing.Target(max_repeats=None, entropy=0.7), mixing.Target(max_repeats=1.0)):
+        sized = mixing.sized(docs, "doc_id")
+        epochs = spark.range(12).select(F.col("id").cast("int").alias("epoch"))
+        kinds = {"": F.xxhash64(F.lit(0), "epoch", "row_key"), "block": F.xxhash64(F.lit(0), F.lit("block"), "epoch", "row_key")}
+        order = {(k, r["epoch"], r["row_key"]): r["h"] for k, h in kinds.items() for r in sized.join(epochs).select("epoch", "row_key", F.shiftrightunsigned(h, 1).alias("h")).collect()}
+        exponent, want = brute_schedule(sized.collect(), order, target, 100)
+        assert mixing.recipe(sized, target)[1] == pytest.approx(exponent, abs=2e-6)
+        assert {(r["row_key"], r["epoch"]): (r["block"], r["place"]) for r in mixing.schedule(sized, target, block_tokens=100).collect()} == want
+
+
+def test_counts_by_a_tokenizer_or_a_column(spark):
+    docs = spark.createDataFrame([(1, "Zwei Wörter, 12345!", "x", 7, {"a": 1}), (2, None, "x", None, {}), (3, "你好世界 再见", "x", 3, None)], "doc_id long, text string, source string, n int, m map<string,int>")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer())
+    got = {r["doc_id"]: r["n_tokens"] for r in mixing.sized(docs, "doc_id", tokens=packing.token_count(queries.tokenizer())).collect()}
+    assert got == {r["doc_id"]: len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in mixing.sized(docs, "doc_id", tokens=F.col("n")).collect()} == {1: 7, 2: 0, 3: 3}
+    assert sorted(r["doc_id"] for r in mixing.mix(docs).collect()) == [1, 2, 3]
+
+
 def test_mix_edge_cases(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, None, "x"), (3, "", None), (None, "c", "y")], SCHEMA).withColumn("lx_block", F.lit(1))
     out = mixing.mix(docs)
