@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexivec.llm import mixing, near_dup, packing, pii, quality
-from lexivec.llm.common import materialize
 from lexivec.llm.queries import tokenizer
+from lexivec.sources.folders import new_folder, remove, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,12 +25,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources up to twice, in the order of the mix."""
-    return mixing.mix(docs)
+    """Every document at least once, those of small sources up to twice, by shares of the tokens that the next stage packs,
+    in the order of the mix. A null source is a source of its own."""
+    return mixing.mix(docs, tokens=packing.token_count(tokenizer()))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and place; each use of a document is packed by itself."""
+    """The pieces of all documents with their sequence and place; each use of a document is packed by itself, a null text
+    as an end of document alone."""
     return packing.pack(docs.select("doc_id", "text"), tokenizer())
 
 
@@ -47,8 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over all of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage over all of documents; every stage gives an empty table for an empty one. What a stage
+    wrote besides its result is deleted with the stage, and its result once the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        path = new_folder(spark, "stage")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
