@@ -2,14 +2,17 @@
 
 Everything runs on built-in expressions. The base kinds are patterns with a check each. Further spans come from looser
 shapes: regex, gazetteer and context labelers vote on each (1 for, -1 against, 0 abstains), expectation maximisation
-over the counts of vote patterns estimates how reliable each labeler is, and a logistic classifier on votes and kinds is
-trained on the resulting probabilities. Only counts of vote patterns reach the driver: at most 3 ** 6 for each kind."""
+over the counts of vote patterns estimates how each labeler votes on true and on false spans, and a logistic classifier
+on votes, kinds and the span's own features is trained on the resulting probabilities. Labelers of context see the 32
+characters before a span and the 2 after it; cues further away do not count. Only counts of patterns reach the driver:
+at most 3 ** 7 vote patterns for each kind, and MODEL_PATTERNS patterns of votes and features."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +27,34 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+# Registered IBAN countries with the length of their numbers.
+IBAN_LENGTHS = dict(
+    x.split(":")
+    for x in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 "
+    "IE:22 IL:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SE:24 SI:19 SK:24 SM:27 "
+    "TN:24 TR:26 UA:29 VA:22 VG:24 XK:20".split()
+)
+# Gazetteers: first names and titles, kinds of streets, prefixes of issued keys, and values that stand in examples.
+FIRST_NAMES = (
+    "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Nancy Matthew Lisa Anthony Margaret Mark Sandra "
+    "Emily Laura Kevin Brian Anna Peter Hans Klaus Jürgen Wolfgang Ursula Monika Petra Sabine Andreas Stefan Jean Pierre Marie Michel Nathalie Isabelle Philippe François Catherine José Antonio Manuel "
+    "Francisco María Carmen Ana Lucía Javier Carlos Isabel"
+).split()
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
+STREETS = "Street St Avenue Ave Road Rd Lane Boulevard Blvd Drive Court Square".split()
+KEY_PREFIXES = "AKIA ASIA AIza ghp_ gho_ github_pat_ glpat- sk_live_ sk- xoxb- xoxp- eyJ".split()
+EXAMPLES = {"ssn": "078-05-1120 219-09-9999 123-45-6789", "secret": "example sample dummy changeme placeholder 0123456789 abcdef0123 deadbeef xxxxxxxx yourkey your_", "iban": "GB82WEST12345698765432"}
+
+_WORD = r"\p{Lu}[\p{Ll}]++"
 #: Looser shapes that labelers vote on.
 SHAPES = {
-    "secret": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]{0,80}+[0-9])[A-Za-z0-9+/_=-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "national_phone": r"(?<![0-9A-Za-z+)-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3}|[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?=[A-Z]{{2}}[0-9]{{2}})(?<![A-Za-z0-9])(?:{'|'.join(IBAN_LENGTHS)})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}}|[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9A-Za-z/-])",
+    "address": rf"(?=[0-9])(?<![0-9A-Za-z.,-])[0-9]{{1,5}}[A-Za-z]? (?:{_WORD} ){{1,3}}(?:{'|'.join(STREETS)})(?![\p{{L}}0-9])|(?=\p{{Lu}})(?<![\p{{L}}])\p{{Lu}}[\p{{Ll}}]*(?:straße|strasse|gasse|weg|platz) [0-9]{{1,4}}[a-z]?(?![\p{{L}}0-9])|(?=[RrAaCcPp])(?<![\p{{L}}0-9])(?:[Rr]ue|[Aa]venue|[Cc]alle|[Pp]laza) (?:de |du |de la |des |del )?{_WORD}(?: {_WORD})?(?:,? [0-9]{{1,4}})?(?![\p{{L}}0-9])",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:(?:{'|'.join(TITLES)})\.? {_WORD}(?:[ -]{_WORD})?|(?:{'|'.join(FIRST_NAMES)})(?: \p{{Lu}}\.)? {_WORD}(?:-{_WORD})?)(?!\p{{L}})",
 }
 KINDS = (*BASE, *SHAPES)
 
@@ -39,12 +64,18 @@ CUES = {
     "ssn": r"(?:ssn|social|security|tax|taxpayer|sozial)",
     "national_phone": r"(?:phone|tel|call|mobile|cell|fax|dial|ruf|handy|appel)",
     "iban": r"(?:iban|account|konto|bank|compte|cuenta|transfer)",
+    "date": r"(?:born|birth|dob|geboren|geburt|née? le|naissance|nacid|nacimiento)",
+    "address": r"(?:address|lives? (?:at|in)|resid|home|adresse|anschrift|wohn|habite|domicil|vive en|direcci)",
+    "name": r"(?:name|signed|dear|contact|regards|sincerely|author|patient|customer|employee|born|caller|heiß|liebe|appelle|llamo|atentamente|kunde|client)",
 }
 #: Words before a span that speak against personal data of any kind.
-COUNTER_CUES = r"(?:commit|version|isbn|issn|doi|sha1|sha256|md5|checksum|revision|order|invoice|serial|part|http|www|page|model)"
-IBAN_COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VA VG XK".split()
+COUNTER_CUES = r"(?:commit|version|isbn|issn|doi|sha1|sha256|md5|checksum|revision|order|invoice|serial|part|http|www|page|model|published|released|updated|since|until|saint|church)"
 
-LABELERS = ("form", "gazetteer", "counter", "assigned", "make_up", "closed")
+LABELERS = ("form", "gazetteer", "cue", "counter", "assigned", "make_up", "closed")
+#: The most patterns of votes and features that the classifier is trained on, the frequent ones first.
+MODEL_PATTERNS = 20_000
+#: Values of each feature of a span: length, part of distinct characters, classes of characters, character before.
+FEATURES = (5, 4, 8, 4)
 
 
 def _luhn(digits: Column) -> Column:
@@ -63,102 +94,151 @@ CHECKS = {
 }
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match, before, after>>: every match with its place in code points and its surroundings."""
+def _matches(text: Column, patterns: dict[str, str], gates: dict[str, Column]) -> Column:
+    """array<struct<start, rank, end, match, before, after>>: every match of each pattern (where its kind's gate holds)
+    with its place in code points and its surroundings."""
+    none = F.array().cast("array<string>")
 
-    def placed(m: Column, g: Column) -> Column:
+    def cut(kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        found = F.when(gates[kind], found).otherwise(none) if kind in gates else found
+        return let(found, lambda m: F.struct(F.lit(KINDS.index(kind)).alias("rank"), m.alias("m"), F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(none).alias("g")))
+
+    def placed(c: Column) -> Column:
+        m, g = c["m"], c["g"]
         lengths = F.zip_with(m, F.slice(g, F.lit(1), F.size(m)), lambda x, y: (F.length(x) + F.length(y)).cast("bigint"))
         return let(
             running_sums(lengths),
             lambda ends: F.transform(
                 m,
                 lambda x, i: F.struct(
-                    (F.get(ends, i + 1) - F.length(x)).alias("start"), F.get(ends, i + 1).alias("end"), x.alias("match"),
+                    (F.get(ends, i + 1) - F.length(x)).alias("start"), c["rank"].alias("rank"), F.get(ends, i + 1).alias("end"), x.alias("match"),
                     F.lower(F.right(F.get(g, i), F.lit(32))).alias("before"), F.left(F.get(g, i + 1), F.lit(2)).alias("after"),
                 ),
             ),
         )
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string,before:string,after:string>>")
-    return let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda g: placed(m, g))),
-    )
-
-
-def _span(kind: Column, x: Column) -> Column:
-    return F.struct(x["start"].alias("start"), kind.alias("rank"), x["end"].alias("end"))
+    cuts = F.array(*[cut(k, p) for k, p in patterns.items()])
+    return F.flatten(F.transform(F.filter(cuts, lambda c: F.size(c["m"]) > 0), placed))
 
 
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0).cast("int")
 
 
-def _candidate(x: Column) -> Column:
-    """struct<start, rank, end, votes>: a loose match with its kind and the labelers' votes in the order of LABELERS."""
-    m, before = x["match"], x["before"]
-    is_a = {k: m.rlike(f"^{p.split(')', 1)[1] if k == 'secret' else p}$") for k, p in SHAPES.items()}
-    is_a["ssn"], is_a["iban"] = m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), m.rlike(r"^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$")
-    is_a["national_phone"] = m.rlike(r"^[(0-9][0-9() .-]+$") & ~is_a["ssn"] & m.rlike(r"[ .-][0-9]{4}$")
-    kind = F.when(is_a["ssn"], "ssn").when(is_a["national_phone"], "national_phone").when(is_a["iban"] & F.substring(m, 1, 2).isin(IBAN_COUNTRIES), "iban").otherwise("secret")
-
-    def by(k: Column, cases: dict[str, Column]) -> Column:
-        out = F.lit(False)
-        for name, c in cases.items():
-            out = F.when(k == name, c).otherwise(out)
+def _iban_holds(m: Column) -> Column:
+    """Whether an IBAN has its country's length and the remainder 1."""
+    bare = F.translate(m, " ", "")
+    turned = F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))
+    lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in (kv[0], int(kv[1]))])
+
+    def step(a: Column, c: Column) -> Column:
+        v = F.when(c <= "9", F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        return (F.when(v > 9, a * 100).otherwise(a * 10) + v) % 97
+
+    rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c)))
+    return (F.element_at(lengths, F.substr(bare, F.lit(1), F.lit(2))) == F.length(bare)) & (rest == 1)
+
+
+def _one_of(m: Column, words: str | list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in (words.split() if isinstance(words, str) else words)]), lambda w: F.contains(m, w))
+
+
+def _votes(x: Column) -> Column:
+    """The labelers' votes on a loose match, in the order of LABELERS."""
+    m, before, after, rank = x["match"], x["before"], x["after"], x["rank"]
+    digits, letters = F.length(F.regexp_replace(m, "[^0-9]", "")), F.length(F.regexp_replace(m, "[^A-Za-z]", ""))
+    yes, no = F.lit(True), F.lit(False)
+    bad_ssn = m.rlike(r"^(?:000|666|9)|-00-|-0000$")
+    year = F.regexp_extract(m, r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1)
+    real_date = m.rlike(r"^(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-]|-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$")
+    form = {
+        "secret": (m.rlike(r"^(?:[0-9a-f]{24,}|[0-9A-F]{24,}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20,})$"), m.rlike(r"^[0-9]+$|[-_=/+]{3}")),
+        "ssn": (~bad_ssn, bad_ssn), "national_phone": (m.rlike(r"^\(?[2-9][0-9]{2}"), m.rlike(r"^\(?[01]")),
+        "date": (real_date & (year != ""), ~real_date | (year == "")), "address": (m.rlike("^[0-9]|[0-9][a-z]?$"), ~m.rlike("[0-9]")), "name": (m.rlike(r" .* |\."), no),
+    }
+    gazetteer = {
+        "secret": (_one_of(m, KEY_PREFIXES), _one_of(F.lower(m), EXAMPLES["secret"])), "ssn": (no, _one_of(m, EXAMPLES["ssn"])),
+        "national_phone": (no, m.rlike(r"555[ .-]01[0-9]{2}$")), "iban": (no, F.translate(m, " ", "") == EXAMPLES["iban"]),
+        "date": (year.between("1920", "2012"), year > "2020"), "address": (m.rlike(r"(?:Street|Avenue|Road|Boulevard|straße|strasse|[Rr]ue|[Cc]alle)"), no), "name": (m.rlike(rf"(?:^| )(?:{'|'.join(FIRST_NAMES)}) "), no),
+    }
+    make_up = {
+        "secret": ((digits >= 4) & (letters >= 2), (digits < 4) | (letters < 2)), "ssn": (yes, no), "national_phone": (yes, no), "iban": (digits >= 10, digits < 10),
+    }
+    holds = _iban_holds(m)
+    form["iban"] = (holds, ~holds)
+
+    def by_kind(pairs: dict[str, tuple[Column, Column]]) -> Column:
+        out = F.lit(0)
+        for kind, pair in pairs.items():
+            out = F.when(rank == KINDS.index(kind), _vote(*pair)).otherwise(out)
         return out
 
-    def voted(k: Column) -> Column:
-        digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
-        letters = F.length(F.regexp_replace(m, "[^A-Za-z]", ""))
-        form = _vote(
-            by(k, {"secret": m.rlike(r"^(?:[0-9a-f]{24,}|[0-9A-F]{24,}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20,})$"), "ssn": ~m.rlike(r"^(?:000|666|9)|-00-|-0000$"), "national_phone": m.rlike(r"^\(?[2-9][0-9]{2}"), "iban": F.length(m) >= 15}),
-            by(k, {"secret": m.rlike(r"^[0-9]+$|[-_=/+]{3}"), "ssn": m.rlike(r"^(?:000|666|9)|-00-|-0000$"), "national_phone": m.rlike(r"^\(?[01]"), "iban": F.lit(False)}),
-        )
-        gazetteer = _vote(by(k, {name: before.rlike(cue) for name, cue in CUES.items()}), F.lit(False))
-        counter = _vote(F.lit(False), before.rlike(COUNTER_CUES + r"[^=]*$"))
-        assigned = _vote(before.rlike(r"[=:]\s*[\"']?$|[\"']$"), by(k, {"secret": before.rlike(r"[a-z0-9]\s$")}))
-        make_up = _vote(
-            by(k, {"secret": (digits >= 4) & (letters >= 2), "ssn": F.lit(True), "national_phone": F.lit(True), "iban": digits >= 10}),
-            by(k, {"secret": (digits < 4) | (letters < 2)}),
-        )
-        closed = _vote(x["after"].rlike(r"^(?:[\"'.,;:!?)\s]|$)"), x["after"].rlike(r"^[@/#]"))
-        return F.array(form, gazetteer, counter, assigned, make_up, closed)
-
-    return let(
-        kind,
-        lambda k: F.struct(x["start"].alias("start"), sum((F.when(k == n, i).otherwise(0) for i, n in enumerate(KINDS)), F.lit(0)).cast("int").alias("rank"), x["end"].alias("end"), voted(k).alias("votes")),
-    )
+    cue = F.coalesce(*[F.when(rank == KINDS.index(k), before.rlike(c)) for k, c in CUES.items()])
+    secret = rank == KINDS.index("secret")
+    votes = {
+        "form": by_kind(form), "gazetteer": by_kind(gazetteer), "cue": _vote(cue, no), "counter": _vote(no, before.rlike(COUNTER_CUES + r"[^=]*$")),
+        "assigned": _vote(before.rlike(r"[=:]\s*[\"']?$|[\"']$"), secret & before.rlike(r"[a-z0-9]\s$")), "make_up": by_kind(make_up),
+        "closed": _vote(after.rlike(r"^(?:[\"'.,;:!?)\s]|$)"), after.rlike(r"^[@/#]")),
+    }
+    return F.array(*[votes[name] for name in LABELERS])
+
+
+def _features(x: Column) -> Column:
+    """What the classifier sees of a span besides the votes; FEATURES has the number of values of each."""
+    m, n = x["match"], F.length(x["match"])
+
+    def bucket(v: Column, *ends: float) -> Column:
+        return sum((F.when(v >= e, 1).otherwise(0) for e in ends), F.lit(0))
+
+    distinct = F.size(F.array_distinct(F.split(m, ""))) / n
+    classes = F.when(m.rlike(r"\p{Ll}"), 1).otherwise(0) + F.when(m.rlike(r"\p{Lu}"), 2).otherwise(0) + F.when(m.rlike("[0-9]"), 4).otherwise(0)
+    last = F.right(x["before"], F.lit(1))
+    return F.array(bucket(n, 8, 16, 24, 40), bucket(distinct, 0.25, 0.5, 0.75), classes, F.when(last.rlike(r"^\s?$"), 0).when(last.isin("'", '"'), 1).when(last.isin("=", ":"), 2).otherwise(3)).cast("array<int>")
 
 
 def scan(text: Column) -> Column:
-    """struct<base: array<struct<start, rank, end>>, maybe: array<struct<start, rank, end, votes>>>; rank is the place of the kind in KINDS."""
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
+    """struct<base: array<struct<start, rank, end>>, maybe: array<struct<start, rank, end, votes, features>>>; rank is the place of the kind in KINDS."""
+    secret = KINDS.index("secret")
 
-    def found(kind: str) -> Column:
-        rank = F.lit(KINDS.index(kind))
-        return F.transform(F.filter(_matches(text, BASE[kind]), lambda x: CHECKS[kind](x["match"])), lambda x: _span(rank, x))
+    def apart(of: Column, from_: Column) -> Column:
+        return F.when(F.size(from_) == 0, of).otherwise(F.filter(of, lambda c: ~F.exists(from_, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
 
-    numbers = F.concat(found("ip"), found("card"), F.when(text.contains("+"), found("phone")).otherwise(none))
-    loose = F.transform(_matches(text, "|".join(SHAPES.values())), _candidate)
-    nothing = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,votes:array<int>>>")
+    def holds(x: Column) -> Column:
+        checks = F.lit(False)
+        for k, check in CHECKS.items():
+            checks = F.when(x["rank"] == KINDS.index(k), check(x["match"])).otherwise(checks)
+        return checks
 
-    def whole(base: Column, maybe: Column) -> Column:
-        apart = F.filter(maybe, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        return F.struct(F.array_sort(base).alias("base"), F.when(F.size(base) == 0, maybe).otherwise(apart).alias("maybe"))
+    def voted(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), _votes(x).alias("votes"), _features(x).alias("features"))
 
-    base = F.concat(F.when(text.contains("@"), found("email")).otherwise(none), F.when(text.rlike("[0-9]"), numbers).otherwise(none))
-    return let(base, lambda b: let(F.when(text.rlike("[0-9]"), loose).otherwise(nothing), lambda m: whole(b, m)))
+    def chosen(base: Column, loose: Column) -> Column:
+        # A run that is a number of another kind is no secret.
+        others, secrets = F.filter(loose, lambda x: x["rank"] != secret), F.filter(loose, lambda x: x["rank"] == secret)
+        maybe = let(others, lambda o: F.concat(o, apart(secrets, o)))
+        spans = F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
+        return F.struct(F.array_sort(spans).alias("base"), F.transform(apart(maybe, base), voted).alias("maybe"))
+
+    def found(digit: Column) -> Column:
+        gates = {"email": text.contains("@"), "phone": digit & text.contains("+"), **{k: digit for k in ("ip", "card", "secret", "ssn", "national_phone", "iban", "date", "address")}}
+        return _matches(text, BASE | SHAPES, gates)
+
+    return let(let(text.rlike("[0-9]"), found), lambda f: let(F.filter(f, lambda x: (x["rank"] < len(BASE)) & holds(x)), lambda b: chosen(b, F.filter(f, lambda x: x["rank"] >= len(BASE)))))
 
 
 @dataclass
 class Model:
-    """Weights of the span classifier; without training it adds no span."""
+    """Weights of the span classifier; without training it adds no span. reliability has the part of each labeler's votes
+    that agree with the estimated truth, None where it casts none; shift has what a vote for, none and one against
+    add to the log odds of a span."""
 
     bias: dict[int, float] = field(default_factory=dict)
     yes: list[float] = field(default_factory=lambda: [0.0] * len(LABELERS))
     no: list[float] = field(default_factory=lambda: [0.0] * len(LABELERS))
-    reliability: list[float] = field(default_factory=list)
+    features: list[list[float]] = field(default_factory=lambda: [[0.0] * n for n in FEATURES])
+    reliability: list[float | None] = field(default_factory=list)
+    shift: list[tuple[float, float, float]] = field(default_factory=list)
 
     def accepts(self, candidate: Column) -> Column:
         score = F.lit(0.0)
@@ -167,51 +247,77 @@ class Model:
         for i, (y, n) in enumerate(zip(self.yes, self.no, strict=True)):
             v = F.get(candidate["votes"], F.lit(i))
             score = score + F.when(v == 1, F.lit(y)).when(v == -1, F.lit(n)).otherwise(F.lit(0.0))
+        for i, weights in enumerate(self.features):
+            score = score + F.get(F.array(*[F.lit(w) for w in weights]), F.get(candidate["features"], F.lit(i)))
         return F.lit(bool(self.bias)) & (score > 0)
 
 
-def train(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 60) -> Model:
-    """Model from (rank, votes, count) rows; the classes are independent given the truth, abstaining says nothing."""
+#: Votes that each labeler is held to have cast before any data: (against, none, for) on true spans; on false ones reversed.
+PRIOR_VOTES = (0.75, 2.0, 3.0)
+
+
+def estimate(rank: np.ndarray, votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """(truth, cast): the probability that each pattern (kind rank[i], votes[i] by all labelers, n[i] times) is true, and
+    cast[t, l, v], the probability of vote v - 1 of labeler l on spans of truth t.
+
+    Labelers are independent given the truth. Each kind has a prior of its own. The first guess counts votes."""
+    kinds = np.unique(rank)
+    before = np.stack([np.tile(PRIOR_VOTES[::-1], (votes.shape[1], 1)), np.tile(PRIOR_VOTES, (votes.shape[1], 1))])
+    truth = 1 / (1 + np.exp(-1.4 * votes.sum(axis=1)))
+    is_vote = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    cast = before
+    for _ in range(rounds):
+        weight = np.stack([(1 - truth) * n, truth * n])
+        cast = before + np.einsum("tp,plv->tlv", weight, is_vote)
+        cast = cast / cast.sum(axis=2, keepdims=True)
+        odds = np.einsum("plv,lv->p", is_vote, np.log(cast[1]) - np.log(cast[0]))
+        for k in kinds:
+            of = rank == k
+            part = (weight[1, of].sum() + 2) / (n[of].sum() + 4)
+            odds[of] += math.log(part / (1 - part))
+        truth = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return truth, cast
+
+
+def _design(rank: np.ndarray, votes: np.ndarray, features: np.ndarray, kinds: list[int]) -> np.ndarray:
+    parts = [rank[:, None] == np.array(kinds), votes == 1, votes == -1]
+    parts += [features[:, [i]] == np.arange(size) for i, size in enumerate(FEATURES)]
+    return np.concatenate(parts, axis=1).astype(float)
+
+
+def train(counts: list[tuple[int, tuple[int, ...], tuple[int, ...], int]], ridge: float = 1.0) -> Model:
+    """Model from (rank, votes, features, count) rows: probabilities from their votes, then a classifier that also sees features."""
     if not counts:
         return Model()
-    total = sum(n for *_, n in counts)
-    width = len(LABELERS)
-    right = [0.8] * width
-    prior, truth = 0.5, []
-    for _ in range(rounds):
-        truth = []
-        for _, votes, _ in counts:
-            odds = math.log(prior / (1 - prior)) + sum(v * math.log(r / (1 - r)) for v, r in zip(votes, right, strict=True))
-            truth.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
-        prior = min(0.9, max(0.1, sum(p * n for p, (*_, n) in zip(truth, counts, strict=True)) / total))
-        for i in range(width):
-            hit = sum(n * (p if v[i] == 1 else 1 - p) for p, (_, v, n) in zip(truth, counts, strict=True) if v[i])
-            cast = sum(n for _, v, n in counts if v[i])
-            right[i] = min(0.95, max(0.55, (hit + 0.8 * (held := 10 + total / 2)) / (cast + held)))
-    model = Model({r: 0.0 for r, *_ in counts}, reliability=right)
-    rate = 1.0
-    for step in range(400):
-        bias, yes, no = dict.fromkeys(model.bias, 0.0), [0.0] * width, [0.0] * width
-        for p, (rank, votes, n) in zip(truth, counts, strict=True):
-            z = model.bias[rank] + sum(model.yes[i] if v == 1 else model.no[i] if v == -1 else 0.0 for i, v in enumerate(votes))
-            slope = (p - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) * n / total
-            bias[rank] += slope
-            for i, v in enumerate(votes):
-                if v == 1:
-                    yes[i] += slope
-                elif v == -1:
-                    no[i] += slope
-        rate = 4.0 / (1 + step / 100)
-        model.bias = {r: b + rate * bias[r] for r, b in model.bias.items()}
-        model.yes = [w + rate * (g - 1e-4 * w) for w, g in zip(model.yes, yes, strict=True)]
-        model.no = [w + rate * (g - 1e-4 * w) for w, g in zip(model.no, no, strict=True)]
-    return model
-
-
-def fit(candidates: DataFrame, maybe: str = "maybe") -> Model:
-    """Train on the counts of vote patterns in all rows of an array column of candidates."""
-    counts = candidates.select(F.explode(maybe).alias("c")).groupBy("c.rank", "c.votes").count()
-    return train(sorted((r["rank"], tuple(r["votes"]), r["count"]) for r in counts.collect()))
+    rank, n = np.array([r for r, *_ in counts]), np.array([float(c) for *_, c in counts])
+    votes, features = np.array([v for _, v, _, _ in counts]), np.array([f for _, _, f, _ in counts])
+    patterns, at = np.unique(np.c_[rank, votes], axis=0, return_inverse=True)
+    truth, cast = estimate(patterns[:, 0], patterns[:, 1:], np.bincount(at.ravel(), n))
+    y = truth[at.ravel()]
+    kinds = sorted(set(rank.tolist()))
+    x = _design(rank, votes, features, kinds)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * w)
+        w = w + np.clip(step, -2, 2)
+    width, right = len(LABELERS), []
+    for i in range(width):
+        some = votes[:, i] != 0
+        agree = np.where(votes[some, i] == 1, y[some], 1 - y[some])
+        right.append(round(float((agree * n[some]).sum() / n[some].sum()), 6) if some.any() else None)
+    shift = np.log(cast[1]) - np.log(cast[0])
+    ends = np.cumsum([len(kinds), width, width, *FEATURES])
+    bias, yes, no, *rest = (v.round(9).tolist() for v in np.split(w, ends[:-1]))
+    return Model(dict(zip(kinds, bias, strict=True)), yes, no, rest, right, [tuple(r[::-1]) for r in shift.round(6).tolist()])
+
+
+def fit(candidates: DataFrame, maybe: str = "maybe", patterns: int = MODEL_PATTERNS) -> Model:
+    """Train on the counts of patterns in all rows of an array column of candidates; of patterns beyond `patterns`, which
+    is more than texts are known to have, the rarest are left out of training (no span is left out of the decision)."""
+    counts = candidates.select(F.explode(maybe).alias("c")).groupBy("c.rank", "c.votes", "c.features").count()
+    found = counts.orderBy(F.desc("count"), "rank", "votes", "features").limit(patterns).collect()
+    return train(sorted((r["rank"], tuple(r["votes"]), tuple(r["features"]), r["count"]) for r in found))
 
 
 def spans(found: Column, model: Model) -> Column:

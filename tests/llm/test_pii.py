@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexivec.llm import pii
@@ -44,16 +46,129 @@ def test_base_spans_match_brute_force(spark):
 def test_labelers_vote_and_clean_texts_stay(spark):
     rng = random.Random(2)
     secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    number = lambda holds: next(d for d in iter(lambda: f"98{rng.randint(10**12, 10**13)}", "") if luhn(d) == holds)
     dirty = [f'here token = "{secret()}" ends' for _ in range(40)]
-    clean = [f"order 98{rng.randint(10**12, 10**13)} was sent with commit of the day" for _ in range(40)] + ["plain words " * 50]
-    docs = spark.createDataFrame(list(enumerate(dirty + clean)), "doc_id long, text string")
+    clean = [f"order {number(False)} was sent with commit of the day" for _ in range(40)] + ["plain words " * 50]
+    card = f"order {number(True)} was sent"
+    docs = spark.createDataFrame(list(enumerate([*dirty, *clean, card])), "doc_id long, text string")
     found, model = pii.find(docs)
-    got = {r["doc_id"]: len(r["spans"]) - len(r["base"]) for r in found.collect()}
-    assert got == {i: int(i < 40) for i in got}
+    got = {r["doc_id"]: (len(r["base"]), len(r["spans"])) for r in found.collect()}
+    assert got == {i: (0, int(i < 40)) for i in range(81)} | {81: (1, 1)}
     assert len(model.reliability) == len(pii.LABELERS)
     out = {r["doc_id"]: r for r in pii.redact(docs.withColumn("n_chars", F.length("text")).withColumn("found", F.lit(1))).collect()}
     assert out[0]["text"] == 'here token = "<SECRET>" ends' and out[0]["n_chars"] == len(out[0]["text"])
-    assert all(out[i]["text"] == t for i, t in enumerate(dirty + clean) if i >= 40)
+    assert all(out[i]["text"] == t for i, t in enumerate(dirty + clean) if i >= 40) and out[81]["text"] == "order <CARD> was sent"
+
+
+def test_secrets_with_late_digits(spark):
+    texts = [f'token = "{"".join(random.Random(i).choice("abcdefgXYZ") for _ in range(n))}1234567890" end' for i, n in enumerate((20, 100, 3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [len(r[0]) for r in docs.select(pii.scan(F.col("text"))["maybe"]).collect()] == [1, 1, 1]
+
+
+SYLLABLES = "ta re mi lo su ven dar kel pri gos".split()
+
+
+def planted(seed, n):
+    """(text, spans (kind, value) that are personal data) with as many look-alikes that are not."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(2, 4)))
+    words = lambda: " ".join(word() for _ in range(rng.randint(3, 12)))
+
+    def iban():
+        rest = digits(18)
+        return f"DE{98 - int(rest + '131400') % 97:02}{rest}"
+
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(36))
+    ssn = lambda: f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    phone = lambda: f"({rng.randint(200, 989)}) {rng.randint(200, 989)}-{digits(4)}"
+    born = lambda: f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}.{rng.randint(1930, 2005)}"
+    person = lambda: f"{rng.choice(pii.FIRST_NAMES)} {word().capitalize()}"
+    home = lambda: f"{rng.randint(1, 999)} {word().capitalize()} {rng.choice(['Street', 'Avenue', 'Road'])}"
+    true = [("secret", "api key: ", key), ("ssn", "SSN: ", ssn), ("national_phone", "call ", phone), ("iban", "IBAN: ", iban), ("date", "born ", born), ("name", "contact: ", person), ("address", "home address: ", home)]
+    false = [
+        ("commit ", lambda: digits(18)), ("serial ", lambda: f"9{digits(2)}-00-{digits(4)}"), ("part ", lambda: f"{rng.randint(0, 199):03} {digits(3)} {digits(4)}@"), ("order ", lambda: f"DE00{digits(18)}"),
+        ("published ", lambda: f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(2021, 2025)}"), ("model ", lambda: "-".join(["item", digits(2), word(), "x" * 14])),
+    ]
+    for _ in range(n):
+        parts, want = [words()], []
+        for _ in range(rng.randint(0, 3)):
+            kind, cue, make = rng.choice(true)
+            value = make()
+            want.append((kind, value))
+            parts += [cue + value + ".", words()]
+        for _ in range(rng.randint(0, 3)):
+            cue, make = rng.choice(false)
+            parts += [cue + make(), words()]
+        yield " ".join(parts), want
+
+
+def test_precision_and_recall_of_planted_spans(spark, capsys):
+    rows = list(planted(3, 1500))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found, model = pii.find(docs)
+    got = {(r["doc_id"], pii.KINDS[s["rank"]], rows[r["doc_id"]][0][s["start"] : s["end"]]) for r in found.collect() for s in r["spans"] if s["rank"] >= len(pii.BASE)}
+    want = {(i, k, v) for i, (_, spans) in enumerate(rows) for k, v in spans}
+    precision, recall = len(got & want) / len(got), len(got & want) / len(want)
+    with capsys.disabled():
+        print(f"\nop7: precision {precision:.3f}, recall {recall:.3f} of {len(want)} planted spans; reliability {dict(zip(pii.LABELERS, model.reliability, strict=True))}")
+    assert precision >= 0.95 and recall >= 0.95
+
+
+def brute_estimate(items, rounds):
+    """Expectation maximisation item by item, as its definition says, for (rank, votes) items."""
+    guess = [1 / (1 + math.exp(-1.4 * sum(v))) for _, v in items]
+    width = len(items[0][1])
+    for _ in range(rounds):
+        cast = [[dict(zip((-1, 0, 1), pii.PRIOR_VOTES[:: 1 if t else -1], strict=True)) for _ in range(width)] for t in (0, 1)]
+        prior = {}
+        for (rank, votes), p in zip(items, guess, strict=True):
+            one = prior.setdefault(rank, [2.0, 4.0])
+            one[0] += p
+            one[1] += 1
+            for i, v in enumerate(votes):
+                cast[0][i][v] += 1 - p
+                cast[1][i][v] += p
+        guess = []
+        for rank, votes in items:
+            a, b = prior[rank][0] / prior[rank][1], 1 - prior[rank][0] / prior[rank][1]
+            for i, v in enumerate(votes):
+                a *= cast[1][i][v] / sum(cast[1][i].values())
+                b *= cast[0][i][v] / sum(cast[0][i].values())
+            guess.append(a / (a + b))
+    return guess
+
+
+def test_estimates_match_brute_force_and_bad_labelers_lose_their_weight():
+    rng = np.random.default_rng(6)
+    truth = rng.random(3000) < 0.4
+    side = np.where(truth, 1, -1)
+
+    def labeler(right, speaks):
+        return np.where(rng.random(3000) < speaks, np.where(rng.random(3000) < right, side, -side), 0)
+
+    votes = np.stack([labeler(0.9, 0.8), labeler(0.85, 0.7), labeler(0.95, 0.5), labeler(0.5, 0.9), np.ones(3000, int), labeler(0.15, 0.8), np.zeros(3000, int)], axis=1)
+    rank = rng.integers(4, 6, 3000)
+    patterns, n = np.unique(np.c_[rank, votes], axis=0, return_counts=True)
+    got, cast = pii.estimate(patterns[:, 0], patterns[:, 1:], n.astype(float), rounds=8)
+    items = [(int(r), tuple(v.tolist())) for r, v in zip(rank, votes, strict=True)]
+    by_pattern = dict(zip(items, brute_estimate(items, 8), strict=True))
+    assert np.allclose(got, [by_pattern[int(r), tuple(v)] for r, *v in patterns.tolist()], atol=1e-9)
+
+    features = [tuple([0] * len(pii.FEATURES))] * len(patterns)
+    model = pii.train([(int(r), tuple(v), f, int(c)) for (r, *v), f, c in zip(patterns.tolist(), features, n, strict=True)])
+    assert all(abs(model.reliability[i] - r) < 0.05 for i, r in ((0, 0.9), (1, 0.85), (2, 0.95), (3, 0.5), (5, 0.15))) and model.reliability[6] is None
+    assert abs(model.yes[3]) < 0.3 and abs(model.shift[4][0]) < 0.05 and model.yes[5] < -0.5 < 0.5 < model.yes[0]
+
+
+def test_features_move_the_decision():
+    """Spans with the same votes are told apart by what they look like."""
+    rows = []
+    for length, votes, n in ((3, (1, 0, 1, 0, 1, 1, 1), 400), (0, (-1, 0, 0, -1, 0, -1, 1), 400), (3, (0, 0, 0, 0, 0, 0, 1), 30), (0, (0, 0, 0, 0, 0, 0, 1), 30)):
+        rows.append((4, votes, (length, 2, 5, 0), n))
+    model = pii.train(rows)
+    assert model.features[0][3] > 0 > model.features[0][0]
 
 
 def test_redaction_of_overlaps_and_empty_tables(spark):
