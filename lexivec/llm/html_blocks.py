@@ -42,11 +42,13 @@ _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 @dataclass
 class Block:
-    """text has its character references decoded and single spaces; path holds (tag, words of class, id and role)."""
+    """text has its character references decoded and single spaces; path holds (tag, words of class, id and role), and ids
+    a number for each element of it."""
 
     text: str
     path: tuple[tuple[str, frozenset[str]], ...]
     linked: int  # characters inside links
+    ids: tuple[int, ...] = ()
 
 
 def names(attrs: str) -> frozenset[str]:
@@ -93,6 +95,8 @@ def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in page order; those without text are left out."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
+    ids: list[int] = []
+    n_elements = 0
     parts: list[str] = []
     linked, in_link = 0, False
 
@@ -100,7 +104,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, tuple(stack), linked))
+            out.append(Block(text, tuple(stack), linked, tuple(ids)))
         parts, linked = [], 0
 
     def say(text: str) -> None:
@@ -130,11 +134,15 @@ def blocks(page: str) -> list[Block]:
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
+                del ids[len(stack) :]
             continue
         while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
             stack.pop()
+            ids.pop()
         if tag not in VOID_TAGS and not m["attrs"].rstrip().endswith("/"):
+            n_elements += 1
             stack.append((tag, names(m["attrs"]) if m["attrs"] else frozenset()))
+            ids.append(n_elements)
     say(page[at:])
     flush()
     return out

@@ -15,7 +15,7 @@ from lexivec.llm.html_blocks import Block, blocks
 from lexivec.llm.html_pages import labelled_pages
 
 #: Pages that the field is trained on, by default; the bound of the training sample.
-TRAINING_PAGES, TRAINING_SEED = 400, 11
+TRAINING_PAGES, TRAINING_SEED = 700, 11
 
 _TAGS = "head title nav header footer aside form button option article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl table td th blockquote pre figure figcaption body".split()
 #: Parts of class, id and role names that tell what a block is.
@@ -36,14 +36,98 @@ _NOT_CONTENT = [g for g in _WORDS if g != "content"]
 FEATURES = [
     "bias", *[f"in:{t}" for t in _TAGS], *[f"at:{t}" for t in _TAGS], *[f"named:{g}" for g in _WORDS], "inner:chrome", "article>header", "article>chrome tag", "body alone",
     *[f"words:{n}" for n in (1, 2, 5, 10, 25)], "links:some", "links:most", "links:all", "ends a sentence", "copyright", "no letters", "first", "last",
+    "page has article", "before article", "after article", "before heading", "in main container", "beside main container", "before main container", "after main container", "repeated container",
+    "repeated after main", "short copyright", "comment heading", "after comment heading", "prose before", "prose after", "links before", "links after", "titles the prose", "repeats the page title", "closing copyright",
 ]
+#: Headings of what readers wrote, by their first word.
+_COMMENT_HEADINGS = set("comments comment responses replies reactions discussion opinions feedback reviews kommentare kommentar meinungen leserbriefe comentarios opiniones commentaires réactions avis".split())
+#: Elements that are part of running text; what holds these is a container.
+_INNER = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table tbody thead tfoot tr td th header hgroup".split())
 _AT = {f: i for i, f in enumerate(FEATURES)}
 _IN = {t: _AT[f"in:{t}"] for t in _TAGS}
 
 
+def _is_prose(b: Block) -> bool:
+    return b.linked * 2 < len(b.text) and b.text.count(" ") >= 5 and b.text[-1] in ".!?:;…\"'”»"
+
+
+def _structure(x: np.ndarray, page: list[Block]) -> None:
+    """Features that need the whole page: which container holds most of the prose, what is repeated, and what is near."""
+    tags = [[t for t, _ in b.path] for b in page]
+    inside = ["article" in t or "main" in t for t in tags]
+    prose = [_is_prose(b) for b in page]
+    linked = [b.linked * 2 >= len(b.text) for b in page]
+    # The container of a block is its innermost element that is no part of running text.
+    depth = [next((i + 1 for i in range(len(t) - 1, -1, -1) if t[i] not in _INNER), 0) for t in tags]
+    containers = [b.ids[:d] for b, d in zip(page, depth, strict=True)]
+    # Elements with the same tag and names under one parent are repeated; rows of running text don't count.
+    shapes: dict[tuple, set[int]] = {}
+    for b, t in zip(page, tags, strict=True):
+        for i, (tag, ns) in enumerate(b.path):
+            if tag not in _INNER or tag == "li":
+                shapes.setdefault((b.ids[i - 1] if i else 0, tag, ns), set()).add(b.ids[i])
+    repeated = []
+    for b, d in zip(page, depth, strict=True):
+        inner = [i for i in range(len(b.path)) if b.path[i][0] not in _INNER or (b.path[i][0] == "li" and i + 1 < len(b.path))]
+        repeated.append(any(len(shapes[b.ids[i - 1] if i else 0, *b.path[i]]) > 1 for i in inner[-3:]))
+    mass: dict[tuple, int] = {}
+    for b, c, p, r in zip(page, containers, prose, repeated, strict=True):
+        if p:
+            mass[c] = mass.get(c, 0) + (b.text.count(" ") + 1) // (3 if r else 1)
+    best = max(mass, key=mass.get) if mass else ()
+    in_best = [bool(mass) and b.ids[: len(best)] == best for b in page]
+    first_best, last_best = (in_best.index(True), len(page) - 1 - in_best[::-1].index(True)) if any(in_best) else (len(page), -1)
+    first_article, last_article = (inside.index(True), len(page) - 1 - inside[::-1].index(True)) if any(inside) else (len(page), -1)
+    headings = [i for i, t in enumerate(tags) if t and t[-1] == "h1"] or [i for i, t in enumerate(tags) if t and t[-1] == "h2"]
+    last_prose = max((i for i, p in enumerate(prose) if p and "copyright" not in page[i].text.lower()), default=-1)
+    title = next((b.text.lower() for b, t in zip(page, tags, strict=True) if "title" in t), "")
+    comments = False
+    for i, (row, b) in enumerate(zip(x, page, strict=True)):
+        on = []
+        if any(inside):
+            on.append("page has article")
+            if not inside[i]:
+                on.append("before article" if i < first_article else "after article" if i > last_article else "page has article")
+        if headings and i < headings[0]:
+            on.append("before heading")
+        if in_best[i]:
+            on.append("in main container" if containers[i] == best else "beside main container")
+        elif mass:
+            on.append("before main container" if i < first_best else "after main container" if i > last_best else "beside main container")
+        if repeated[i]:
+            on.append("repeated container")
+            if i > last_best:
+                on.append("repeated after main")
+        low = b.text.lower()
+        n = low.count(" ") + 1
+        if n <= 20 and ("©" in low or "copyright" in low or "rights reserved" in low or "(c) " in low):
+            on.append("short copyright")
+            if i > last_prose:
+                on.append("closing copyright")
+        if n <= 6 and not b.linked and not inside[i] and any(w.strip(":()") in _COMMENT_HEADINGS for w in low.split()):
+            on.append("comment heading")
+            comments = True
+        elif comments:
+            on.append("after comment heading")
+        if i and prose[i - 1]:
+            on.append("prose before")
+        if i + 1 < len(page) and prose[i + 1]:
+            on.append("prose after")
+            if tags[i] and tags[i][-1] in ("h1", "h2", "h3") and containers[i + 1] == containers[i]:
+                on.append("titles the prose")
+        if i and linked[i - 1]:
+            on.append("links before")
+        if i + 1 < len(page) and linked[i + 1]:
+            on.append("links after")
+        if i and low and low == title:
+            on.append("repeats the page title")
+        row[[_AT[f] for f in on]] = 1
+
+
 def featurize(page: list[Block]) -> np.ndarray:
     """A row of 0 and 1 for each block."""
     x = np.zeros((len(page), len(FEATURES)))
+    _structure(x, page)
     for row, b in zip(x, page, strict=True):
         on = [0]
         inside = [t for t, _ in b.path]

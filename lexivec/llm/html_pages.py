@@ -44,10 +44,16 @@ class PageMaker:
         close = "" if tag in ("p", "li") and self.rng.random() < self.unclosed else f"</{tag}>"
         return f"<{tag}{attrs}>{inner.format(html.escape(text, quote=False).replace('{', '').replace('}', ''))}{close}"
 
+    def unknown(self) -> str:
+        """A name that tells nothing."""
+        return "".join(self.rng.choice(_SYLLABLES[:16]) for _ in range(self.rng.randint(2, 4)))
+
     def name(self, kind: str) -> str:
         r = self.rng
         if r.random() < 0.2:
             return ""
+        if self.plain and kind not in ("advert", "notice", "share"):
+            return f' {r.choice(["class", "class", "id"])}="{self.unknown()}"'
         return f' {r.choice(["class", "class", "id"])}="{r.choice(CHROME_NAMES[kind])}"'
 
     def links(self, n: int, label: int = 0) -> str:
@@ -61,22 +67,29 @@ class PageMaker:
         if r.random() < 0.35 and attrs:
             tag = r.choice(["div", "section"])
         if tag == "div" and not attrs:
-            attrs = f' class="{r.choice(CHROME_NAMES[kind])}"'
+            attrs = f' class="{self.unknown() if self.plain and kind in ("menu", "header", "footer", "comments") else r.choice(CHROME_NAMES[kind])}"'
+        if self.plain and kind in ("menu", "footer", "comments", "sidebar", "form") and r.random() < 0.6:
+            tag = r.choice(["div", "section", "div"])
         if kind == "menu":
             body = self.links(r.randint(2, 9))
         elif kind == "header":
             body = self.put("div", self.words(1, 4), 0) + (self.put("p", self.words(3, 9), 0) if r.random() < 0.5 else "")
         elif kind == "footer":
-            body = r.choice([self.put, self.bare])("p", "© " * (r.random() < 0.7) + r.choice(["example.com · ", "2024 "]) + self.sentences(1), 0)
+            line = r.choice([f"© {r.randint(1999, 2026)} {self.words(1, 3).title()} Ltd.", f"Copyright {r.randint(1999, 2026)} {self.words(1, 3).title()}. All rights reserved.", f"{self.words(1, 2).title()} - all rights reserved"]) if self.plain else "© " * (r.random() < 0.7) + r.choice(["example.com · ", "2024 "]) + self.sentences(1)
+            body = r.choice([self.put, self.bare])("p", line, 0)
             body += self.links(r.randint(1, 4)) if r.random() < 0.4 else ""
         elif kind == "sidebar":
             body = self.put("h3", self.words(1, 4), 0) + (self.links(r.randint(2, 6)) if r.random() < 0.6 else self.put("p", self.sentences(r.randint(1, 3)), 0))
         elif kind == "form":
             body = self.put("div", self.words(1, 4), 0) + '<input name="q">' + self.put("button", self.words(1, 2), 0)
         elif kind == "comments":
-            body = (self.put("h3", self.words(1, 3), 0) if r.random() < 0.6 else "") + "".join(
-                f'<div class="{r.choice(["comment", "reply", "comment-body"])}">{self.put("p", self.sentences(r.randint(1, 3)), 0)}</div>' for _ in range(r.randint(1, 4))
-            )
+            heading = r.choice(["Comments", "2 comments", "Kommentare", "Comentarios", "Commentaires", "Reader opinions", "Responses"]) if self.plain and r.random() < 0.6 else self.words(1, 3)
+            item = self.unknown() if self.plain else r.choice(["comment", "reply", "comment-body"])
+            tag_of = r.choice(["div", "div", "li"]) if self.plain else "div"
+            body = self.put("h3", heading, 0) if r.random() < 0.6 else ""
+            for _ in range(r.randint(2, 5) if self.plain else r.randint(1, 4)):
+                who = self.put(r.choice(["p", "div"]), self.words(1, 2).title() + r.choice(["", " wrote:", ", 2 days ago"]), 0) if self.plain and r.random() < 0.7 else ""
+                body += f'<{tag_of} class="{item}">{who}{self.put("p", self.sentences(r.randint(1, 3)), 0)}</{tag_of}>'
         elif kind == "share":
             body = self.links(r.randint(2, 4))
         else:
@@ -90,6 +103,11 @@ class PageMaker:
 
     def article(self) -> str:
         r = self.rng
+        # A cell with links, which stands before the article's where that is a cell of a table.
+        self.beside = ""
+        layout = self.plain and r.random() < 0.15
+        if layout and r.random() < 0.6:
+            self.beside = self.put("td", self.words(2, 6).title(), 0, inner='<a href="/x">{}</a>')
         heading = self.put(r.choice(["h1", "h1", "h2"]), self.words(2, 12).capitalize(), 1)
         body = [f"<header>{heading}</header>" if r.random() < 0.15 else heading]
         for _ in range(r.choice([1, 2, 3, 5, 8, 13, 20])):
@@ -106,9 +124,17 @@ class PageMaker:
             elif kind < 0.96:
                 body.append(f"<blockquote>{self.put('p', self.sentences(1), 1)}</blockquote>")
             else:
-                body.append(self.chrome(r.choice(["advert", "share", "sidebar", "notice"])))
-        if r.random() < 0.08:
+                body.append(self.chrome(r.choice(["advert", "share", "notice"] if self.plain else ["advert", "share", "sidebar", "notice"])))
+        if r.random() < 0.08 and not self.plain:
             body.append(self.chrome("comments"))
+        if self.plain:
+            shapes = [("article", ""), ("main", f' id="{self.unknown()}"'), ("div", f' class="{self.unknown()}"'), ("div", ""), ("section", f' class="{self.unknown()}"'), ("", "")]
+            tag, attrs = ("td", "") if layout else r.choice(shapes)
+            if not tag:
+                return "".join(body)
+            if tag == "td":
+                return f"<table><tr>{self.beside}<td>{''.join(body)}</td></tr></table>"
+            return f"<{tag}{attrs}>{''.join(body)}</{tag}>"
         tag, attrs = r.choice([("article", ""), ("article", ' class="post"'), ("main", ""), ("div", f' class="{r.choice(CONTENT_NAMES)}"'), ("div", f' id="{r.choice(CONTENT_NAMES)}"')])
         end = "" if r.random() < 0.05 else f"</{tag}>"
         return f"<{tag}{attrs}>{''.join(body)}{end}"
@@ -117,10 +143,14 @@ class PageMaker:
         r = self.rng
         self.labels: list[int] = []
         self.unclosed = r.choice([0, 0, 0.3, 1])
+        #: Half of the pages have names that tell nothing.
+        self.plain = r.random() < 0.5
         head = f"<!DOCTYPE html><html><head><meta charset=utf-8>{self.put('title', self.words(2, 9), 0)}<style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>"
         top = "".join(self.chrome(k) for k in ("notice", "header", "menu", "form", "advert") if r.random() < 0.5)
         main = self.article()
         under = "".join(self.chrome(k) for k in ("share", "comments", "sidebar", "advert", "form", "menu", "footer") if r.random() < 0.5)
+        if self.plain and r.random() < 0.3:
+            under += self.put("p", f"{r.choice(['Copyright', '©', '(c)'])} {r.randint(1999, 2026)} {self.words(1, 3).title()} Ltd.", 0)
         return f"{head}{top}<!-- x -->{main}{under}" + r.choice(["</body></html>", ""]), self.labels
 
 

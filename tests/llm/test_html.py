@@ -1,3 +1,7 @@
+import sys
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from lexivec.llm import html_crf
@@ -43,6 +47,27 @@ def test_article_with_custom_and_unclosed_elements():
         assert page != PAGE and html_crf.main_text(page, field) == html_crf.main_text(PAGE, field) != ""
 
 
+def test_pages_made_by_hand(capsys):
+    """Block F1 on pages of other makers."""
+    sys.path.insert(0, str(Path(__file__).parent))
+    from hand_pages import PAGES
+
+    field = html_crf.default_field()
+    hit = got_n = want_n = 0
+    for page, want in PAGES:
+        got = html_crf.main_text(page, field).split("\n")
+        hit, got_n, want_n = hit + sum((Counter(got) & Counter(want)).values()), got_n + len(got), want_n + len(want)
+    f1 = 2 * hit / (got_n + want_n)
+    with capsys.disabled():
+        print(f"\nop1: block F1 {f1:.3f} on pages made by hand")
+    assert f1 >= 0.95
+
+
+def test_one_page_of_many_blocks():
+    page = "<article><h1>Title of it</h1>" + "<p>A sentence of some length that ends here.</p>" * 20_000 + "</article>"
+    assert html_crf.main_text(page, html_crf.default_field()).count("\n") == 20_000
+
+
 def test_held_out_accuracy():
     field, wrong, total = html_crf.default_field(), 0, 0
     for page, labels in labelled_pages(200, seed=77):
