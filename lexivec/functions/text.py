@@ -107,3 +107,22 @@ def backoff(delay: Column, attempt: Column, base: float, cap: float) -> Column:
 
 def outcome(text: Column) -> Column:
     return F.when(abstains(text), "abstained").otherwise("answered")
+
+
+def utc(ts: Column) -> Column:
+    """A timestamp as ISO 8601 in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def utc_now() -> Column:
+    return utc(F.current_timestamp())
+
+
+def shortened(text: Column, n: int) -> Column:
+    """The first n characters."""
+    return F.left(text, F.lit(n))
+
+
+def valid_question(question: Column, most: int = 2000) -> Column:
+    """Whether a question has between 1 and `most` characters; false for null."""
+    return F.coalesce(F.length(question).between(1, most), F.lit(False))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,8 +21,9 @@ def token_windows(docs: DataFrame, size: int, overlap: float, least: int = DEFAU
     step = size - int(size * overlap)
     tokened = docs.select("doc_id", T.tokens(F.col("text")).alias("all")).where(F.size("all") > 0)
     last = F.greatest(F.ceil((F.size("all") - size) / step), F.lit(0)).cast("int")
-    windows = tokened.select("doc_id", "all", F.explode(F.sequence(F.lit(0), last)).alias("ordinal"))
-    cut = windows.select("doc_id", "ordinal", F.slice("all", F.col("ordinal") * step + 1, F.lit(size)).alias("tokens"))
+    # The windows are cut before they are dealt out, so that no row carries the whole document with each of them.
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("all", i * step + 1, F.lit(size)))
+    cut = tokened.select("doc_id", F.posexplode(parts).alias("ordinal", "tokens"))
     cut = cut.withColumn("token_count", F.size("tokens")).where(F.col("token_count") >= least)
     return cut.select(T.chunk_id(F.col("doc_id"), F.col("ordinal")).alias("chunk_id"), "doc_id", "ordinal", "token_count", "tokens")
 
@@ -39,7 +40,7 @@ def split_text(text: str, size: int, overlap: int, count=lambda s: len(_TOKEN.fi
     parts = [p for p in (text.split(mark) if mark else list(text)) if p]
     out: list[str] = []
     held: list[tuple[str, int]] = []
-    total = 0
+    total, between = 0, count(mark) if mark else 0
     for part in parts:
         n = count(part)
         if n > size and finer:
@@ -48,29 +49,50 @@ def split_text(text: str, size: int, overlap: int, count=lambda s: len(_TOKEN.fi
                 held, total = [], 0
             out += split_text(part, size, overlap, count, finer)
             continue
-        if total + n > size and held:
+        if held and total + between + n > size:
             out.append(mark.join(p for p, _ in held))
-            while held and (total > overlap or total + n > size):
-                total -= held.pop(0)[1]
+            while held and (total > overlap or total + between + n > size):
+                total -= between * (len(held) > 1) + held.pop(0)[1]
+        total += n + between * bool(held)
         held.append((part, n))
-        total += n
     if held:
         out.append(mark.join(p for p, _ in held))
     return [p.strip() for p in out if p.strip()]
 
 
-def recursive_chunks(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(chunk_id, doc_id, text, token_count, ordinal) of docs (doc_id, text) by split_text; small chunks leave gaps."""
+def words_counted() -> Callable[[str], int]:
+    """A counter of this library's tokens."""
+    return lambda s: len(_TOKEN.findall(s))
+
+
+def byte_pairs_counted(path: str, pattern: str, special: dict[str, int] | None = None) -> Callable[[], Callable[[str], int]]:
+    """A counter of byte-pair tokens, from a file of ranks and the pattern that its vocabulary cuts texts with."""
+
+    def load() -> Callable[[str], int]:
+        import tiktoken
+        from tiktoken.load import load_tiktoken_bpe
+
+        encoding = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(path), special_tokens=special or {})
+        return lambda s: len(encoding.encode_ordinary(s))
+
+    return load
+
+
+def recursive_chunks(docs: DataFrame, config: Config = DEFAULT, load_counter: Callable[[], Callable[[str], int]] = words_counted) -> DataFrame:
+    """(chunk_id, doc_id, text, token_count, ordinal) of docs (doc_id, text) by split_text; small chunks leave gaps.
+
+    load_counter gives the function that counts tokens of a text; it is called once in each worker."""
     if config.chunk_strategy != "recursive":
         raise ValueError(f"chunk strategy {config.chunk_strategy!r} is not implemented")
     size, overlap, least = config.chunk_tokens, config.overlap_tokens, config.min_chunk_tokens
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = load_counter()
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                for i, piece in enumerate(split_text(text, size, overlap)):
-                    n = len(_TOKEN.findall(piece))
+                for i, piece in enumerate(split_text(text, size, overlap, count)):
+                    n = count(piece)
                     if n >= least:
                         rows.append((f"{doc_id}#{i:04d}", doc_id, piece, n, i))
             yield pd.DataFrame(rows, columns=["chunk_id", "doc_id", "text", "token_count", "ordinal"])

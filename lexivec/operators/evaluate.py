@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+import time
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexivec.config import DEFAULT, Config
 from lexivec.functions import scores as S
+from lexivec.functions import text as T
 
 
 def last_written(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -40,22 +44,18 @@ def subset(items: DataFrame, n: int | None, order: str) -> DataFrame:
 
     Positions come from a count of rows in each range of the order and ranks within ranges, so that no task sees all."""
     total = items.count()
-    if n is None or n >= total:
-        wanted = None
-    else:
-        wanted = subset_positions(total, n)
     parts = max(1, math.ceil(total / 100_000))
     cuts = items.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    dealt = items.withColumn("_part", part)
-    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
-    before, total_before = [], 0
-    for k in sorted(counts):
-        before.append((k, total_before))
-        total_before += counts[k]
-    offset = reduce(lambda c, kb: F.when(F.col("_part") == kb[0], F.lit(kb[1])).otherwise(c), before, F.lit(0))
-    placed = dealt.withColumn("position", (F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + offset).cast("bigint")).drop("_part")
-    return placed if wanted is None else placed.where(F.col("position").isin(wanted))
+    dealt = items.withColumn("_part", slice_of(F.col(order), cuts or []))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
+    placed = ranked.join(offsets, "_part").withColumn("position", (F.col("_rank") + F.col("_before")).cast("bigint")).drop("_part", "_rank", "_before")
+    if n is None or n >= total:
+        return placed
+    wanted = items.sparkSession.createDataFrame([(k,) for k in subset_positions(total, n)], "position bigint")
+    return placed.join(wanted, "position", "left_semi")
 
 
 def slice_of(value: Column, cuts: list) -> Column:
@@ -132,6 +132,16 @@ def gate_markdown(row) -> str:
     return "\n".join([*lines, f"| items scored | {row['n']} |"]) + "\n"
 
 
+def write_gate(run_means: DataFrame, folder: str, config: Config = DEFAULT) -> bool:
+    """Appends the verdict of each run to a table of gate summaries (with its markdown); whether all of them pass."""
+    verdicts = gate(run_means, config)
+    shown = [F.format_string(f"| {name} | %.3f |", F.col(c)) for name, c in (("mean faithfulness", "faithfulness"), ("answer relevance", "answer_relevance"), ("context recall", "context_recall"))]
+    lines = [F.concat(F.lit("## Faithfulness gate: "), F.col("gate")), F.lit(""), F.concat(F.lit("**"), F.col("reason"), F.lit("**")), F.lit(""), F.lit("| metric | value |"), F.lit("|---|---|")]
+    text = F.concat_ws("\n", *lines, *shown, F.format_string("| items scored | %d |\n", F.col("n")))
+    verdicts.withColumn("markdown", text).write.mode("append").json(folder)
+    return verdicts.where("gate != 'PASS'").isEmpty()
+
+
 def ratio_of_verdicts(verdicts: DataFrame, by: str, verdict: str) -> DataFrame:
     """(by, score): the part of the claims, sentences or gold texts whose verdict holds; NaN without any."""
     return verdicts.groupBy(by).agg(F.when(F.count(verdict) == 0, F.lit(float("nan"))).otherwise(F.count_if(verdict) / F.greatest(F.count(verdict), F.lit(1))).alias("score"))
@@ -194,3 +204,93 @@ def judged_in_batches(rows: DataFrame, provider, schema: str) -> DataFrame:
         yield from provider(batches)
 
     return rows.mapInPandas(run, schema)
+
+
+def called_with_retries(rows: DataFrame, call: Callable[[dict], dict], schema: str, config: Config = DEFAULT, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """rows with what call(row) returns for each, by the columns of schema, and attempts and error (string).
+
+    A transient or parse error is tried again after the delay that the server asks for, or a growing one, at most
+    max_retries times and while item_timeout lasts; the last error is then in the row, and a resumed run has it to do
+    again. Any other error ends the row at once. Between rows a task pauses item_pause seconds. A task that runs again
+    calls again; nothing is kept between tasks."""
+    wanted = [f.name for f in rows.sparkSession.createDataFrame([], schema).schema]
+    columns = rows.columns
+
+    def run(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            out = []
+            for k, row in enumerate(pdf.to_dict("records")):
+                if k:
+                    sleep(config.item_pause)
+                got, error, attempt, waited = {}, None, 0, 0.0
+                while True:
+                    attempt += 1
+                    try:
+                        got, error = call(row), None
+                        break
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                    wait = next_wait(error, attempt, config)
+                    if wait is None or attempt > config.max_retries or waited + wait > config.item_timeout:
+                        break
+                    sleep(wait)
+                    waited += wait
+                out.append({**row, **{c: got.get(c) for c in wanted}, "attempts": attempt, "error": error})
+            yield pd.DataFrame(out, columns=[*columns, *wanted, "attempts", "error"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{kinds}, {schema}, attempts int, error string")
+
+
+def next_wait(message: str, attempt: int, config: Config = DEFAULT) -> float | None:
+    """Seconds to wait before another attempt after this error; None if another attempt would not help. The row-wise twin
+    of error_class, retry_delay and backoff."""
+    low = message.lower()
+    if not any(w in low for w in T.TRANSIENT + T.PARSE):
+        return None
+    said = re.search(T.RETRY_PROSE, message) or re.search(T.RETRY_INFO, message)
+    return min(float(said[1]) + 1 if said else config.backoff_base * 2.0 ** max(attempt - 1, 0), config.backoff_cap)
+
+
+# Metrics that verdicts of a judge give.
+
+
+def claims_of(answers: DataFrame, by: list[str], text: str) -> DataFrame:
+    """(by, pos, claim): the sentences or lines of each answer that have a word; an answer without any has no row."""
+    parts = F.filter(F.split(text, r"(?<=[.!?])\s+|\n"), lambda c: c.rlike("[\\p{L}0-9]"))
+    return answers.select(*by, F.posexplode(F.transform(parts, T.strip)).alias("pos", "claim"))
+
+
+def lexical_verdict(claim: Column, context: Column, least: float = 0.5) -> Column:
+    """Whether the context has that part of the claim's distinct tokens; the default in place of a model. False without tokens."""
+    said = F.array_distinct(T.tokens(claim))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(said, T.tokens(context))), F.size(said)) >= least, F.lit(False))
+
+
+def faithfulness(answers: DataFrame, by: list[str], text: str, context: str, verdict: Callable[[Column, Column], Column] = lexical_verdict) -> DataFrame:
+    """(by, score): the part of each answer's claims that its retrieved context supports; NaN without claims."""
+    claims = claims_of(answers, by, text).join(answers.select(*by, F.col(context).alias("_context")), by)
+    judged = ratio_of_verdicts(claims.withColumn("_ok", verdict(F.col("claim"), F.col("_context"))).withColumn("_by", F.struct(*by)), "_by", "_ok")
+    scores = judged.select(*[F.col("_by")[c].alias(c) for c in by], "score")
+    return answers.select(*by).join(scores, by, "left").withColumn("score", F.coalesce("score", F.lit(float("nan"))))
+
+
+def context_recall(items: DataFrame, by: list[str], reference: str, context: str, verdict: Callable[[Column, Column], Column] = lexical_verdict) -> DataFrame:
+    """(by, score): the part of the reference answer's sentences that the retrieved context gives; NaN without any."""
+    return faithfulness(items, by, reference, context, verdict)
+
+
+def answer_relevance(items: DataFrame, by: list[str], question: str, asked: str) -> DataFrame:
+    """(by, score): the mean cosine of the question's vector with those of the questions that a model derives from the
+    answer (asked: array of vectors); NaN without any, as when the answer abstains."""
+
+    def cosine(a: Column, b: Column) -> Column:
+        return F.try_divide(S.dot(a, b), F.sqrt(S.dot(a, a) * S.dot(b, b)))
+
+    total = F.aggregate(asked, F.lit(0.0), lambda s, v: s + F.coalesce(cosine(F.col(question), v), F.lit(0.0)))
+    return items.select(*by, F.when(F.coalesce(F.size(asked), F.lit(0)) == 0, F.lit(float("nan"))).otherwise(total / F.size(asked)).alias("score"))
+
+
+def mean_contexts(items: DataFrame, contexts: str) -> DataFrame:
+    """One row: the number of items and the mean number of their relevant contexts, 0 without items."""
+    return items.agg(F.count("*").alias("n_items"), F.coalesce(F.avg(F.size(contexts)), F.lit(0.0)).alias("mean_contexts"))

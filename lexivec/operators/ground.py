@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +48,14 @@ def contexts(ranked: DataFrame, by: str, rank: str, n: int | None = None) -> Dat
     rows = ranked if n is None else ranked.where(F.col(rank) <= n)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), "chunk_id", "text")))
     return rows.groupBy(by).agg(F.transform(ordered, lambda x: F.struct(x["chunk_id"], x["text"])).alias("chunks"))
+
+
+def answered(ranked: DataFrame, questions: DataFrame, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(qid, question, chunks, prompt, text, citations) of questions (qid, question) with their best chunks (qid, chunk_id,
+    text, pos): a provider answers from the prompt or the chunks; only citations of what was retrieved are kept. A
+    question without chunks is asked all the same."""
+    asked = questions.join(contexts(ranked, "qid", "pos"), "qid", "left")
+    none = F.array().cast("array<struct<chunk_id:string,text:string>>")
+    asked = asked.withColumn("chunks", F.coalesce("chunks", none)).withColumn("prompt", T.prompt(F.col("question"), F.col("chunks")))
+    said = provider(asked).withColumn("retrieved", F.transform("chunks", lambda c: c["chunk_id"]))
+    return cited(said).drop("retrieved")

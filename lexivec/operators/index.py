@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.config import DEFAULT, Config
@@ -37,6 +39,61 @@ def idf(df: DataFrame, n: int, config: Config = DEFAULT) -> DataFrame:
     return raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
+#: Parts of scores are stored as whole numbers of this size, so that their sums do not depend on the order of rows; a
+#: score can be up to 92,233.
+UNIT = 1e-14
+#: Postings of a term in a block, about; blocks are what a question reads or skips.
+BLOCK_POSTINGS = 4096
+
+
+@dataclass(frozen=True)
+class SparseIndex:
+    """Tables of a BM25 index, and its two numbers.
+
+    terms: (term, df, idf, n_blocks, most), most being the largest part that the term adds to any score.
+    postings: (term, block, key, part), part being what the term adds to the score of the chunk, in units.
+    keys: (key), all chunks."""
+
+    terms: DataFrame
+    postings: DataFrame
+    keys: DataFrame
+    n: int
+    avgdl: float
+
+
+def build_index(chunks: DataFrame, folder: str, config: Config = DEFAULT) -> SparseIndex:
+    """Writes the index of chunks (key, text), whose keys are unique, into a folder, in place of what is there, and loads it.
+
+    Texts are tokenised once. Postings of a frequent term are dealt over blocks by their key, so that no task or partition
+    holds all of them; they are sorted by term in their files, which lets readers skip row groups."""
+    spark = chunks.sparkSession
+    counted = chunk_tokens(chunks, "key").select("key", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).groupBy("key", "dl", "term").agg(F.count("term").alias("tf"))
+    counted.write.mode("overwrite").parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")
+    keys = counts.select("key", "dl").distinct()
+    keys.write.mode("overwrite").parquet(f"{folder}/keys")
+    facts = spark.read.parquet(f"{folder}/keys").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    facts.write.mode("overwrite").parquet(f"{folder}/facts")
+    n, avgdl = spark.read.parquet(f"{folder}/facts").first()
+    df = counts.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    df.write.mode("overwrite").parquet(f"{folder}/df")
+    weights = idf(spark.read.parquet(f"{folder}/df"), n, config).withColumn("n_blocks", F.ceil(F.col("df") / BLOCK_POSTINGS).cast("int"))
+    k1, b = config.bm25_k1, config.bm25_b
+    part = F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0))))
+    postings = counts.join(weights, "term").select("term", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int").alias("block"), "key", F.round(part / UNIT).cast("bigint").alias("part"))
+    postings.repartition("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/postings")
+    most = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.max("part").alias("most"))
+    weights.join(most, "term").write.mode("overwrite").parquet(f"{folder}/terms")
+    return load_index(spark, folder)
+
+
+def load_index(spark: SparkSession, folder: str) -> SparseIndex:
+    """The index that build_index wrote; a folder without one, or with one that was not finished, is an error."""
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in ("terms", "postings", "keys", "facts")}
+    facts = tables["facts"].first()
+    return SparseIndex(tables["terms"], tables["postings"], tables["keys"].select("key"), facts["n"], facts["avgdl"])
+
+
 def dense_index(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, embedding) with unit vectors."""
     return vectors.select(key, S.normalized(F.col(vector)).alias("embedding"))

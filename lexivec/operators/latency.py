@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexivec.config import DEFAULT
+from lexivec.functions.text import utc_now
 from lexivec.operators.evaluate import value_counts
 
 #: Of the percentiles in a summary.
@@ -51,3 +52,12 @@ def rate_limited(requests: DataFrame, client: str, ts: str, order: str, limit: i
     """requests with allowed: the first `limit` of a client in each minute."""
     minute = F.date_trunc("minute", ts)
     return requests.withColumn("allowed", F.row_number().over(Window.partitionBy(client, minute).orderBy(ts, order)) <= limit)
+
+
+def write_report(samples: DataFrame, by: str, value: str, folder: str, **facts: str) -> None:
+    """Writes the summary as JSON, a row for each stage with `facts` about the run, in place of the report that is there;
+    to be called again when more stages are measured."""
+    rows = summary(samples, by, value)
+    for name, fact in facts.items():
+        rows = rows.withColumn(name, F.lit(fact))
+    rows.withColumn("written", utc_now()).write.mode("overwrite").option("ignoreNullFields", "false").json(folder)

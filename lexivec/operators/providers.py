@@ -51,11 +51,17 @@ def extractive_answer(chunks: str = "chunks"):
     return F.when(best.isNull() | (sentence == ""), T.ABSTAIN_SENTENCE).otherwise(F.concat(sentence, F.lit(" ["), best["chunk_id"], F.lit("]")))
 
 
-CHAT_PROVIDERS: dict[str, Callable] = {}
+def extractive(model: str, **options) -> Callable[[DataFrame], DataFrame]:
+    """The provider that needs no model: rows (chunks, ...) with a text."""
+    return lambda rows: rows.withColumn("text", extractive_answer())
+
+
+#: Makers of providers by name: maker(model, **options) gives a function from rows (question, chunks, ...) to rows with text.
+CHAT_PROVIDERS: dict[str, Callable[..., Callable[[DataFrame], DataFrame]]] = {"extractive": extractive}
 
 
 def chat_model(provider: str, model: str, **options):
-    """A registered provider's batch function; an unknown name is an error."""
+    """A registered provider's function; an unknown name is an error."""
     if provider not in CHAT_PROVIDERS:
         raise ValueError(f"unknown provider {provider!r}; known: {sorted(CHAT_PROVIDERS)}")
     return CHAT_PROVIDERS[provider](model, **options)

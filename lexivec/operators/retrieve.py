@@ -3,6 +3,7 @@ on any machine; ties go by the chunk's key, which is the canonical order."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,15 @@ from pyspark.sql.window import Window
 
 from lexivec.config import DEFAULT, Config
 from lexivec.functions import text as T
-from lexivec.operators.index import chunk_tokens, corpus_stats, document_frequency, idf
+from lexivec.operators.index import UNIT, SparseIndex, build_index
+from lexivec.sources.folders import materialize, new_folder
 
-#: Questions in a block of the dense scan.
-QUESTION_BLOCK = 512
+#: Questions in a block of the dense scan, about, and the bytes that a block's matrix may have.
+QUESTION_BLOCK, BLOCK_BYTES = 4096, 64 << 20
+#: The leading terms of a question have about so many postings for each chunk that is asked for.
+LEADING_POSTINGS = 20
+#: The part of a question's bound that the terms which are not read in full may add together.
+IDLE_SHARE = 0.1
 
 
 def top(scored: DataFrame, n: int, *order: Column, by: str = "qid", rank: str = "rank") -> DataFrame:
@@ -29,35 +35,72 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.posexplode(T.tokens(F.col("question"))).alias("pos", "term"))
 
 
-def bm25_scores(questions: DataFrame, chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(qid, key, score) of the chunks (key, text) that share a term with the question; terms add up in their order."""
-    tokened = chunk_tokens(chunks, "key")
-    facts = corpus_stats(tokened).first()
-    n, avgdl = facts["n"], facts["avgdl"] or 1.0
-    terms = question_terms(questions)
-    weights = idf(document_frequency(tokened), n, config)
-    wanted = terms.select("term").distinct()
-    counts = (
-        tokened.select("key", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "key", "dl").agg(F.count("*").alias("tf"))
-    )
-    k1, b = config.bm25_k1, config.bm25_b
-    part = F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)))
-    parts = counts.join(weights.join(wanted, "term", "left_semi"), "term").select("term", "key", part.alias("part")).join(terms, "term")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "part")))
-    return parts.groupBy("qid", "key").agg(F.round(F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["part"]), 9).alias("score"))
-
-
-def bm25_top(questions: DataFrame, chunks: DataFrame, n: int | None = None, config: Config = DEFAULT) -> DataFrame:
-    """(qid, key, rank, score), n for each question. A question with fewer matches of score 0 or more is filled up with
-    chunks of score 0 in canonical order; matches with a negative score rank after these."""
+def _looked_up(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """terms (qid, term, n_blocks, ...) joined with their postings, a frequent term block by block."""
+    each = terms.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    return each.join(postings, ["term", "block"])
+
+
+def _summed(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """(qid, key, units) of the chunks with any of the terms (qid, term, n_blocks, times); summed before the shuffle."""
+    return _looked_up(terms, postings).groupBy("qid", "key").agg(F.sum(F.col("part") * F.col("times")).alias("units"))
+
+
+def _scored(units: DataFrame) -> DataFrame:
+    return units.select("qid", "key", F.round(F.col("units") * UNIT, 9).alias("score"))
+
+
+def _weighed(questions: DataFrame, sparse: SparseIndex) -> DataFrame:
+    """(qid, term, n_blocks, df, times, most): each distinct term of a question that the index has."""
+    found = question_terms(questions).groupBy("qid", "term").agg(F.count("*").alias("times")).join(sparse.terms.select("term", "df", "n_blocks", "most"), "term")
+    return found.withColumn("most", F.greatest(F.col("most") * F.col("times"), F.lit(0)))
+
+
+def bm25_scores(questions: DataFrame, sparse: SparseIndex) -> DataFrame:
+    """(qid, key, score) of the chunks that share a term with the question, all of them."""
+    return _scored(_summed(_weighed(questions, sparse), sparse.postings))
+
+
+def bm25_top(questions: DataFrame, sparse: SparseIndex | DataFrame, n: int | None = None, config: Config = DEFAULT) -> DataFrame:
+    """(qid, key, rank, score), n for each question, from an index or from chunks (key, text), of which one is built first
+    in the shared folder.
+
+    A question with fewer matches of score 0 or more is filled up with chunks of score 0 in canonical order; matches with a
+    negative score rank after these.
+
+    The n-th best sum over a question's weightiest terms is a bound that every chunk of its list reaches. The lightest
+    terms that together add little of it cannot bring in a chunk of their own: their postings are read only for the
+    chunks that the other terms bring near the bound. Sums are exact, and so is the list."""
     n = n or config.sparse_top_n
-    scored = bm25_scores(questions, chunks, config)
-    filled = questions.select("qid").join(scored.groupBy("qid").agg(F.count("*").alias("matched"), F.count_if(F.col("score") >= 0).alias("good")), "qid", "left").fillna(0)
+    if isinstance(sparse, DataFrame):
+        sparse = build_index(sparse, new_folder(questions.sparkSession, "index"), config)
+    asked = questions.select("qid").distinct()
+    heavy = Window.partitionBy("qid").orderBy(F.col("most").desc(), "term").rowsBetween(Window.unboundedPreceding, -1)
+    light = Window.partitionBy("qid").orderBy("most", F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    terms = materialize(_weighed(questions, sparse).select("*", F.coalesce(F.sum("df").over(heavy), F.lit(0)).alias("heavier"), F.sum("most").over(light).alias("lighter")))
+    first = _summed(terms.where(F.col("heavier") < LEADING_POSTINGS * n), sparse.postings)
+    lowest = sparse.terms.agg(F.min("idf")).first()[0] or 0.0
+    bound = top(first, n, F.col("units").desc(), F.col("key")).where((F.col("rank") == n) & (F.col("units") > 0) & F.lit(lowest >= 0)).select("qid", F.col("units").alias("bound"))
+    weighed = materialize(terms.join(bound, "qid", "left").withColumn("idle", F.coalesce(F.col("lighter") < IDLE_SHARE * F.col("bound"), F.lit(False))))
+    units = _summed(weighed.where("not idle"), sparse.postings)
+    idle = weighed.where("idle")
+    if not idle.isEmpty():
+        rest = idle.groupBy("qid").agg(F.sum("most").alias("rest"), F.first("bound").alias("bound"))
+        units = materialize(units)
+        least = top(units.join(rest, "qid", "left_semi"), n, F.col("units").desc(), F.col("key")).where(F.col("rank") == n).select("qid", F.col("units").alias("least"))
+        near = units.join(rest, "qid").join(least, "qid", "left").where(F.col("units") + F.col("rest") >= F.greatest("bound", "least")).select("qid", "key", "units")
+        late = near.select("qid", "key").join(idle, "qid").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
+        late = late.join(sparse.postings, ["term", "block", "key"]).select("qid", "key", (F.col("part") * F.col("times")).alias("units"))
+        units = units.join(rest, "qid", "left_anti").unionByName(near.unionByName(late).groupBy("qid", "key").agg(F.sum("units").alias("units")))
+    scored = _scored(materialize(units))
+    filled = asked.join(scored.groupBy("qid").agg(F.count("*").alias("matched"), F.count_if(F.col("score") >= 0).alias("good")), "qid", "left").select("qid", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("matched", "good")])
     short = filled.where(F.col("good") < n)
     depth = short.agg(F.max("matched")).first()[0]
     if depth is not None:
-        first = chunks.select("key").orderBy("key").limit(n + depth)
-        spare = short.select("qid").join(first).join(scored, ["qid", "key"], "left_anti").withColumn("score", F.lit(0.0))
+        # Of the first n + matched chunks at least n do not match, so that many are enough for each question.
+        spare = sparse.keys.orderBy("key").limit(n + depth).withColumn("place", F.row_number().over(Window.orderBy("key")))
+        places = short.select("qid", F.explode(F.sequence(F.lit(1), (F.col("matched") + n).cast("int"))).alias("place"))
+        spare = places.join(spare, "place").select("qid", "key").join(scored, ["qid", "key"], "left_anti").withColumn("score", F.lit(0.0))
         scored = scored.unionByName(spare)
     return top(scored, n, F.col("score").desc(), F.col("key"))
 
@@ -65,25 +108,33 @@ def bm25_top(questions: DataFrame, chunks: DataFrame, n: int | None = None, conf
 def dense_top(questions: DataFrame, vectors: DataFrame, n: int | None = None, config: Config = DEFAULT) -> DataFrame:
     """(qid, key, rank, score) by inner product of questions (qid, vector) and vectors (key, vector), n for each question.
 
-    Questions are gathered into blocks; each batch of vectors meets a block as one matrix product and only the best n of
-    a batch leave it, with all that tie with the last of them."""
+    Vectors are read once for each block of at most QUESTION_BLOCK questions: a block goes to the tasks as one matrix, whose
+    size is bounded by QUESTION_BLOCK and checked against BLOCK_BYTES, and meets each batch of vectors in one product.
+    Only the best n of a batch leave it, with all that tie with the last of them. A null vector has no score."""
     n = n or config.dense_top_n
-    blocks = questions.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("qid"), F.lit(64))).orderBy("qid")) - 1) / QUESTION_BLOCK) * 64 + F.pmod(F.xxhash64("qid"), F.lit(64)))
-    blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("qid", F.col("vector").cast("array<double>").alias("v"))).alias("questions"))
-    pairs = vectors.select("key", F.col("vector").cast("array<double>").alias("vector")).join(blocks)
     kind_q, kind_k = questions.schema["qid"].dataType.simpleString(), vectors.schema["key"].dataType.simpleString()
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, part in pdf.groupby("block", sort=False):
-                asked = part["questions"].iloc[0]
-                products = np.round(np.stack(part["vector"]) @ np.stack([q["v"] for q in asked]).T, 9)
-                keys, m = part["key"].to_numpy(), min(n, len(part))
-                least = np.partition(products, len(part) - m, axis=0)[len(part) - m]
+    asked = materialize(questions.where("vector is not null").select("qid", F.col("vector").cast("array<double>").alias("v")))
+    facts = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    size = max(1, min(QUESTION_BLOCK, BLOCK_BYTES // (8 * max(1, facts["dim"] or 1))))
+    found = None
+    for block in range(max(1, math.ceil(facts["n"] / size))):
+        hashed = F.pmod(F.xxhash64("qid", F.lit(7)), F.lit(max(1, math.ceil(facts["n"] / size))))
+        rows = asked.where(hashed == block).collect()
+        ids, matrix = [r["qid"] for r in rows], np.array([r["v"] for r in rows], float)
+
+        def best(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf) or not len(ids):
+                    continue
+                products = np.round(np.stack(pdf["vector"]) @ matrix.T, 9)
+                keys, m = pdf["key"].to_numpy(), min(n, len(pdf))
+                least = np.partition(products, len(pdf) - m, axis=0)[len(pdf) - m]
                 i, j = np.nonzero(products >= least)
-                yield pd.DataFrame({"qid": [asked[x]["qid"] for x in j], "key": keys[i], "score": products[i, j]})
+                yield pd.DataFrame({"qid": [ids[x] for x in j], "key": keys[i], "score": products[i, j]})
 
-    return top(pairs.mapInPandas(best, f"qid {kind_q}, key {kind_k}, score double"), n, F.col("score").desc(), F.col("key"))
+        part = vectors.where("vector is not null").select("key", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(best, f"qid {kind_q}, key {kind_k}, score double")
+        found = part if found is None else found.unionByName(part)
+    return top(found, n, F.col("score").desc(), F.col("key"))
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int | None = None, pool: int | None = None, weights: tuple[float, float] = (1.0, 1.0), config: Config = DEFAULT) -> DataFrame:
@@ -129,9 +180,9 @@ def rerank(pool: DataFrame, questions: DataFrame, chunks: DataFrame, k: int | No
     return top(scored, k or config.rerank_top_k, F.col("rerank").desc(), F.col("pool_pos"), rank="pos").drop("question")
 
 
-def hybrid(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, question_vectors: DataFrame, k: int | None = None, scorer=lexical_scorer, config: Config = DEFAULT) -> DataFrame:
+def hybrid(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, question_vectors: DataFrame, k: int | None = None, scorer=lexical_scorer, config: Config = DEFAULT, sparse: SparseIndex | None = None) -> DataFrame:
     """Dense and sparse lists, fused, then reranked: (qid, key, dense, sparse, fused, rerank, pos, text, ...)."""
-    pool = rrf(dense_top(question_vectors, vectors, config=config), bm25_top(questions, chunks, config=config), config=config)
+    pool = rrf(dense_top(question_vectors, vectors, config=config), bm25_top(questions, sparse or chunks, config=config), config=config)
     return rerank(pool, questions, chunks, k, scorer, config)
 
 

@@ -81,7 +81,7 @@ SELECT item_id, sha256('Context passages:' || chr(10) || chr(10) || string_agg('
 FROM sparse JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE rank <= 5 GROUP BY item_id""")
 def q_prompt(spark: SparkSession, sf: str) -> DataFrame:
     asked = R.questions(spark, sf)
-    best = retrieve.bm25_top(asked, R.chunks(spark, sf), DEFAULT.rerank_top_k).join(R.chunks(spark, sf), "key")
+    best = retrieve.bm25_top(asked, R.sparse_index(spark, sf), DEFAULT.rerank_top_k).join(R.chunks(spark, sf), "key")
     lists = ground.contexts(best.withColumn("chunk_id", T.chunk_id(F.col("key"), F.lit(0))), "qid", "rank")
     return lists.join(asked, "qid").select(F.col("qid").alias("item_id"), F.sha2(T.prompt(F.col("question"), F.col("chunks")), 256).alias("prompt_sha256"))
 
@@ -138,7 +138,7 @@ def q_todo_all(spark: SparkSession, sf: str) -> DataFrame:
 SELECT item_id, draft AS existing_draft, string_agg(doc_id || '#0000', ',' ORDER BY rank) AS candidates FROM benchmark LEFT JOIN last ON conv_id = item_id JOIN sparse USING (item_id) WHERE rank <= 6 GROUP BY ALL""")
 def q_assist(spark: SparkSession, sf: str) -> DataFrame:
     drafts = table(spark, sf, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("qid"), F.col("turn").alias("seq"), F.col("text").alias("draft"))
-    best = retrieve.bm25_top(R.questions(spark, sf), R.chunks(spark, sf)).withColumn("chunk_id", T.chunk_id(F.col("key"), F.lit(0)))
+    best = retrieve.bm25_top(R.questions(spark, sf), R.sparse_index(spark, sf)).withColumn("chunk_id", T.chunk_id(F.col("key"), F.lit(0)))
     out = truth.assisted(seeds(spark, sf), drafts, best, 6)
     return out.select(F.col("qid").alias("item_id"), "existing_draft", F.array_join("candidates", ",").alias("candidates"))
 
@@ -254,7 +254,7 @@ def q_faithfulness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {R.BM25_SQL}, {R.GOLD_SQL} SELECT item_id, round(avg((rank IS NOT NULL)::INT), 6) AS context_recall FROM gold LEFT JOIN sparse USING (item_id, doc_id) GROUP BY 1")
 def q_context_recall(spark: SparkSession, sf: str) -> DataFrame:
-    found = retrieve.recall_at(retrieve.bm25_top(R.questions(spark, sf), R.chunks(spark, sf)), R.gold(spark, sf), DEFAULT.sparse_top_n, "rank")
+    found = retrieve.recall_at(retrieve.bm25_top(R.questions(spark, sf), R.sparse_index(spark, sf)), R.gold(spark, sf), DEFAULT.sparse_top_n, "rank")
     return found.select(F.col("qid").alias("item_id"), r6(F.col("recall")).alias("context_recall"))
 
 
@@ -264,7 +264,9 @@ def q_answer_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return best.groupBy(F.col("qid").alias("item_id")).agg(r6(F.avg("score")).alias("answer_relevance"))
 
 
-@query()
+@query(f"""WITH {S_SQL}
+SELECT git_sha, doc_id, {{'doc_id': doc_id, 'faith': faith::DOUBLE, 'arel': arel, 'crec': crec, 'attribution': attribution}}::JSON::VARCHAR AS json FROM a
+UNION ALL SELECT git_sha, NULL, {{'git_sha': git_sha, 'means': {{'faithfulness': round(faithfulness::DOUBLE, 13), 'answer_relevance': round(answer_relevance, 13), 'context_recall': round(context_recall, 13)}}, 'attribution_counts': {{'retrieval_fail': (SELECT count(*) FROM a WHERE a.git_sha = m.git_sha AND attribution = 'retrieval_fail'), 'generation_fail': (SELECT count(*) FROM a WHERE a.git_sha = m.git_sha AND attribution = 'generation_fail')}}}}::JSON::VARCHAR FROM m""")
 def q_export_json(spark: SparkSession, sf: str) -> DataFrame:
     """A JSON row for each item, and one with null as doc_id for each run."""
     return evaluate.exported_rows(classified(spark, sf).select("git_sha", "doc_id", "faith", "arel", "crec", "attribution"), "git_sha", "doc_id")
@@ -377,35 +379,74 @@ def q_verify_docs(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.integrity(listed, corpus.verified(files, "number", "html", DEFAULT.min_bytes), "number")
 
 
-# Messages like those of model services; an event has the one at its place.
+# Messages like those of model services; an event has one by its number, with numbers of its own.
 MESSAGES = (
-    "HTTP 429 Too Many Requests: please retry in 45.26s.", "RateLimitError: Please Try Again In 2.4s", "ResourceExhausted {'retryDelay': '21s'}", "OutputParserException: Failed to parse",
-    "ValueError: bad argument", "connection reset by peer",
+    "HTTP 429 Too Many Requests: please retry in {d}s.", "RateLimitError: Please Try Again In {d}s", "ResourceExhausted {{'retryDelay': '{n}s'}}", "OutputParserException: Failed to parse item {n}",
+    "ValueError: bad argument {d}", "connection reset by peer {n}", "Quota exceeded, retry in {d}s; retryDelay: {n}s", "validation error for field {n}", "Deadline passed after {n} ms", "", "HTTP 404 Not Found: page {n}", "{n} of {d} retries in vain",
 )
 
 
+def _message(parts: tuple[str, ...] = MESSAGES) -> str:
+    """SQL, of Spark and DuckDB alike, for the message of an event."""
+    n, d = "CAST(event_id * 7 % 90 + 10 AS STRING)", "CAST(event_id % 97 AS STRING) || '.' || CAST(event_id % 10 AS STRING)"
+    quoted = [m.replace("'", "''").replace("{{", "{").replace("}}", "}").replace("{d}", f"' || {d} || '").replace("{n}", f"' || {n} || '") for m in parts]
+    return "CASE event_id % " + str(len(parts)) + " " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(quoted)) + " END"
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", (F.col("event_id") % 7 + 1).alias("attempt"), F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.col("event_id") % 6 + 1).cast("int")).alias("message"))
+    return table(spark, sf, "events").select("event_id", (F.col("event_id") % 7 + 1).alias("attempt"), F.expr(_message()).alias("message"))
+
 
+def _any(words: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains(lower(message), '{w}')" for w in words)
 
-_MESSAGES = "WITH e AS (SELECT event_id, event_id % 7 + 1 AS attempt, [45.26, 2.4, 21.0, NULL, NULL, NULL]::DOUBLE[] AS d, ['transient', '{}', 'transient', 'parse', 'fatal', 'transient'] AS k FROM events)"
 
+_MESSAGES = f"""WITH m AS (SELECT event_id, event_id % 7 + 1 AS attempt, {_message()} AS message FROM events),
+e AS (SELECT *, coalesce(try_cast(nullif(regexp_extract(message, '(?i)(?:retry|try again) in ([0-9.]+)s', 1), '') AS DOUBLE), try_cast(nullif(regexp_extract(message, 'retryDelay''?:?\\s*''?([0-9]+)s', 1), '') AS DOUBLE)) AS delay FROM m)"""
 
-@query(_MESSAGES.replace("{}", "fatal") + " SELECT event_id, k[event_id % 6 + 1] AS class FROM e")
+
+@query(_MESSAGES + f" SELECT event_id, CASE WHEN {_any(T.TRANSIENT)} THEN 'transient' WHEN {_any(T.PARSE)} THEN 'parse' ELSE 'fatal' END AS class FROM e")
 def q_error_class(spark: SparkSession, sf: str) -> DataFrame:
     return messages(spark, sf).select("event_id", T.error_class(F.col("message")).alias("class"))
 
 
-@query(_MESSAGES + " SELECT event_id, d[event_id % 6 + 1] AS delay FROM e")
+@query(_MESSAGES + " SELECT event_id, delay FROM e")
 def q_retry_delay(spark: SparkSession, sf: str) -> DataFrame:
     return messages(spark, sf).select("event_id", T.retry_delay(F.col("message")).alias("delay"))
 
 
-@query(_MESSAGES + " SELECT event_id, least(coalesce(d[event_id % 6 + 1] + 1, 2.0 * pow(2.0, attempt - 1)), 65.0) AS wait FROM e")
+@query(_MESSAGES + " SELECT event_id, least(coalesce(delay + 1, 2.0 * pow(2.0, attempt - 1)), 65.0)::DOUBLE AS wait FROM e")
 def q_backoff(spark: SparkSession, sf: str) -> DataFrame:
     return messages(spark, sf).select("event_id", T.backoff(T.retry_delay(F.col("message")), F.col("attempt"), DEFAULT.backoff_base, DEFAULT.backoff_cap).alias("wait"))
 
 
+@query("SELECT conv_id, turn, length(text) BETWEEN 1 AND 2000 AS valid FROM conversations WHERE role = 'user'")
+def q_valid_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", T.valid_question(F.col("text")).alias("valid"))
+
+
+@query(f"WITH {R.GOLD_SQL}, n AS (SELECT item_id, count(doc_id) AS n FROM benchmark LEFT JOIN gold USING (item_id) GROUP BY 1) SELECT count(*) AS n_items, round(avg(n), 6) AS mean_contexts FROM n")
+def q_mean_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    held = R.gold(spark, sf).groupBy("qid").agg(F.collect_list("key").alias("ctx"))
+    items = R.questions(spark, sf).join(held, "qid", "left").select(F.coalesce("ctx", F.array().cast("array<bigint>")).alias("ctx"))
+    return evaluate.mean_contexts(items, "ctx").select("n_items", r6(F.col("mean_contexts")).alias("mean_contexts"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS at, left(props, 20) AS head FROM events")
+def q_report_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", T.utc(F.col("ts").cast("timestamp")).alias("at"), T.shortened(F.col("props"), 20).alias("head"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, regexp_matches(text, '{guard.EMAIL}') AS found, regexp_matches(text, '@mail[0-9]') AS truth FROM documents),
+k AS (SELECT count(*) FILTER (found AND truth) AS tp, count(*) FILTER (found AND NOT truth) AS fp, count(*) FILTER (NOT found AND truth) AS fn FROM c)
+SELECT tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM k""")
+def q_pii_precision(spark: SparkSession, sf: str) -> DataFrame:
+    """How the email rule does against documents with an address of the tables' mail hosts."""
+    emails, _ = guard.contact_counts(F.col("text"))
+    found = guard.precision_recall(table(spark, sf, "documents"), emails > 0, F.col("text").rlike("@mail[0-9]"))
+    return found.select("tp", "fp", "fn", r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"))
+
+
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= 1 AS allowed FROM events")
 def q_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return latency.rate_limited(table(spark, sf, "events"), "user_id", "ts", "event_id", 1).select("event_id", "allowed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lexivec.functions import scores as S
 from lexivec.functions import text as T
 from lexivec.operators import chunk, ground, index, retrieve
 from lexivec.plans.registry import query, table
+from lexivec.sources.folders import materialize, shared_dir
 
 WINDOW, OVERLAP = 128, 0.12
 STEP = WINDOW - int(WINDOW * OVERLAP)
@@ -21,6 +24,17 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
 
 
+_INDEXES: dict[tuple[str, str], index.SparseIndex] = {}
+
+
+def sparse_index(spark: SparkSession, sf: str) -> index.SparseIndex:
+    """The BM25 index of the documents, built once in each application and then used by all queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = index.build_index(chunks(spark, sf), f"{shared_dir(spark)}/lexivec-index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
@@ -78,16 +92,16 @@ def ranked(df: DataFrame) -> DataFrame:
 
 
 def pooled(spark: SparkSession, sf: str, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    return retrieve.rrf(retrieve.dense_top(question_vectors(spark, sf), vectors(spark, sf)), retrieve.bm25_top(questions(spark, sf), chunks(spark, sf)), weights=weights)
+    return retrieve.rrf(retrieve.dense_top(question_vectors(spark, sf), vectors(spark, sf)), retrieve.bm25_top(questions(spark, sf), sparse_index(spark, sf)), weights=weights)
 
 
 def reranked(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieve.hybrid(questions(spark, sf), chunks(spark, sf), vectors(spark, sf), question_vectors(spark, sf))
+    return retrieve.hybrid(questions(spark, sf), chunks(spark, sf), vectors(spark, sf), question_vectors(spark, sf), sparse=sparse_index(spark, sf))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The five best chunks by BM25 of every benchmark question, with their texts."""
-    best = retrieve.bm25_top(questions(spark, sf), chunks(spark, sf), 5)
+    best = retrieve.bm25_top(questions(spark, sf), sparse_index(spark, sf), 5)
     return best.join(chunks(spark, sf), "key").select(F.col("qid").alias("item_id"), "rank", T.chunk_id(F.col("key"), F.lit(0)).alias("chunk_id"), "score", "text")
 
 
@@ -157,8 +171,8 @@ def q_postings(spark: SparkSession, sf: str) -> DataFrame:
 raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM chunks) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM (SELECT unnest(list_distinct(t)) AS term FROM chunks) GROUP BY term)
 SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw""")
 def q_term_stats(spark: SparkSession, sf: str) -> DataFrame:
-    w = windows(spark, sf)
-    return index.idf(index.document_frequency(w), w.count()).withColumn("idf", S.rounded(F.col("idf")))
+    w = materialize(windows(spark, sf).select("tokens"))
+    return index.idf(materialize(index.document_frequency(w)), w.count()).withColumn("idf", S.rounded(F.col("idf")))
 
 
 @query("SELECT vec_id, len(embedding)::BIGINT AS dim, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
@@ -189,7 +203,7 @@ def q_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {BM25_SQL} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM sparse")
 def q_bm25_topn(spark: SparkSession, sf: str) -> DataFrame:
-    return ranked(retrieve.bm25_top(questions(spark, sf), chunks(spark, sf)))
+    return ranked(retrieve.bm25_top(questions(spark, sf), sparse_index(spark, sf)))
 
 
 @query(f"WITH {DENSE_SQL} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM dense")
@@ -241,8 +255,8 @@ def q_retrieved_payload(spark: SparkSession, sf: str) -> DataFrame:
 SELECT item_id, min(d.rank) AS dense_rank, min(s.rank) AS sparse_rank, min(pos) AS hybrid_pos, min(pos) IS NOT NULL AND min(d.rank) IS NULL AS recovered
 FROM gold g LEFT JOIN dense d USING (item_id, doc_id) LEFT JOIN sparse s USING (item_id, doc_id) LEFT JOIN top5 t USING (item_id, doc_id) GROUP BY item_id""")
 def q_exact_match_recovery(spark: SparkSession, sf: str) -> DataFrame:
-    dense = retrieve.dense_top(question_vectors(spark, sf), vectors(spark, sf))
-    sparse = retrieve.bm25_top(questions(spark, sf), chunks(spark, sf))
+    dense = materialize(retrieve.dense_top(question_vectors(spark, sf), vectors(spark, sf)))
+    sparse = materialize(retrieve.bm25_top(questions(spark, sf), sparse_index(spark, sf)))
     best = retrieve.rerank(retrieve.rrf(dense, sparse), questions(spark, sf), chunks(spark, sf))
     found = gold(spark, sf)
     for df, c, name in ((dense, "rank", "dense_rank"), (sparse, "rank", "sparse_rank"), (best, "pos", "hybrid_pos")):
@@ -256,7 +270,7 @@ r AS (SELECT item_id, sum((p.pool_pos IS NOT NULL)::INT) / count(*) AS fusion, s
   FROM gold LEFT JOIN (SELECT * FROM pool WHERE pool_pos <= 5) p USING (item_id, doc_id) LEFT JOIN top5 t USING (item_id, doc_id) GROUP BY item_id)
 SELECT item_id, round(fusion, 6) AS fusion_recall, round(reranked, 6) AS rerank_recall, round(reranked - fusion, 6) AS delta FROM r""")
 def q_recall_delta(spark: SparkSession, sf: str) -> DataFrame:
-    pool, truth = pooled(spark, sf), gold(spark, sf)
+    pool, truth = materialize(pooled(spark, sf)), materialize(gold(spark, sf))
     best = retrieve.rerank(pool, questions(spark, sf), chunks(spark, sf))
     k = DEFAULT.rerank_top_k
     a = retrieve.recall_at(pool, truth, k, "pool_pos").withColumnRenamed("recall", "fusion")

@@ -18,13 +18,15 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return rows.withColumn("ts", rows["ts"].cast("timestamp")) if "ts" in rows.columns else rows
 
 
-@query()
+@query("""WITH r AS (SELECT event_id, props, event_type || ' ' || value::VARCHAR AS text FROM events),
+e AS (SELECT event_id AS request_id, list_concat([{'event': 'retrieved', 'data': props}], list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: {'event': 'token', 'data': w}), [{'event': 'done', 'data': ''}]) AS l FROM r)
+SELECT request_id, (generate_subscripts(l, 1) - 1)::BIGINT AS seq, unnest(l).event AS event, unnest(l).data AS data FROM e""")
 def q_stream_events(spark: SparkSession, sf: str) -> DataFrame:
     requests = stream(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.col("props").alias("payload"), F.concat_ws(" ", "event_type", F.col("value").cast("string")).alias("text"))
     return E.run_available(E.answer_events(requests))
 
 
-@query()
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= 1 AS allowed FROM events")
 def s_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return E.run_available(E.limit_stream(stream(spark, sf, "events").select(F.col("user_id").alias("client"), "event_id", "ts"), 1)).select("event_id", "allowed")
 

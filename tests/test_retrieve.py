@@ -54,6 +54,43 @@ def test_bm25_with_padding(tables):
     assert got[1] == [(k, 0.0) for k in range(30)]
 
 
+def test_stored_index_with_idle_terms(spark, tmp_path, monkeypatch):
+    """Lists are the same whatever terms are read in full, and from an index that is loaded again."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    weights = 1 / np.arange(1, 61)
+    docs = [(i, " ".join(rng.choice(words, rng.integers(1, 30), p=weights / weights.sum()))) for i in range(300)]
+    asked = [(q, " ".join(rng.choice(words, 9))) for q in range(6)]
+    questions = spark.createDataFrame(asked, "qid long, question string")
+    monkeypatch.setattr(index, "BLOCK_POSTINGS", 16)
+    index.build_index(spark.createDataFrame(docs, "key long, text string"), str(tmp_path / "index"))
+    stored = index.load_index(spark, str(tmp_path / "index"))
+    for share, leading in ((0.1, 20), (0.95, 2)):
+        monkeypatch.setattr(retrieve, "IDLE_SHARE", share)
+        monkeypatch.setattr(retrieve, "LEADING_POSTINGS", leading)
+        got = lists(retrieve.bm25_top(questions, stored, 5))
+        for qid, q in asked:
+            want = bm25(q, docs, 5)
+            assert [k for k, _ in got[qid]] == [k for k, _ in want] and np.allclose([s for _, s in got[qid]], [s for _, s in want])
+    every = {(r["qid"], r["key"]): r["score"] for r in retrieve.bm25_scores(questions, stored).collect()}
+    assert all(abs(every[q, k] - s) < 1e-8 for q, t in asked for k, s in bm25(t, docs, 300) if s)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        index.load_index(spark, str(tmp_path / "nothing"))
+
+
+def test_dense_in_blocks(tables, monkeypatch):
+    monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 1)
+    plan = retrieve.dense_top(tables["question_vectors"], tables["vectors"], 3)
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString() and plan.count() == 9
+    assert retrieve.dense_top(tables["question_vectors"].limit(0), tables["vectors"], 3).count() == 0
+
+
+def test_chunks_by_another_counter(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta " * 30)], "doc_id long, text string")
+    out = chunk.recursive_chunks(docs, Config(chunk_tokens=40), lambda: len).collect()
+    assert len(out) > 10 and all(r["token_count"] == len(r["text"]) <= 40 for r in out)
+
+
 def test_negative_scores_rank_below_padding(spark):
     docs = [(0, "a"), (1, "a"), (2, "a"), (3, "")]
     got = lists(retrieve.bm25_top(spark.createDataFrame([(0, "a")], "qid long, question string"), spark.createDataFrame(docs, "key long, text string"), 4))
