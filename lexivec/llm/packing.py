@@ -66,11 +66,21 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
+
+class WordCounter(WordEncoder):
+    """Numbers of token ids, kept by word as WordEncoder keeps the ids."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        out = self[word] = len(self._ids(word))
+        return out
+
     def count(self, text: str) -> int:
         for c in "\n\t\r":
             if c in text:
                 text = text.replace(c, " ")
-        return sum(map(len, map(self.__getitem__, text.split(" ")))) // 4
+        return sum(map(self.__getitem__, text.split(" ")))
 
 
 def token_count(tokenizer: str, text: str = "text") -> Column:
@@ -78,9 +88,9 @@ def token_count(tokenizer: str, text: str = "text") -> Column:
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = WordEncoder(tokenizer)
+        counter = WordCounter(tokenizer)
         for batch in batches:
-            yield pd.Series([encoder.count(t) for t in batch], dtype="int64")
+            yield pd.Series([counter.count(t) for t in batch], dtype="int64")
 
     return count(text_of(text))
 
