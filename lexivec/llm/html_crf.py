@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,8 +52,8 @@ def _is_prose(b: Block) -> bool:
     return b.linked * 2 < len(b.text) and b.text.count(" ") >= 5 and b.text[-1] in ".!?:;…\"'”»"
 
 
-def _structure(x: np.ndarray, page: list[Block]) -> None:
-    """Features that need the whole page: which container holds most of the prose, what is repeated, and what is near."""
+def _structure(page: list[Block]) -> list[list[str]]:
+    """Features of each block that need the whole page: which container holds most of the prose, what is repeated, and what is near."""
     tags = [[t for t, _ in b.path] for b in page]
     inside = ["article" in t or "main" in t for t in tags]
     prose = [_is_prose(b) for b in page]
@@ -61,15 +62,18 @@ def _structure(x: np.ndarray, page: list[Block]) -> None:
     depth = [next((i + 1 for i in range(len(t) - 1, -1, -1) if t[i] not in _INNER), 0) for t in tags]
     containers = [b.ids[:d] for b, d in zip(page, depth, strict=True)]
     # Elements with the same tag and names under one parent are repeated; rows of running text don't count.
-    shapes: dict[tuple, set[int]] = {}
-    for b, t in zip(page, tags, strict=True):
-        for i, (tag, ns) in enumerate(b.path):
-            if tag not in _INNER or tag == "li":
-                shapes.setdefault((b.ids[i - 1] if i else 0, tag, ns), set()).add(b.ids[i])
+    seen: dict[int, tuple] = {}
+    for b in page:
+        for i in range(len(b.ids) - 1, -1, -1):
+            if b.ids[i] in seen:
+                break
+            seen[b.ids[i]] = (b.ids[i - 1] if i else 0, *b.path[i])
+    shapes = Counter(shape for shape in seen.values() if shape[1] not in _INNER or shape[1] == "li")
+    often = {e for e, shape in seen.items() if shapes[shape] > 1}
     repeated = []
-    for b, d in zip(page, depth, strict=True):
-        inner = [i for i in range(len(b.path)) if b.path[i][0] not in _INNER or (b.path[i][0] == "li" and i + 1 < len(b.path))]
-        repeated.append(any(len(shapes[b.ids[i - 1] if i else 0, *b.path[i]]) > 1 for i in inner[-3:]))
+    for b, t in zip(page, tags, strict=True):
+        inner = [e for i, e in enumerate(b.ids) if t[i] not in _INNER or (t[i] == "li" and i + 1 < len(t))] if often else ()
+        repeated.append(any(e in often for e in inner[-3:]))
     mass: dict[tuple, int] = {}
     for b, c, p, r in zip(page, containers, prose, repeated, strict=True):
         if p:
@@ -82,7 +86,8 @@ def _structure(x: np.ndarray, page: list[Block]) -> None:
     last_prose = max((i for i, p in enumerate(prose) if p and "copyright" not in page[i].text.lower()), default=-1)
     title = next((b.text.lower() for b, t in zip(page, tags, strict=True) if "title" in t), "")
     comments = False
-    for i, (row, b) in enumerate(zip(x, page, strict=True)):
+    out = []
+    for i, b in enumerate(page):
         on = []
         if any(inside):
             on.append("page has article")
@@ -121,15 +126,16 @@ def _structure(x: np.ndarray, page: list[Block]) -> None:
             on.append("links after")
         if i and low and low == title:
             on.append("repeats the page title")
-        row[[_AT[f] for f in on]] = 1
+        out.append(on)
+    return out
 
 
 def featurize(page: list[Block]) -> np.ndarray:
     """A row of 0 and 1 for each block."""
     x = np.zeros((len(page), len(FEATURES)))
-    _structure(x, page)
-    for row, b in zip(x, page, strict=True):
-        on = [0]
+    rows, columns = [], []
+    for number, (b, found) in enumerate(zip(page, _structure(page), strict=True)):
+        on = [0, *[_AT[f] for f in found]]
         inside = [t for t, _ in b.path]
         on += [_IN[t] for t in inside if t in _IN]
         if inside and f"at:{inside[-1]}" in _AT:
@@ -161,7 +167,9 @@ def featurize(page: list[Block]) -> np.ndarray:
             on.append(_AT["copyright"])
         if not any(c.isalpha() for c in b.text):
             on.append(_AT["no letters"])
-        row[on] = 1
+        rows += [number] * len(on)
+        columns += on
+    x[rows, columns] = 1
     if len(x):
         x[0, _AT["first"]] = x[-1, _AT["last"]] = 1
     return x
