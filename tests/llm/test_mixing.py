@@ -98,14 +98,19 @@ def brute_schedule(rows, order, target, block_tokens):
     return e, {(k, ep): (b, 1 + sum((order["block", x, y], y, x) < (order["block", ep, k], k, ep) for y, x, c in uses if c == b)) for k, ep, b in uses}
 
 
+def orders(spark, sized):
+    """The hashes that order rows in an epoch and in a block."""
+    epochs = spark.range(12).select(F.col("id").cast("int").alias("epoch"))
+    kinds = {"": F.xxhash64(F.lit(0), "epoch", "row_key"), "block": F.xxhash64(F.lit(0), F.lit("block"), "epoch", "row_key")}
+    return {(k, r["epoch"], r["row_key"]): r["h"] for k, h in kinds.items() for r in sized.join(epochs).select("epoch", "row_key", F.shiftrightunsigned(h, 1).alias("h")).collect()}
+
+
 def test_schedule_matches_brute_force(spark):
     rows = [(i, "w " * (i % 9 + 1), "big") for i in range(90)] + [(100 + i, "v " * 5, "small") for i in range(8)] + [(200 + i, "u " * 3, None) for i in range(9)] + [(300, "", "none"), (301, "", "small")]
     docs = spark.createDataFrame(rows, SCHEMA)
     for target in (mixing.Target(max_repeats=3.0), mixing.Target(max_repeats=None, entropy=0.7), mixing.Target(max_repeats=1.0)):
         sized = mixing.sized(docs, "doc_id")
-        epochs = spark.range(12).select(F.col("id").cast("int").alias("epoch"))
-        kinds = {"": F.xxhash64(F.lit(0), "epoch", "row_key"), "block": F.xxhash64(F.lit(0), F.lit("block"), "epoch", "row_key")}
-        order = {(k, r["epoch"], r["row_key"]): r["h"] for k, h in kinds.items() for r in sized.join(epochs).select("epoch", "row_key", F.shiftrightunsigned(h, 1).alias("h")).collect()}
+        order = orders(spark, sized)
         exponent, want = brute_schedule(sized.collect(), order, target, 100)
         assert mixing.recipe(sized, target)[1] == pytest.approx(exponent, abs=2e-6)
         assert {(r["row_key"], r["epoch"]): (r["block"], r["place"]) for r in mixing.schedule(sized, target, block_tokens=100).collect()} == want
