@@ -31,7 +31,8 @@ def s_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return E.run_available(E.limit_stream(stream(spark, sf, "events").select(F.col("user_id").alias("client"), "event_id", "ts"), 1)).select("event_id", "allowed")
 
 
-@query()
+@query("SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS stage, count(*) AS n, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL")
 def s_latency_window(spark: SparkSession, sf: str) -> DataFrame:
     """Every window of the events, the open ones too."""
-    return E.run_latest(E.latency_windows(stream(spark, sf, "events").select("ts", F.col("event_type").alias("stage"), "value")), ["start", "stage"])
+    windows = E.latency_windows(stream(spark, sf, "events").select("ts", F.col("event_type").alias("stage"), "value"))
+    return E.run_latest(windows, ["start", "stage"]).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

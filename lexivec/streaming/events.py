@@ -63,31 +63,27 @@ def answer_events(requests: DataFrame) -> DataFrame:
 def limit_stream(requests: DataFrame, limit: int = DEFAULT.rate_limit, delay: str = "1 minute") -> DataFrame:
     """(client, event_id, ts, allowed) of a stream (client, event_id, ts): the first `limit` of a client in each minute.
 
-    A client's state is the count of each minute that late requests can still fall into."""
+    Each minute of a client is a group of its own, so that a busy client is spread over tasks; its state is a count, which
+    is dropped once no late request can fall into that minute. ts must not be null."""
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        seen: dict[int, int] = dict(zip(*state.get, strict=True)) if state.exists else {}
+        before = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        allowed = []
-        for m in (rows["ts"].astype("datetime64[s]").astype("int64") // 60).tolist():
-            seen[m] = seen.get(m, 0) + 1
-            allowed.append(seen[m] <= limit)
-        open_from = state.getCurrentWatermarkMs() // 60_000
-        seen = {m: n for m, n in seen.items() if m >= open_from}
-        state.update((list(seen), list(seen.values())))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["ts"].max().timestamp() * 1000)) + 120_000)
-        yield pd.DataFrame({"client": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "allowed": allowed})
+        state.update((before + len(rows),))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (int(key[1]) + 1) * 60_000))
+        yield pd.DataFrame({"client": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "allowed": range(before, before + len(rows))}).assign(allowed=lambda r: r["allowed"] < limit)
 
-    marked = requests.withWatermark("ts", delay).groupBy("client")
-    return marked.applyInPandasWithState(count, "client bigint, event_id bigint, ts timestamp, allowed boolean", "minutes array<bigint>, counts array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = requests.withWatermark("ts", delay).withColumn("minute", F.floor(F.unix_timestamp("ts") / 60)).groupBy("client", "minute")
+    return marked.applyInPandasWithState(count, "client bigint, event_id bigint, ts timestamp, allowed boolean", "n bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latency_windows(samples: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """(start, stage, n, p95) of a stream (ts, stage, value) in tumbling windows. In append mode a window comes once the
-    watermark has passed it; run_latest also returns those that are open when the input ends."""
+    watermark has passed it; run_latest also returns those that are open when the input ends. p95 is the smallest value that 95 % do not exceed, exact for windows of up to 500 samples
+    and within 0.1 % of the rank beyond."""
     grouped = samples.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "stage")
     return grouped.agg(F.count("*").alias("n"), F.percentile_approx("value", 0.95, 1000).alias("p95")).select(F.col("w.start").alias("start"), "stage", "n", "p95")
 

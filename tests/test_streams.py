@@ -34,6 +34,21 @@ def test_rate_limit_stream(spark, tmp_path):
     assert len(out) == 71 and allowed == [*range(20), *range(60, 70), 100]
 
 
+def test_rate_limit_holds_over_batches_and_minutes(spark, tmp_path):
+    """Rows of a minute that come in several batches count together; late ones still find the count of theirs."""
+    import datetime as dt
+    from collections import Counter
+
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(c, 100 * c + i, start + dt.timedelta(seconds=7 * i % 300)) for c in (1, 2) for i in range(90)]
+    for f in range(3):
+        spark.createDataFrame(rows[f::3], "client long, event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("client long, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = E.run_available(E.limit_stream(source, 5, delay="10 minutes")).collect()
+    allowed = Counter((r["client"], r["ts"].minute) for r in out if r["allowed"])
+    assert len(out) == len(rows) and set(allowed) == {(c, m) for c in (1, 2) for m in range(5)} and set(allowed.values()) == {5}
+
+
 def test_all_latency_windows(spark, tmp_path):
     import datetime as dt
     import random
