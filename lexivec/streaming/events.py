@@ -60,24 +60,34 @@ def answer_events(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", F.posexplode(F.concat(first, tokens, last)).alias("seq", "e")).select("request_id", F.col("seq").cast("bigint").alias("seq"), "e.event", "e.data")
 
 
-def limit_stream(requests: DataFrame, limit: int = DEFAULT.rate_limit, delay: str = "1 minute") -> DataFrame:
+def limit_stream(requests: DataFrame, limit: int = DEFAULT.rate_limit, delay: str = "1 minute", slots: int = 256) -> DataFrame:
     """(client, event_id, ts, allowed) of a stream (client, event_id, ts): the first `limit` of a client in each minute.
 
-    Each minute of a client is a group of its own, so that a busy client is spread over tasks; its state is a count, which
-    is dropped once no late request can fall into that minute. ts must not be null."""
+    The minutes of clients are dealt to slots by their hash, so that a busy client is spread over tasks and quiet ones share
+    a call. The state of a slot is a count for each of its minutes that late requests can still fall into; slots have to
+    stay as they are while a stream lives, and should grow with the clients. ts must not be null."""
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        before = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        state.update((before + len(rows),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (int(key[1]) + 1) * 60_000))
-        yield pd.DataFrame({"client": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "allowed": range(before, before + len(rows))}).assign(allowed=lambda r: r["allowed"] < limit)
-
-    marked = requests.withWatermark("ts", delay).withColumn("minute", F.floor(F.unix_timestamp("ts") / 60)).groupBy("client", "minute")
-    return marked.applyInPandasWithState(count, "client bigint, event_id bigint, ts timestamp, allowed boolean", "n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        of, types = ["client", "minute"], {"client": object, "minute": "int64", "n": "int64"}
+        held = state.get if state.exists else ([], [], [])
+        seen = pd.DataFrame(dict(zip(types, map(list, held), strict=True))).astype(types)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"]).astype({"client": object}).merge(seen, "left", of)
+        place = rows.groupby(of, dropna=False).cumcount() + rows["n"].fillna(0)
+        now = pd.concat([seen, rows[of].assign(n=1)]).groupby(of, dropna=False, as_index=False)["n"].sum()
+        now = now[now["minute"] >= state.getCurrentWatermarkMs() // 60_000]
+        state.update(([None if pd.isna(c) else c for c in now["client"]], now["minute"].tolist(), now["n"].tolist()))
+        last = 0 if now.empty else int(now["minute"].max())
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (last + 1) * 60_000))
+        yield rows[["client", "event_id", "ts"]].assign(allowed=place < limit)
+
+    minute = F.floor(F.unix_timestamp("ts") / 60)
+    marked = requests.withWatermark("ts", delay).withColumn("client", F.col("client").cast("string")).withColumn("minute", minute).withColumn("slot", F.pmod(F.xxhash64("client", "minute"), F.lit(slots)))
+    out, kept = "client string, event_id bigint, ts timestamp, allowed boolean", "clients array<string>, minutes array<bigint>, counts array<bigint>"
+    limited = marked.groupBy("slot").applyInPandasWithState(count, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return limited.withColumn("client", F.col("client").cast(requests.schema["client"].dataType))
 
 
 def latency_windows(samples: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
