@@ -22,7 +22,7 @@ GROUP_ITEMS = 50_000
 CACHE_WORDS = 1_500_000
 
 
-def _byte_chars() -> list[str]:
+def byte_chars() -> list[str]:
     """The character that byte-level tokenizers use for each byte: printable Latin-1 as it is, the others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = iter(range(256, 512))
@@ -43,7 +43,7 @@ class WordEncoder(dict):
         self.model = self.tokenizer.model
         if self.model.end_of_word_suffix != "</w>" or type(self.tokenizer.normalizer).__name__ != "Sequence":
             raise ValueError("WordEncoder needs a tokenizer with word ends that drops white space")
-        self.chars = _byte_chars()
+        self.chars = byte_chars()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE_WORDS:

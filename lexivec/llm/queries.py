@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import archive, chat, html_crf, licenses, lz_fingerprint, mixing, near_dup, packing, pii, quality
+from lexivec.llm import alignment, archive, block_search, centroids, chat, html_crf, licenses, lz_fingerprint, mixing, near_dup, packing, pii, quality
 from lexivec.sources.folders import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,65 @@ FROM p LEFT JOIN f USING (payload_digest)"""
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each license notice in a document, with its span, matched words and coverage."""
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.lloyd(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def _lloyd_sql() -> str:
+    """The rounds one after the other; sums are HUGEINT, and the floor of a quotient goes by its remainder."""
+    rounds = []
+    for r in range(centroids.ROUNDS + 1):
+        rounds.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT k, any_value(vec_id) AS vec_id, any_value(q) AS q, min(d) AS distance, arg_min(cluster, d * {centroids.CLUSTERS} + cluster) AS cluster
+  FROM (SELECT k, vec_id, q, cluster, list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{r})
+  GROUP BY k)""")
+        if r < centroids.ROUNDS:
+            rounds.append(f"""
+m{r} AS (
+  SELECT cluster, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS c
+  FROM (SELECT cluster, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{r}) GROUP BY ALL)
+  GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))""")
+    last = centroids.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE len(embedding) = {centroids.WIDTH} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = {centroids.WIDTH}),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), q) - 1)::INTEGER AS cluster, q AS c
+  FROM kept QUALIFY cluster < {centroids.CLUSTERS}),{",".join(rounds)}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} USING (cluster)"""
+
+
+ORACLES["op12_centroid_clustering"] = _lloyd_sql()
+
+
+@query
+def op13_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all other rows for each row whose id is divisible by 100."""
+    return block_search.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_block_search"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (
+  SELECT a.k, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.k <> b.k)
+SELECT query_id, (row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10"""
