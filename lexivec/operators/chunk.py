@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.config import DEFAULT, Config
+from lexivec.functions import bytepairs
 from lexivec.functions import text as T
 
 
@@ -73,7 +74,7 @@ def byte_pairs_counted(path: str, pattern: str, special: dict[str, int] | None =
         from tiktoken.load import load_tiktoken_bpe
 
         encoding = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(path), special_tokens=special or {})
-        return lambda s: len(encoding.encode_ordinary(s))
+        return lambda s: len(bytepairs.encode(encoding, s))
 
     return load
 
