@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexivec.functions import bytepairs
 from lexivec.llm.common import partitions_of
 
 #: The text of each reserved id, in the order of the ids from the end of the vocabulary on.
@@ -61,8 +62,8 @@ def encode_turns(turns: DataFrame, path: str) -> DataFrame:
                 if role in OPENINGS and role is not None:
                     opening = [first + roles.index(role)]
                 else:
-                    opening = [first + roles.index(None), *enc.encode_ordinary(escape(role or "")), role_end]
-                content = enc.encode_ordinary(escape(text))
+                    opening = [first + roles.index(None), *bytepairs.encode(enc, escape(role or "")), role_end]
+                content = bytepairs.encode(enc, escape(text))
                 ids.append(np.array([*opening, *content, turn_end], np.int32))
                 lengths.append([len(opening), len(content), 1])
             yield pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"], "role": pdf["role"], "ids": ids, "lengths": lengths})
@@ -155,7 +156,8 @@ class Reader:
 
 def digests(chunks: DataFrame, path: str) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) read back from assemble()'s rows, which
-    must come straight from it: it leaves each conversation's chunks together and in order."""
+    must come straight from it: it leaves each conversation's chunks together and in order. Null roles and texts have
+    become empty there; a null conversation is one of its own; an empty table gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(path)

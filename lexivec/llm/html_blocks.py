@@ -28,8 +28,9 @@ CLOSED_BY = {
     "head": {"body"},
 }
 
+#: To be used up to the last ">" of a page (closable), so that no tag is looked for an end that does not come.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TAGS})(?=[\s/>])[^>]*(?:/>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))|<(?P<skip>{SKIPPED_TAGS})(?=[\s/>])(?P<rest>(?:\"[^\"<]*\"|'[^'<]*'|[^\"'<>])*+>|[^>]*>)"
+    rf"<!--.*?(?:-->|(?P<comment>\Z))|<(?P<raw>{RAW_TAGS})(?=[\s/>])[^>]*(?:/>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|(?P<content>\Z)))|<(?P<skip>{SKIPPED_TAGS})(?=[\s/>])(?P<rest>(?:\"[^\"<]*\"|'[^'<]*'|[^\"'<>])*+>|[^>]*>)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'<>])*+)>|<[!?/][^>]*>", re.S | re.I
 )
 _SKIPPED = frozenset(SKIPPED_TAGS.split("|"))
@@ -40,15 +41,41 @@ _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
+class Element:
+    """An open element: what lies in it has numbers from its own to below `end`. The root, number 0, stands for the page."""
+
+    __slots__ = ("end", "names", "number", "parent", "tag")
+
+    def __init__(self, tag: str, names: frozenset[str], number: int, parent: Element | None):
+        self.tag, self.names, self.number, self.parent, self.end = tag, names, number, parent, 0
+
+    def holds(self, other: Element) -> bool:
+        return self.number <= other.number < self.end
+
+
 @dataclass
 class Block:
-    """text has its character references decoded and single spaces; path holds (tag, words of class, id and role), and ids
-    a number for each element of it."""
+    """text has its character references decoded and single spaces; element is the innermost one around it, shared by all
+    blocks that lie in it, so that deep pages need no more room than flat ones."""
 
     text: str
-    path: tuple[tuple[str, frozenset[str]], ...]
+    element: Element
     linked: int  # characters inside links
-    ids: tuple[int, ...] = ()
+
+    @property
+    def path(self) -> list[Element]:
+        """The elements around the block, outermost first, without the root."""
+        out, e = [], self.element
+        while e.parent:
+            out.append(e)
+            e = e.parent
+        return out[::-1]
+
+
+def closable(page: str) -> tuple[str, str]:
+    """The page up to its last ">", in which every tag finds an end, and the text after it, where no tag does."""
+    at = page.rfind(">") + 1
+    return page[:at], page[at:]
 
 
 def names(attrs: str) -> frozenset[str]:
@@ -92,10 +119,11 @@ def skipped(page: str) -> dict[int, int]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in page order; those without text are left out."""
+    """The leaf blocks of a page in page order; those without text are left out. Time and memory grow with the page's length,
+    however deep its elements are and whatever is left open."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
-    ids: list[int] = []
+    root = at_element = Element("", frozenset(), 0, None)
+    opened: Counter[str] = Counter()
     n_elements = 0
     parts: list[str] = []
     linked, in_link = 0, False
@@ -104,7 +132,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, tuple(stack), linked, tuple(ids)))
+            out.append(Block(text, at_element, linked))
         parts, linked = [], 0
 
     def say(text: str) -> None:
@@ -113,15 +141,24 @@ def blocks(page: str) -> list[Block]:
             parts.append(text)
             linked += len(text.strip()) * in_link
 
-    ends = skipped(page) if _SKIP.search(page) else {}
-    at = 0
-    for m in _TOKEN.finditer(page):
+    def leave() -> str:
+        nonlocal at_element
+        left, at_element = at_element, at_element.parent
+        left.end = n_elements + 1
+        opened[left.tag] -= 1
+        return left.tag
+
+    head, tail = closable(page)
+    ends = skipped(head) if _SKIP.search(head) else {}
+    at, lost = 0, False
+    for m in _TOKEN.finditer(head):
         if m.start() < at:
             continue
-        say(page[at : m.start()])
+        say(head[at : m.start()])
         at = ends.get(m.start(), m.end())
         tag = (m["tag"] or "").lower()
         if not tag:
+            lost = m["comment"] is not None or m["content"] is not None
             continue
         if tag == "a":
             in_link = not m["close"]
@@ -131,18 +168,21 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if m["close"]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if opened[tag]:
+                while leave() != tag:
                     pass
-                del ids[len(stack) :]
             continue
-        while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
-            ids.pop()
+        while tag in CLOSED_BY.get(at_element.tag, ()):
+            leave()
         if tag not in VOID_TAGS and not m["attrs"].rstrip().endswith("/"):
             n_elements += 1
-            stack.append((tag, names(m["attrs"]) if m["attrs"] else frozenset()))
-            ids.append(n_elements)
-    say(page[at:])
+            at_element = Element(tag, names(m["attrs"]) if m["attrs"] else frozenset(), n_elements, at_element)
+            opened[tag] += 1
+    say(head[at:])
+    if not lost:  # what follows a comment or script that never ends is part of it
+        say(tail.partition("<!--")[0])
     flush()
+    while at_element.parent:
+        leave()
+    root.end = n_elements + 1
     return out

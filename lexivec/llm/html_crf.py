@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.common import text_of
-from lexivec.llm.html_blocks import Block, blocks
+from lexivec.llm.html_blocks import Block, Element, blocks
 from lexivec.llm.html_pages import labelled_pages
 
 #: Pages that the field is trained on, by default; the bound of the training sample.
@@ -33,7 +35,6 @@ _WORDS = {
     "content": "content article post entry main story text body",
 }
 _GROUP_OF = {w: g for g, ws in _WORDS.items() for w in ws.split()}
-_NOT_CONTENT = [g for g in _WORDS if g != "content"]
 FEATURES = [
     "bias", *[f"in:{t}" for t in _TAGS], *[f"at:{t}" for t in _TAGS], *[f"named:{g}" for g in _WORDS], "inner:chrome", "article>header", "article>chrome tag", "body alone",
     *[f"words:{n}" for n in (1, 2, 5, 10, 25)], "links:some", "links:most", "links:all", "ends a sentence", "copyright", "no letters", "first", "last",
@@ -46,50 +47,93 @@ _COMMENT_HEADINGS = set("comments comment responses replies reactions discussion
 _INNER = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table tbody thead tfoot tr td th header hgroup".split())
 _AT = {f: i for i, f in enumerate(FEATURES)}
 _IN = {t: _AT[f"in:{t}"] for t in _TAGS}
+_BIT = {t: 1 << i for i, t in enumerate(_TAGS)}
+_CHROME_BITS = sum(_BIT[t] for t in ("nav", "aside", "footer", "form"))
 
 
 def _is_prose(b: Block) -> bool:
     return b.linked * 2 < len(b.text) and b.text.count(" ") >= 5 and b.text[-1] in ".!?:;…\"'”»"
 
 
-def _structure(page: list[Block]) -> list[list[str]]:
+class _Facts:
+    """What an element inherits from those around it: tags of the path as bits, groups of names, whether it is inside chrome
+    (the nearest element that tells), whether only plain tags are around, its innermost container, and the nearest element
+    that is a container or a list item. Computed once an element, so that deep pages cost no more than flat ones."""
+
+    __slots__ = ("chrome", "container", "groups", "plain", "solid", "tags")
+    _PLAIN = frozenset(("html", "body", "p", "div", "section"))
+    _CHROME = frozenset(("nav", "aside", "footer", "form"))
+
+    def __init__(self, e: Element, up: _Facts | None):
+        if up is None:
+            self.tags, self.groups, self.chrome, self.plain, self.container, self.solid = 0, frozenset(), False, True, e, None
+            return
+        mine = {_GROUP_OF[w] for w in e.names if w in _GROUP_OF}
+        self.tags = up.tags | _BIT.get(e.tag, 0)
+        self.groups = up.groups if mine <= up.groups else up.groups | mine
+        self.plain = up.plain and e.tag in self._PLAIN
+        self.container = up.container if e.tag in _INNER else e
+        self.solid = up.solid if e.tag in _INNER and e.tag != "li" else e
+        if e.tag in ("article", "main") or "content" in mine:
+            self.chrome = False
+        else:
+            self.chrome = up.chrome or e.tag in self._CHROME or bool(mine)
+
+
+def _known(page: list[Block]) -> dict[Element, _Facts]:
+    """The facts of all elements around the blocks."""
+    facts: dict[Element, _Facts] = {}
+    for b in page:
+        way, e = [], b.element
+        while e is not None and e not in facts:
+            way.append(e)
+            e = e.parent
+        for e in reversed(way):
+            facts[e] = _Facts(e, facts[e.parent] if e.parent else None)
+    return facts
+
+
+def _structure(page: list[Block], facts: dict[Element, _Facts]) -> list[list[str]]:
     """Features of each block that need the whole page: which container holds most of the prose, what is repeated, and what is near."""
-    tags = [[t for t, _ in b.path] for b in page]
-    inside = ["article" in t or "main" in t for t in tags]
+    last_tag = [b.element.tag for b in page]
+    of = [facts[b.element] for b in page]
+    inside = [bool(f.tags & (_BIT["article"] | _BIT["main"])) for f in of]
+    has_article = any(inside)
     prose = [_is_prose(b) for b in page]
     linked = [b.linked * 2 >= len(b.text) for b in page]
     # The container of a block is its innermost element that is no part of running text.
-    depth = [next((i + 1 for i in range(len(t) - 1, -1, -1) if t[i] not in _INNER), 0) for t in tags]
-    containers = [b.ids[:d] for b, d in zip(page, depth, strict=True)]
+    containers = [f.container for f in of]
     # Elements with the same tag and names under one parent are repeated; rows of running text don't count.
-    seen: dict[int, tuple] = {}
-    for b in page:
-        for i in range(len(b.ids) - 1, -1, -1):
-            if b.ids[i] in seen:
-                break
-            seen[b.ids[i]] = (b.ids[i - 1] if i else 0, *b.path[i])
+    seen = {e: (e.parent.number, e.tag, e.names) for e in facts if e.parent}
     shapes = Counter(shape for shape in seen.values() if shape[1] not in _INNER or shape[1] == "li")
     often = {e for e, shape in seen.items() if shapes[shape] > 1}
     repeated = []
-    for b, t in zip(page, tags, strict=True):
-        inner = [e for i, e in enumerate(b.ids) if t[i] not in _INNER or (t[i] == "li" and i + 1 < len(t))] if often else ()
-        repeated.append(any(e in often for e in inner[-3:]))
-    mass: dict[tuple, int] = {}
+    for b in page:
+        # Of the three nearest containers and list items; a list item that is the innermost element is running text.
+        e, found = b.element, False
+        e = facts[e].solid if e.tag not in _INNER else facts[e.parent].solid
+        for _ in range(3 * bool(often)):
+            if e is None:
+                break
+            found = found or e in often
+            e = facts[e.parent].solid
+        repeated.append(found)
+    mass: dict[Element, int] = {}
     for b, c, p, r in zip(page, containers, prose, repeated, strict=True):
         if p:
             mass[c] = mass.get(c, 0) + (b.text.count(" ") + 1) // (3 if r else 1)
-    best = max(mass, key=mass.get) if mass else ()
-    in_best = [bool(mass) and b.ids[: len(best)] == best for b in page]
+    best = max(mass, key=mass.get) if mass else None
+    in_best = [bool(mass) and best.holds(b.element) for b in page]
     first_best, last_best = (in_best.index(True), len(page) - 1 - in_best[::-1].index(True)) if any(in_best) else (len(page), -1)
-    first_article, last_article = (inside.index(True), len(page) - 1 - inside[::-1].index(True)) if any(inside) else (len(page), -1)
-    headings = [i for i, t in enumerate(tags) if t and t[-1] == "h1"] or [i for i, t in enumerate(tags) if t and t[-1] == "h2"]
+    first_article, last_article = (inside.index(True), len(page) - 1 - inside[::-1].index(True)) if has_article else (len(page), -1)
+    headings = [i for i, t in enumerate(last_tag) if t == "h1"] or [i for i, t in enumerate(last_tag) if t == "h2"]
     last_prose = max((i for i, p in enumerate(prose) if p and "copyright" not in page[i].text.lower()), default=-1)
-    title = next((b.text.lower() for b, t in zip(page, tags, strict=True) if "title" in t), "")
+    title = next((b.text.lower() for b, f in zip(page, of, strict=True) if f.tags & _BIT["title"]), "")
     comments = False
     out = []
     for i, b in enumerate(page):
         on = []
-        if any(inside):
+        if has_article:
             on.append("page has article")
             if not inside[i]:
                 on.append("before article" if i < first_article else "after article" if i > last_article else "page has article")
@@ -118,7 +162,7 @@ def _structure(page: list[Block]) -> list[list[str]]:
             on.append("prose before")
         if i + 1 < len(page) and prose[i + 1]:
             on.append("prose after")
-            if tags[i] and tags[i][-1] in ("h1", "h2", "h3") and containers[i + 1] == containers[i]:
+            if last_tag[i] in ("h1", "h2", "h3") and containers[i + 1] == containers[i]:
                 on.append("titles the prose")
         if i and linked[i - 1]:
             on.append("links before")
@@ -134,27 +178,22 @@ def featurize(page: list[Block]) -> np.ndarray:
     """A row of 0 and 1 for each block."""
     x = np.zeros((len(page), len(FEATURES)))
     rows, columns = [], []
-    for number, (b, found) in enumerate(zip(page, _structure(page), strict=True)):
+    facts = _known(page)
+    for number, (b, found) in enumerate(zip(page, _structure(page, facts), strict=True)):
         on = [0, *[_AT[f] for f in found]]
-        inside = [t for t, _ in b.path]
-        on += [_IN[t] for t in inside if t in _IN]
-        if inside and f"at:{inside[-1]}" in _AT:
-            on.append(_AT[f"at:{inside[-1]}"])
-        groups = {_GROUP_OF[w] for _, ns in b.path for w in ns if w in _GROUP_OF}
-        on += [_AT[f"named:{g}"] for g in groups]
-        for i in range(len(inside) - 1, -1, -1):
-            tag, ns = b.path[i]
-            if tag in ("article", "main") or any(_GROUP_OF.get(w) == "content" for w in ns):
-                break
-            if tag in ("nav", "aside", "footer", "form") or any(_GROUP_OF.get(w) in _NOT_CONTENT for w in ns):
-                on.append(_AT["inner:chrome"])
-                break
-        if "article" in inside or "main" in inside:
-            if "header" in inside:
+        f = facts[b.element]
+        on += [_IN[t] for t in _TAGS if f.tags & _BIT[t]]
+        if b.element.tag in _BIT:
+            on.append(_AT[f"at:{b.element.tag}"])
+        on += [_AT[f"named:{g}"] for g in f.groups]
+        if f.chrome:
+            on.append(_AT["inner:chrome"])
+        if f.tags & (_BIT["article"] | _BIT["main"]):
+            if f.tags & _BIT["header"]:
                 on.append(_AT["article>header"])
-            if {"nav", "aside", "footer", "form"} & set(inside):
+            if f.tags & _CHROME_BITS:
                 on.append(_AT["article>chrome tag"])
-        elif not set(inside) - {"html", "body", "p", "div", "section"}:
+        elif f.plain:
             on.append(_AT["body alone"])
         n = b.text.count(" ") + 1
         on.append(_AT[f"words:{max(k for k in (1, 2, 5, 10, 25) if n >= k)}"])
@@ -255,8 +294,22 @@ def train(pages: list[tuple[str, list[int]]]) -> ChainField:
     return ChainField.train(rows)
 
 
+#: The weights of the default field with what they were trained from; made by store_weights().
+WEIGHTS = Path(__file__).with_name("html_weights.json")
+
+
+def store_weights(pages: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> None:
+    """Trains the default field and writes its weights; to be done whenever the features or the invented pages change."""
+    field = train(labelled_pages(pages, seed))
+    WEIGHTS.write_text(json.dumps({"pages": pages, "seed": seed, "features": FEATURES, "weights": field.weights.tolist(), "turns": field.turns.tolist()}, indent=1) + "\n")
+
+
 @lru_cache(maxsize=2)
 def default_field(pages: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> ChainField:
+    """The stored field, or a new one where that was trained on other pages or features."""
+    known = json.loads(WEIGHTS.read_text()) if WEIGHTS.exists() else {}
+    if (known.get("pages"), known.get("seed"), known.get("features")) == (pages, seed, FEATURES):
+        return ChainField(np.array(known["weights"]), np.array(known["turns"]))
     return train(labelled_pages(pages, seed))
 
 

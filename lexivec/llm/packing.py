@@ -18,8 +18,9 @@ CAPACITY = 4096
 END_ID = 1
 #: Items that one task packs; leftovers of the tasks are packed again together.
 GROUP_ITEMS = 50_000
-#: Words that a worker's cache of token ids holds before it starts anew.
-CACHE_WORDS = 1_500_000
+#: Bytes of words and ids that a worker's cache holds before it starts anew, and the longest word that it keeps. A word is counted
+#: with ENTRY_BYTES for the entry itself.
+CACHE_BYTES, CACHED_WORD, ENTRY_BYTES = 300 << 20, 64, 150
 
 
 def byte_chars() -> list[str]:
@@ -39,6 +40,7 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         if self.model.end_of_word_suffix != "</w>" or type(self.tokenizer.normalizer).__name__ != "Sequence":
@@ -46,10 +48,17 @@ class WordEncoder(dict):
         self.chars = byte_chars()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        out = self[word] = np.array(self._ids(word), "<u4").tobytes()
-        return out
+        return self._kept(word, np.array(self._ids(word), "<u4").tobytes())
+
+    def _kept(self, word: str, value: bytes | int) -> bytes | int:
+        """value, after keeping it for a word that is not too long. The cache starts anew when it is full."""
+        if len(word) <= CACHED_WORD:
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = value
+            self.held += ENTRY_BYTES + (len(word) if word.isascii() else 4 * len(word)) + (len(value) if isinstance(value, bytes) else 0)
+        return value
 
     def _ids(self, word: str) -> list[int]:
         if word and max(word) < "ɐ" and "İ" not in word:
@@ -66,15 +75,11 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
-
 class WordCounter(WordEncoder):
     """Numbers of token ids, kept by word as WordEncoder keeps the ids."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        out = self[word] = len(self._ids(word))
-        return out
+        return self._kept(word, len(self._ids(word)))
 
     def count(self, text: str) -> int:
         for c in "\n\t\r":

@@ -1,4 +1,6 @@
 import sys
+import time
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -63,6 +65,39 @@ def test_pages_made_by_hand(capsys):
     assert f1 >= 0.95
 
 
+def test_hostile_pages_take_little_time_and_memory():
+    field = html_crf.default_field()
+    deep = "<div>x " * 100_000
+    tracemalloc.start()
+    assert html_crf.main_text(deep, field).count("x") <= 100_000
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    began = time.monotonic()
+    assert len(blocks(deep)) == 100_000
+    html_crf.main_text("<div>" * 50_000 + "</p>" * 50_000 + "y</div>" * 50_000, field)
+    html_crf.main_text("<blockquote>" * 50_000 + "<p>z</p>" * 20_000, field)
+    for part in ("<svg ", "<!", "</"):
+        blocks(part * (2_000_000 // len(part)))
+    for part in ("<!--", "<script ", "<script>", "</script ", "<noscript ", "<noscript>", "<a ", "<a '", '<a "', "<style></style ", "&", "<svg "):
+        blocks(part * (200_000 // len(part)) + ">")
+        blocks(part * (200_000 // len(part)) + "<p>One.")
+    blocks("<script>" + "</script " * 200_000)
+    assert most < 1 << 30 and time.monotonic() - began < 100
+
+
+def test_text_after_the_last_tag():
+    said = lambda page: [b.text for b in blocks(page)]
+    assert said("<p>one</p>two <svg ") == ["one", "two <svg"]
+    assert said("<p>one<!-- a > b -- c") == said("<p>one<!-- c") == said("<p>one<script>if (a > b) c") == said("<p>one<style>c") == ["one"]
+    assert said("<p>one<!-- a -->two<!-- b") == ["one" + "two"] and said("no tags <b at all") == ["no tags <b at all"]
+
+
+def test_the_stored_weights_are_those_of_training():
+    trained = html_crf.train(labelled_pages(html_crf.TRAINING_PAGES, html_crf.TRAINING_SEED))
+    stored = html_crf.default_field()
+    assert abs(trained.weights - stored.weights).max() < 1e-3 and abs(trained.turns - stored.turns).max() < 1e-3
+
+
 def test_one_page_of_many_blocks():
     page = "<article><h1>Title of it</h1>" + "<p>A sentence of some length that ends here.</p>" * 20_000 + "</article>"
     assert html_crf.main_text(page, html_crf.default_field()).count("\n") == 20_000
