@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexivec.config import DEFAULT, Config
 from lexivec.functions import scores as S
 from lexivec.functions import text as T
+from lexivec.sources.folders import remove
 
 
 def chunk_tokens(chunks: DataFrame, key: str) -> DataFrame:
@@ -39,20 +40,22 @@ def idf(df: DataFrame, n: int, config: Config = DEFAULT) -> DataFrame:
     return raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
-#: Parts of scores are stored as whole numbers of this size, so that their sums do not depend on the order of rows; a
-#: score can be up to 92,233.
+#: Parts of scores are whole numbers of this size, so that their sums do not depend on the order of rows; a score can be up
+#: to 92,233.
 UNIT = 1e-14
-#: Postings of a term in a block, about; blocks are what a question reads or skips.
-BLOCK_POSTINGS = 4096
+#: Chunks of a segment, and of a block within it: powers of two, as numbers of chunks are cut at bits.
+SEGMENT, BLOCK = 1 << 16, 1 << 4
 
 
 @dataclass(frozen=True)
 class SparseIndex:
     """Tables of a BM25 index, and its two numbers.
 
-    terms: (term, df, idf, n_blocks, most), most being the largest part that the term adds to any score.
-    postings: (term, block, key, part), part being what the term adds to the score of the chunk, in units.
-    keys: (key), all chunks."""
+    terms: (term, df, idf, most), most being the largest part, in units, that the term adds to any score.
+    postings: (segment, term, most, docs, weights, blocks, maxima), a row for each term of a segment of chunks: the chunks' places
+    in the segment, in the order of their keys, with what the term adds to each score before it is multiplied by idf; and the blocks
+    of chunks that have the term, with the largest weight in each. `most` is the largest of all.
+    keys: (segment, doc, key), all chunks."""
 
     terms: DataFrame
     postings: DataFrame
@@ -64,26 +67,37 @@ class SparseIndex:
 def build_index(chunks: DataFrame, folder: str, config: Config = DEFAULT) -> SparseIndex:
     """Writes the index of chunks (key, text), whose keys are unique, into a folder, in place of what is there, and loads it.
 
-    Texts are tokenised once. Postings of a frequent term are dealt over blocks by their key, so that no task or partition
-    holds all of them; they are sorted by term in their files, which lets readers skip row groups."""
+    Texts are tokenised once, where they lie, and sorted by key there, so that texts are never shuffled; a segment is a run of
+    at most SEGMENT chunks of one partition. So no row and no task has all postings of a frequent term. Rows are sorted by term in
+    their files, which lets readers skip row groups."""
     spark = chunks.sparkSession
-    counted = chunk_tokens(chunks, "key").select("key", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).groupBy("key", "dl", "term").agg(F.count("term").alias("tf"))
-    counted.write.mode("overwrite").parquet(f"{folder}/counts")
-    counts = spark.read.parquet(f"{folder}/counts")
-    keys = counts.select("key", "dl").distinct()
-    keys.write.mode("overwrite").parquet(f"{folder}/keys")
+    number = F.monotonically_increasing_id()
+    numbered = chunks.select("key", "text").sortWithinPartitions("key").select("key", number.alias("number"), T.tokens(F.col("text")).alias("tokens"))
+    here = [F.shiftrightunsigned("number", SEGMENT.bit_length() - 1).alias("segment"), F.col("number").bitwiseAND(SEGMENT - 1).cast("int").alias("doc")]
+    numbered.select(*here, "key", F.size("tokens").alias("dl"), "tokens").write.mode("overwrite").parquet(f"{folder}/tokens")
+    tokens = spark.read.parquet(f"{folder}/tokens")
+    tokens.select("segment", "doc", "key", "dl").write.mode("overwrite").parquet(f"{folder}/keys")
     facts = spark.read.parquet(f"{folder}/keys").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     facts.write.mode("overwrite").parquet(f"{folder}/facts")
     n, avgdl = spark.read.parquet(f"{folder}/facts").first()
-    df = counts.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    df.write.mode("overwrite").parquet(f"{folder}/df")
-    weights = idf(spark.read.parquet(f"{folder}/df"), n, config).withColumn("n_blocks", F.ceil(F.col("df") / BLOCK_POSTINGS).cast("int"))
     k1, b = config.bm25_k1, config.bm25_b
-    part = F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0))))
-    postings = counts.join(weights, "term").select("term", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int").alias("block"), "key", F.round(part / UNIT).cast("bigint").alias("part"))
-    postings.repartition("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/postings")
-    most = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.max("part").alias("most"))
-    weights.join(most, "term").write.mode("overwrite").parquet(f"{folder}/terms")
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0)))
+    counted = tokens.select("segment", "doc", "dl", F.explode("tokens").alias("term")).groupBy("segment", "term", "doc", "dl").agg(F.count("*").alias("tf"))
+    weighed = counted.select("segment", "term", "doc", weight.alias("weight")).repartition("segment", "term")
+    # The two levels of grouping reuse that exchange.
+    blocks = weighed.groupBy("segment", "term", F.shiftright("doc", BLOCK.bit_length() - 1).alias("block")).agg(
+        F.max("weight").alias("most"), F.sort_array(F.collect_list(F.struct("doc", "weight"))).alias("p")
+    )
+    lists = blocks.groupBy("segment", "term").agg(F.max("most").alias("most"), F.sort_array(F.collect_list(F.struct("block", "most", "p"))).alias("b"))
+    flat = F.flatten(F.col("b.p"))
+    postings = lists.select("segment", "term", "most", flat["doc"].alias("docs"), flat["weight"].alias("weights"), F.col("b.block").alias("blocks"), F.col("b.most").alias("maxima"))
+    postings.sortWithinPartitions("term", "segment").write.mode("overwrite").parquet(f"{folder}/postings")
+    stats = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.max("most").alias("most"))
+    stats.write.mode("overwrite").parquet(f"{folder}/df")
+    stats = spark.read.parquet(f"{folder}/df")
+    weights = idf(stats, n, config).join(stats.select("term", "most"), "term")
+    weights.select("term", "df", "idf", F.round(F.col("idf") * F.col("most") / UNIT).cast("bigint").alias("most")).write.mode("overwrite").parquet(f"{folder}/terms")
+    remove(spark, f"{folder}/tokens")
     return load_index(spark, folder)
 
 
@@ -91,7 +105,7 @@ def load_index(spark: SparkSession, folder: str) -> SparseIndex:
     """The index that build_index wrote; a folder without one, or with one that was not finished, is an error."""
     tables = {name: spark.read.parquet(f"{folder}/{name}") for name in ("terms", "postings", "keys", "facts")}
     facts = tables["facts"].first()
-    return SparseIndex(tables["terms"], tables["postings"], tables["keys"].select("key"), facts["n"], facts["avgdl"])
+    return SparseIndex(tables["terms"], tables["postings"], tables["keys"].select("segment", "doc", "key"), facts["n"], facts["avgdl"])
 
 
 def dense_index(vectors: DataFrame, key: str, vector: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from lexivec.config import DEFAULT
 from lexivec.functions import scores as S
 from lexivec.functions import text as T
-from lexivec.operators import chunk, ground, index, retrieve
+from lexivec.operators import chunk, ground, index, retrieve, vector_store
 from lexivec.plans.registry import query, table
-from lexivec.sources.folders import materialize, shared_dir
+from lexivec.sources.folders import materialize, remove, shared_dir, state_of
 
 WINDOW, OVERLAP = 128, 0.12
 STEP = WINDOW - int(WINDOW * OVERLAP)
@@ -24,15 +25,28 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
 
 
-_INDEXES: dict[tuple[str, str], index.SparseIndex] = {}
+#: Indexes of this application by kind and table: the files that they were built from, their folder, and what reads them.
+_INDEXES: dict[tuple[str, str, str], tuple[tuple, str, object]] = {}
+
+
+def stored(spark: SparkSession, sf: str, kind: str, rows: DataFrame, build: Callable[[DataFrame, str], object]) -> object:
+    """An index of rows that all queries share; it is built anew, and the old one removed, when the files of its table change."""
+    key, state = (spark.sparkContext.applicationId, kind, sf), state_of(rows)
+    known = _INDEXES.get(key)
+    if not known or known[0] != state:
+        if known:
+            remove(spark, known[1])
+        folder = f"{shared_dir(spark)}/lexivec-{kind}-{uuid.uuid4().hex}"
+        _INDEXES[key] = known = (state, folder, build(rows, folder))
+    return known[2]
 
 
 def sparse_index(spark: SparkSession, sf: str) -> index.SparseIndex:
-    """The BM25 index of the documents, built once in each application and then used by all queries."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEXES:
-        _INDEXES[key] = index.build_index(chunks(spark, sf), f"{shared_dir(spark)}/lexivec-index-{uuid.uuid4().hex}")
-    return _INDEXES[key]
+    return stored(spark, sf, "sparse", chunks(spark, sf), index.build_index)
+
+
+def vector_index(spark: SparkSession, sf: str) -> vector_store.VectorIndex:
+    return stored(spark, sf, "vectors", vectors(spark, sf), vector_store.build_vectors)
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,6 +225,12 @@ def q_dense_topn(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(retrieve.dense_top(question_vectors(spark, sf), vectors(spark, sf)))
 
 
+@query(f"WITH {DENSE_SQL} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM dense")
+def q_dense_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The dense lists again, from the stored index of cells."""
+    return ranked(vector_store.dense_stored_top(question_vectors(spark, sf), vector_index(spark, sf)))
+
+
 def pool_rows(pool: DataFrame) -> DataFrame:
     ints = [F.col(c).cast("bigint").alias(c) for c in ("dense_rank", "sparse_rank", "pool_pos")]
     return pool.select(F.col("qid").alias("item_id"), F.col("key").alias("doc_id"), *ints, S.rounded(F.col("fused"), 9).alias("fused"))

@@ -36,6 +36,16 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def state_of(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """(path, bytes, time of change) of each file that df reads: what changes when the data do."""
+    spark, found = df.sparkSession, []
+    for f in sorted(df.inputFiles()):
+        where = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        found.append((f, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A scope whose intermediate tables are deleted at its end; what has to outlive it must be written elsewhere by then."""

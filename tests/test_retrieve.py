@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lexivec.config import Config
-from lexivec.operators import chunk, ground, index, retrieve
+from lexivec.operators import chunk, ground, index, retrieve, vector_store
 
 
 def bm25(question, docs, n):
@@ -54,7 +54,7 @@ def test_bm25_with_padding(tables):
     assert got[1] == [(k, 0.0) for k in range(30)]
 
 
-def test_stored_index_with_idle_terms(spark, tmp_path, monkeypatch):
+def test_stored_index_in_segments(spark, tmp_path, monkeypatch):
     """Lists are the same whatever terms are read in full, and from an index that is loaded again."""
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(60)]
@@ -62,11 +62,11 @@ def test_stored_index_with_idle_terms(spark, tmp_path, monkeypatch):
     docs = [(i, " ".join(rng.choice(words, rng.integers(1, 30), p=weights / weights.sum()))) for i in range(300)]
     asked = [(q, " ".join(rng.choice(words, 9))) for q in range(6)]
     questions = spark.createDataFrame(asked, "qid long, question string")
-    monkeypatch.setattr(index, "BLOCK_POSTINGS", 16)
+    monkeypatch.setattr(index, "SEGMENT", 32)
     index.build_index(spark.createDataFrame(docs, "key long, text string"), str(tmp_path / "index"))
     stored = index.load_index(spark, str(tmp_path / "index"))
-    for share, leading in ((0.1, 20), (0.95, 2)):
-        monkeypatch.setattr(retrieve, "IDLE_SHARE", share)
+    assert stored.postings.agg({"segment": "approx_count_distinct"}).first()[0] > 4
+    for leading in (20, 2, 0):
         monkeypatch.setattr(retrieve, "LEADING_POSTINGS", leading)
         got = lists(retrieve.bm25_top(questions, stored, 5))
         for qid, q in asked:
@@ -78,6 +78,58 @@ def test_stored_index_with_idle_terms(spark, tmp_path, monkeypatch):
         index.load_index(spark, str(tmp_path / "nothing"))
 
 
+def test_blocks_that_cannot_reach_the_list_are_not_scored(spark, tmp_path):
+    """Many texts alike, with a third of them copies of one: lists as by brute force, few pairs scored, ties cut by key."""
+    rng = np.random.default_rng(8)
+    weights = 1 / np.arange(1, 401)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(400)], rng.integers(5, 60), p=weights / weights.sum())) for _ in range(2000)]
+    docs = [(i, texts[i] if i % 3 else texts[0]) for i in range(2000)]
+    asked = [(q, " ".join(rng.choice([f"w{i}" for i in range(400)], 12))) for q in range(20)] + [(20, texts[0]), (21, "w0 w1 w2")]
+    questions, report = spark.createDataFrame(asked, "qid long, question string"), []
+    stored = index.build_index(spark.createDataFrame(docs, "key long, text string").repartition(3), str(tmp_path / "index"))
+    got = lists(retrieve.bm25_top(questions, stored, 7, report=report))
+    for qid, q in asked:
+        want = bm25(q, docs, 7)
+        assert [k for k, _ in got[qid]] == [k for k, _ in want] and np.allclose([s for _, s in got[qid]], [s for _, s in want])
+    scored, written = report[0].selectExpr("sum(scored)", "count(*)").first()
+    assert scored < 0.25 * 22 * 2000 and written < 22 * 3 * 3 * 7
+
+
+def test_stored_vectors(spark, tmp_path, monkeypatch):
+    """Lists of the stored index are those of the scan, with hot copies, keys of text and few or many places."""
+    rng = np.random.default_rng(9)
+    topics = rng.normal(size=(12, 16))
+    rows = [(f"k{i:04}", (topics[i % 12] + 0.05 * rng.normal(size=16)).tolist() if i % 3 else [1.0] * 16) for i in range(1500)] + [("none", None)]
+    vectors = spark.createDataFrame(rows, "key string, vector array<float>").repartition(4)
+    questions = spark.createDataFrame([(q, (topics[q % 12] + 0.05 * rng.normal(size=16)).tolist()) for q in range(30)] + [(99, None)], "qid int, vector array<double>")
+    want = lists(retrieve.dense_top(questions, vectors, 5))
+    monkeypatch.setattr(vector_store, "PLACE", 100)
+    stored, report = vector_store.build_vectors(vectors, str(tmp_path / "vectors")), []
+    assert stored.vectors.count() == 1500 and stored.places.count() > 15
+    got = vector_store.dense_stored_top(questions, vector_store.load_vectors(spark, str(tmp_path / "vectors")), 5, report=report)
+    assert lists(got) == want and len(want) == 30
+    visits = sum(r.count() for r in report)
+    assert visits < 0.5 * 30 * stored.places.count()
+    assert lists(vector_store.dense_stored_top(questions, stored, 2000)) == lists(retrieve.dense_top(questions, vectors, 2000))
+    monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 8)
+    assert lists(retrieve.dense_top(questions, vectors, 5)) == want
+    empty = vector_store.build_vectors(vectors.limit(0), str(tmp_path / "empty"))
+    assert vector_store.dense_stored_top(questions, empty, 5).count() == 0 == vector_store.dense_stored_top(questions.limit(0), stored, 5).count()
+
+
+def test_an_index_is_built_anew_when_its_table_changes(spark, tmp_path):
+    from lexivec.plans import retrieval
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "alpha beta")], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    first = retrieval.sparse_index(spark, sf)
+    assert first is retrieval.sparse_index(spark, sf) and first.n == 1
+    spark.createDataFrame([(1, "alpha"), (2, "beta")], "doc_id long, text string").write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    assert retrieval.sparse_index(spark, sf).n == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        first.terms.sparkSession.read.parquet(first.terms.inputFiles()[0])
+
+
 def test_dense_in_blocks(tables, monkeypatch):
     monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 1)
     plan = retrieve.dense_top(tables["question_vectors"], tables["vectors"], 3)
