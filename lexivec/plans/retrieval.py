@@ -13,7 +13,8 @@ from lexivec.functions import scores as S
 from lexivec.functions import text as T
 from lexivec.operators import chunk, ground, index, retrieve, vector_store
 from lexivec.plans.registry import query, table
-from lexivec.sources.folders import materialize, remove, shared_dir, state_of
+from lexivec.sources.chunk_store import ChunkStore
+from lexivec.sources.folders import materialize, new_folder, remove, shared_dir, state_of
 
 WINDOW, OVERLAP = 128, 0.12
 STEP = WINDOW - int(WINDOW * OVERLAP)
@@ -171,6 +172,23 @@ def q_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.recursive_chunks(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
 
 
+def _window_chunks(docs: DataFrame) -> DataFrame:
+    """A chunker of token windows: chunks whose text is their tokens."""
+    return chunk.token_windows(docs, WINDOW, OVERLAP).select("chunk_id", "doc_id", F.array_join("tokens", " ").alias("text"), "token_count", "ordinal")
+
+
+@query(f"""WITH documents AS (SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN text || ' revised edition' ELSE text END AS text FROM main.documents WHERE doc_id % 100 <> 8), {_WINDOWS}
+SELECT chunk_id, doc_id::VARCHAR AS doc_id, ordinal, token_count, sha256(array_to_string(t, ' ')) AS text_sha256 FROM chunks""")
+def q_ingest_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk store after an ingest of all documents and a second one, for which one in a hundred has changed and one is gone."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    store = ChunkStore(spark, new_folder(spark, "store"), buckets=256, chunker=_window_chunks)
+    store.ingest(docs)
+    revised = F.when(F.col("doc_id") % 100 == 7, F.concat("text", F.lit(" revised edition"))).otherwise(F.col("text"))
+    store.ingest(docs.where("doc_id % 100 != 8").withColumn("text", revised))
+    return store.chunks().select("chunk_id", "doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("token_count").cast("bigint").alias("token_count"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query(f"WITH {_WINDOWS} SELECT count(*) AS n_chunks, round(coalesce(avg(token_count), 0.0), 6) AS mean_tokens, coalesce(min(token_count), 0) AS min_tokens, coalesce(max(token_count), 0) AS max_tokens FROM chunks")
 def q_chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.chunk_stats(windows(spark, sf)).withColumn("mean_tokens", S.rounded(F.col("mean_tokens")))

@@ -37,8 +37,9 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def run_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """What an aggregated stream yields from all input there is, with the groups that are still open: the last row of each key."""
+def run_latest(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """What an aggregated stream yields from all input there is, with the groups that are still open: the last row of each key.
+    In mode "complete", for groups that can merge, only the last batch counts."""
     spark, folder = stream.sparkSession, new_folder(stream.sparkSession, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
@@ -46,9 +47,12 @@ def run_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
 
     # An empty batch, as a stream without input has none.
     write(spark.createDataFrame([], stream.schema), -1)
-    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.schema(stream.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    if mode == "complete":
+        last = max(-1, *(p["batchId"] for p in query.recentProgress)) if query.recentProgress else -1
+        rows = rows.where(F.col("batch") == last)
     return last_written(rows, keys, "batch").select(*stream.columns)
 
 
@@ -98,6 +102,19 @@ def latency_windows(samples: DataFrame, width: str = "1 minute", delay: str = "1
     return grouped.agg(F.count("*").alias("n"), F.percentile_approx("value", 0.95, 1000).alias("p95")).select(F.col("w.start").alias("start"), "stage", "n", "p95")
 
 
+def session_windows(samples: DataFrame, gap: str, delay: str = "10 minutes") -> DataFrame:
+    """(client, start, stop, n_events, total) of a stream (ts, client, value): runs of a client's events of which none is more
+    than `gap` after the one before; stop is the last event plus the gap. In append mode a session comes once the watermark has passed
+    its stop, and its state goes. Events that the watermark has passed are dropped; count_late tells how many."""
+    grouped = samples.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "client")
+    return grouped.agg(F.count("*").alias("n_events"), F.sum("value").alias("total")).select("client", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n_events", "total")
+
+
+def count_late(query) -> int:
+    """Rows that came too late for a query's state, over the progress that it still remembers."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def log_entries(answers: DataFrame) -> DataFrame:
     """(user, request_id, chunk_ids, retrieve_ms, rerank_ms, generate_ms, n_citations, outcome) of answered requests
     (user, request_id, retrieved: array<struct<chunk_id, ...>>, latency_ms, citations, text)."""
