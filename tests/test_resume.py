@@ -81,7 +81,8 @@ def test_sessions_and_late_rows(spark, tmp_path):
     ddl = "client long, ts timestamp, value double"
     rows = [(1, at(0), 1.0), (1, at(9), 2.0), (1, at(19.1), 4.0), (2, at(3), 8.0)]
     late = [(1, at(1), 100.0), (3, at(400), 1.0)]
-    stream = source(spark, tmp_path, [rows, [(9, at(300), 0.0)], late], ddl)
+    # Rows are late by the watermark of the batch before theirs.
+    stream = source(spark, tmp_path, [rows, [(9, at(300), 0.0)], [(9, at(301), 0.0)], late], ddl)
     sessions = E.session_windows(stream, "10 minutes")
     query = sessions.writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
