@@ -1,4 +1,4 @@
-"""Grounding: which texts hold a passage, what an answer cites, what goes into a prompt."""
+"""Grounding: what an answer cites, what goes into a prompt."""
 
 from __future__ import annotations
 
@@ -9,28 +9,6 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import text as T
 
-#: Tokens in the run by which a passage finds the texts that may hold it.
-RUN = 4
-
-
-def _runs(t: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(t) - RUN), lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(RUN)]))
-
-
-def containing(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(qid, key) of the chunks (key, text) whose text holds the whole text of the question (qid, question).
-
-    The inner tokens of a passage are tokens of any text that holds it: chunks are matched by a run of these from the
-    passage's middle, and the texts are compared. Passages too short for a run are matched by scanning."""
-    asked = questions.withColumn("t", T.tokens(F.col("question")))
-    long = asked.where(F.size("t") >= RUN + 2).withColumn("run", F.concat_ws(" ", F.slice("t", F.floor((F.size("t") - RUN) / 2).cast("int") + 1, F.lit(RUN))))
-    short = asked.where((F.size("t") < RUN + 2) | F.col("t").isNull()).select("qid", "question")
-    runs = chunks.withColumn("t", T.tokens(F.col("text"))).where(F.size("t") >= RUN).select("key", F.explode(F.array_distinct(_runs(F.col("t")))).alias("run"))
-    maybe = runs.join(long.select("qid", "question", "run"), "run").select("qid", "question", "key").join(chunks, "key")
-    scanned = chunks.join(short, F.contains("text", "question"))
-    return maybe.where(F.contains("text", "question")).select("qid", "key").unionByName(scanned.select("qid", "key"))
-
-
 def cited(answers: DataFrame) -> DataFrame:
     """answers (text, retrieved ids) with citations: valid ids and their documents, none where the answer abstains."""
     ids = F.when(T.abstains(F.col("text")), F.array().cast("array<string>")).otherwise(T.citations(F.col("text"), F.col("retrieved")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexivec.config import DEFAULT
 from lexivec.functions import scores as S
 from lexivec.functions import text as T
-from lexivec.operators import chunk, ground, index, retrieve, vector_store
+from lexivec.operators import chunk, contain, index, retrieve, vector_store
 from lexivec.plans.registry import query, table
 from lexivec.sources.chunk_store import ChunkStore
 from lexivec.sources.folders import materialize, new_folder, remove, shared_dir, state_of
@@ -64,7 +64,7 @@ def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     """(qid, key): the documents that hold a question's whole text."""
-    return ground.containing(questions(spark, sf), chunks(spark, sf))
+    return contain.containing(questions(spark, sf), chunks(spark, sf))
 
 
 TOKENED = f"tok AS (SELECT doc_id, {TOK.format('text')} AS t FROM documents)"

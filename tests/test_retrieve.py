@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lexivec.config import Config
-from lexivec.operators import chunk, ground, index, retrieve, vector_store
+from lexivec.operators import chunk, contain, ground, index, retrieve, vector_store
 
 
 def bm25(question, docs, n):
@@ -188,7 +188,25 @@ def test_containing(spark):
     text = "one two three four five six seven eight nine ten"
     questions = spark.createDataFrame([(0, text), (1, "short"), (2, text + " eleven"), (3, "xx two three four five six yy")], "qid long, question string")
     chunks = spark.createDataFrame([(0, "zero " + text + "!"), (1, "a shorter one"), (2, text.replace("five", "5"))], "key long, text string")
-    assert sorted(tuple(r) for r in ground.containing(questions, chunks).collect()) == [(0, 0), (1, 1)]
+    assert sorted(tuple(r) for r in contain.containing(questions, chunks).collect()) == [(0, 0), (1, 1)]
+
+
+def test_passages_of_any_length_in_texts_of_any_kind(spark):
+    rng = np.random.default_rng(12)
+    parts = ["a", "ab", "the ", "cat", " ", "\n", "é", "汉", "\U0001f600", "x.", "The"]
+    texts = [(i, "".join(rng.choice(parts, rng.integers(0, 40)))) for i in range(150)] + [(200, ""), (201, None), (202, "the " * 5000 + "end"), (203, "a" * 30)]
+    asked = []
+    for q in range(120):
+        t = texts[q][1]
+        at = int(rng.integers(0, max(1, len(t))))
+        asked.append((q, t[at : at + int(rng.integers(1, 25))] or "zz"))
+    asked += [(300, ""), (301, None), (302, "the the"), (303, "the " * 4999 + "the end"), (304, "not there at all"), (305, "汉"), (306, "a" * 30), (307, "a" * 31), (308, "one two three four five")]
+    questions, chunks = spark.createDataFrame(asked, "qid long, question string"), spark.createDataFrame(texts, "key long, text string").repartition(3)
+    want = sorted((q, k) for q, p in asked for k, t in texts if p is not None and t is not None and p in t)
+    found = contain.containing(questions, chunks)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert contain.containing(questions.limit(0), chunks).count() == 0 == contain.containing(questions, chunks.limit(0)).count()
 
 
 def test_alignment(spark):
