@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from lexivec.config import DEFAULT, Config
@@ -292,5 +293,6 @@ def answer_relevance(items: DataFrame, by: list[str], question: str, asked: str)
 
 
 def mean_contexts(items: DataFrame, contexts: str) -> DataFrame:
-    """One row: the number of items and the mean number of their relevant contexts, 0 without items."""
-    return items.agg(F.count("*").alias("n_items"), F.coalesce(F.avg(F.size(contexts)), F.lit(0.0)).alias("mean_contexts"))
+    """One row: the number of items and the mean number of their relevant contexts, an array or their number, 0 without items."""
+    n = F.size(contexts) if isinstance(items.schema[contexts].dataType, ArrayType) else F.col(contexts)
+    return items.agg(F.count("*").alias("n_items"), F.coalesce(F.avg(n), F.lit(0.0)).alias("mean_contexts"))

@@ -427,9 +427,9 @@ def q_valid_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {R.GOLD_SQL}, n AS (SELECT item_id, count(doc_id) AS n FROM benchmark LEFT JOIN gold USING (item_id) GROUP BY 1) SELECT count(*) AS n_items, round(avg(n), 6) AS mean_contexts FROM n")
 def q_mean_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    held = R.gold(spark, sf).groupBy("qid").agg(F.collect_list("key").alias("ctx"))
-    items = R.questions(spark, sf).join(held, "qid", "left").select(F.coalesce("ctx", F.array().cast("array<bigint>")).alias("ctx"))
-    return evaluate.mean_contexts(items, "ctx").select("n_items", r6(F.col("mean_contexts")).alias("mean_contexts"))
+    counts = R.gold(spark, sf).groupBy("qid").agg(F.count("*").alias("n"))
+    items = R.questions(spark, sf).join(counts, "qid", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return evaluate.mean_contexts(items, "n").select("n_items", r6(F.col("mean_contexts")).alias("mean_contexts"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS at, left(props, 20) AS head FROM events")

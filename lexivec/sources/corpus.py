@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lexivec import schemas
 from lexivec.functions import text as T
+from lexivec.sources.folders import materialize
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -17,9 +18,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_positions(sources: DataFrame) -> DataFrame:
-    """(source, source_pos) of a list of sources, by name; a manifest lists sources, not documents."""
-    listed = sources.agg(F.sort_array(F.collect_set("source")).alias("s"))
-    return listed.select(F.posexplode("s").alias("pos", "source")).select("source", F.col("pos").cast("bigint").alias("source_pos"))
+    """(source, source_pos) of a list of sources, by name; a manifest lists sources, not documents.
+
+    Names are sorted in ranges, and a range is numbered from the count of those before it, so that no row or task has all."""
+    sorted_ = materialize(sources.where("source is not null").select("source").distinct().sort("source").select("source", F.monotonically_increasing_id().alias("_id")))
+    part, here = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return sorted_.join(before, part == F.col("_part")).select("source", (F.col("_before") + here).alias("source_pos"))
 
 
 def read_source_docs(spark: SparkSession, manifest: DataFrame, folder: str, limit: int | None = None) -> DataFrame:
