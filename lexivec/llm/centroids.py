@@ -40,7 +40,7 @@ def kept(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", widt
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = floors(np.stack(pdf["v"].to_list()), scale) if len(pdf) else np.zeros((0, width), np.int64)
-            yield pd.DataFrame({"id": pdf["id"], "v": [r.tobytes() for r in tight(x)]})
+            yield pd.DataFrame({"id": pdf["id"], "v": pd.Series([r.tobytes() for r in tight(x)], dtype=object)})
 
     good = vectors.where((F.size(vector) == width) & finite(F.col(vector)))
     out = good.select(F.col(id).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, "id string, v binary")
@@ -67,7 +67,7 @@ def _totals(points: DataFrame, centroids: np.ndarray) -> dict[int, tuple[int, li
                 sums[j] += x[mine].sum(axis=0).astype(object)
         j, i = np.divmod(np.arange(k * width), width)
         full = n[j] > 0
-        yield pd.DataFrame({"cluster": j[full], "component": i[full], "n": n[j[full]], "total": [str(s) for s in sums.ravel()[full]]})
+        yield pd.DataFrame({"cluster": j[full], "component": i[full], "n": n[j[full]], "total": pd.Series([str(s) for s in sums.ravel()[full]], dtype=object)})
 
     parts = points.select("v").mapInPandas(run, "cluster int, component int, n bigint, total string")
     merged = parts.groupBy("cluster", "component").agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total"))
