@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexivec.config import DEFAULT
 from lexivec.functions import scores as S
 from lexivec.functions import text as T
-from lexivec.operators import calibrate, evaluate, ground, guard, latency, retrieve, truth
+from lexivec.operators import calibrate, evaluate, ground, guard, latency, retrieve, spans, truth
 from lexivec.plans import retrieval as R
 from lexivec.plans.registry import query, table
 from lexivec.sources import corpus
@@ -447,6 +447,34 @@ def q_pii_precision(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("tp", "fp", "fn", r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"))
 
 
+def _spans_sql(name: str, pattern: str) -> str:
+    """Spans of a pattern: the lengths of the parts between its matches, and of these, added up."""
+    return f"""
+{name}_p AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '{pattern}'), lambda p: length(p)) AS b, list_transform(regexp_extract_all(text, '{pattern}'), lambda m: length(m)) AS m FROM documents),
+{name} AS (SELECT DISTINCT doc_id, list_sum(b[1:i])::BIGINT + coalesce(list_sum(m[1:i - 1]), 0)::BIGINT AS s, list_sum(b[1:i])::BIGINT + list_sum(m[1:i])::BIGINT AS e FROM (SELECT doc_id, b, m, unnest(range(1, len(m) + 1)) AS i FROM {name}_p))"""
+
+
+#: A label is a word around an at sign, as a reader would mark it: found by white space, not by what an address may hold.
+_AT_WORD = r"[^\s@,;:()<>]+@[^\s@,;:()<>]+"
+
+
+@query(f"""WITH {_spans_sql('f', guard.EMAIL)}, {_spans_sql('l', _AT_WORD)},
+p AS (SELECT f.doc_id, f.s, f.e, l.s AS ls, l.e AS le, least(f.e, l.e) - greatest(f.s, l.s) AS shared FROM f JOIN l ON f.doc_id = l.doc_id AND f.s < l.e AND l.s < f.e),
+g AS (SELECT *, shared / ((e - s) + (le - ls) - shared) AS part FROM p),
+c AS (SELECT (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM l) AS n_labelled,
+  (SELECT count(*) FROM (SELECT 1 FROM g GROUP BY doc_id, s, e HAVING max(part) >= 0.9)) AS hits, (SELECT count(*) FROM (SELECT 1 FROM g GROUP BY doc_id, ls, le HAVING max(part) >= 0.9)) AS met)
+SELECT *, round(hits / nullif(n_found, 0), 6) AS precision, round(met / nullif(n_labelled, 0), 6) AS recall FROM c""")
+def q_pii_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """How the spans of the email rule meet the words with an at sign."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+
+    def found(pattern: str) -> DataFrame:
+        return docs.select("doc_id", F.explode(spans.matches(F.col("text"), pattern)).alias("s")).select("doc_id", "s.start", "s.end")
+
+    scores = spans.span_scores(found(guard.EMAIL), found(_AT_WORD), "doc_id", 0.9)
+    return scores.withColumns({c: r6(F.col(c)) for c in ("precision", "recall")})
+
+
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= 1 AS allowed FROM events")
 def q_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return latency.rate_limited(table(spark, sf, "events"), "user_id", "ts", "event_id", 1).select("event_id", "allowed")

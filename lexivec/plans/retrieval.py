@@ -238,6 +238,14 @@ def q_bm25_topn(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(retrieve.bm25_top(questions(spark, sf), sparse_index(spark, sf)))
 
 
+@query(f"""WITH {_WINDOWS}, {BM25_SQL.replace(TOKENED, 'tok AS (SELECT chunk_id AS doc_id, t FROM chunks)').replace('FROM benchmark, documents)', 'FROM benchmark, tok)')}
+SELECT item_id, doc_id AS chunk_id, rank, round(score, 6) AS score FROM sparse""")
+def q_bm25_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 lists of token windows in place of whole documents."""
+    cut = _window_chunks(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("chunk_id").alias("key"), "text")
+    return ranked(retrieve.bm25_top(questions(spark, sf), stored(spark, sf, "windows", cut, index.build_index))).withColumnRenamed("doc_id", "chunk_id")
+
+
 @query(f"WITH {DENSE_SQL} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM dense")
 def q_dense_topn(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(retrieve.dense_top(question_vectors(spark, sf), vectors(spark, sf)))
