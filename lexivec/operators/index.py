@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,11 +68,48 @@ class SparseIndex:
     avgdl: float
 
 
+#: Chunks whose postings a task gathers before it passes them on: a whole number of blocks.
+PART = 1 << 12
+_PART = "segment bigint, term string, first int, docs array<int>, weights array<double>, blocks array<int>, maxima array<double>"
+
+
+def _parts(batches: Iterator[pd.DataFrame], avgdl: float, config: Config) -> Iterator[pd.DataFrame]:
+    """Rows of _PART: the postings of each term in PART chunks (segment, doc, tokens), so that a term's chunks are one row before
+    any shuffle."""
+    k1, b = config.bm25_k1, config.bm25_b
+    columns = [c.split()[0] for c in _PART.split(", ")]
+    at, found = None, {}
+
+    def flush() -> pd.DataFrame:
+        out = []
+        for term, (docs, tfs, lengths) in found.items():
+            d, tf, dl = np.array(docs, np.int32), np.array(tfs, float), np.array(lengths, float)
+            weights = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+            of = d >> (BLOCK.bit_length() - 1)
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            out.append((at[0], term, docs[0], d, weights, of[starts], np.maximum.reduceat(weights, starts)))
+        return pd.DataFrame(out, columns=columns)
+
+    for pdf in batches:
+        for segment, doc, tokens in zip(pdf["segment"].tolist(), pdf["doc"].tolist(), pdf["tokens"], strict=True):
+            if (segment, doc // PART) != at:
+                if found:
+                    yield flush()
+                at, found = (segment, doc // PART), {}
+            for term, tf in Counter(() if tokens is None else tokens).items():
+                docs, tfs, lengths = found.setdefault(term, ([], [], []))
+                docs.append(doc)
+                tfs.append(tf)
+                lengths.append(len(tokens))
+    if found:
+        yield flush()
+
+
 def build_index(chunks: DataFrame, folder: str, config: Config = DEFAULT) -> SparseIndex:
     """Writes the index of chunks (key, text), whose keys are unique, into a folder, in place of what is there, and loads it.
 
     Texts are tokenised once, where they lie, and sorted by key there, so that texts are never shuffled; a segment is a run of
-    at most SEGMENT chunks of one partition. So no row and no task has all postings of a frequent term. Rows are sorted by term in
+    at most SEGMENT chunks of one partition. Postings are gathered there too, by term, and shuffled once. So no row and no task has all postings of a frequent term. Rows are sorted by term in
     their files, which lets readers skip row groups."""
     spark = chunks.sparkSession
     number = F.monotonically_increasing_id()
@@ -80,17 +121,9 @@ def build_index(chunks: DataFrame, folder: str, config: Config = DEFAULT) -> Spa
     facts = spark.read.parquet(f"{folder}/keys").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     facts.write.mode("overwrite").parquet(f"{folder}/facts")
     n, avgdl = spark.read.parquet(f"{folder}/facts").first()
-    k1, b = config.bm25_k1, config.bm25_b
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0)))
-    counted = tokens.select("segment", "doc", "dl", F.explode("tokens").alias("term")).groupBy("segment", "term", "doc", "dl").agg(F.count("*").alias("tf"))
-    weighed = counted.select("segment", "term", "doc", weight.alias("weight")).repartition("segment", "term")
-    # The two levels of grouping reuse that exchange.
-    blocks = weighed.groupBy("segment", "term", F.shiftright("doc", BLOCK.bit_length() - 1).alias("block")).agg(
-        F.max("weight").alias("most"), F.sort_array(F.collect_list(F.struct("doc", "weight"))).alias("p")
-    )
-    lists = blocks.groupBy("segment", "term").agg(F.max("most").alias("most"), F.sort_array(F.collect_list(F.struct("block", "most", "p"))).alias("b"))
-    flat = F.flatten(F.col("b.p"))
-    postings = lists.select("segment", "term", "most", flat["doc"].alias("docs"), flat["weight"].alias("weights"), F.col("b.block").alias("blocks"), F.col("b.most").alias("maxima"))
+    parts = tokens.select("segment", "doc", "tokens").mapInPandas(lambda batches: _parts(batches, avgdl or 1.0, config), _PART)
+    lists = parts.groupBy("segment", "term").agg(F.sort_array(F.collect_list(F.struct("first", "docs", "weights", "blocks", "maxima"))).alias("p"))
+    postings = lists.select("segment", "term", F.array_max(F.flatten("p.maxima")).alias("most"), *[F.flatten(F.col("p")[c]).alias(c) for c in ("docs", "weights", "blocks", "maxima")])
     postings.sortWithinPartitions("term", "segment").write.mode("overwrite").parquet(f"{folder}/postings")
     stats = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.max("most").alias("most"))
     stats.write.mode("overwrite").parquet(f"{folder}/df")

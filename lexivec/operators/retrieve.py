@@ -72,7 +72,12 @@ class SegmentScorer:
 
     def hold(self, rows: pd.DataFrame) -> None:
         for term, docs, weights, blocks, maxima in rows.itertuples(index=False, name=None):
-            self.lists[term] = (np.asarray(docs, np.int64), np.asarray(weights), np.asarray(blocks, np.int64), np.asarray(maxima))
+            # A block that lay at the edge of two parts is there twice.
+            blocks, maxima = np.asarray(blocks, np.int64), np.asarray(maxima)
+            fresh = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
+            if len(fresh) < len(blocks):
+                blocks, maxima = blocks[fresh], np.maximum.reduceat(maxima, fresh)
+            self.lists[term] = (np.asarray(docs, np.int64), np.asarray(weights), blocks, maxima)
 
     def ask(self, rows: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in ("qid", "doc", "units", "blocks_read", "scored")}

@@ -95,6 +95,17 @@ def test_blocks_that_cannot_reach_the_list_are_not_scored(spark, tmp_path):
     assert scored < 0.25 * 22 * 2000 and written < 22 * 3 * 3 * 7
 
 
+def test_blocks_at_the_edge_of_two_parts_are_merged():
+    import pandas as pd
+
+    rows = pd.DataFrame({"term": ["w"], "docs": [[0, 3, 5, 17]], "weights": [[1.0, 3.0, 2.0, 1.5]], "blocks": [[0, 0, 1]], "maxima": [[1.0, 3.0, 1.5]]})
+    scorer = retrieve.SegmentScorer(2)
+    scorer.hold(rows)
+    assert [x.tolist() for x in scorer.lists["w"][2:]] == [[0, 1], [3.0, 1.5]]
+    docs, units, read, scored = scorer.best(["w", "x"], [2, 1], [1.0, 1.0], None)
+    assert docs.tolist() == [3, 5] and (units * index.UNIT).round(9).tolist() == [6.0, 4.0] and (read, scored) == (2, 4)
+
+
 def test_stored_vectors(spark, tmp_path, monkeypatch):
     """Lists of the stored index are those of the scan, with hot copies, keys of text and few or many places."""
     rng = np.random.default_rng(9)
