@@ -122,3 +122,20 @@ def test_groups_are_merged(spark, monkeypatch):
         used[r["sequence_id"]] = r["offset"] + r["length"]
     assert len(used) <= 1.1 * sum(used.values()) / 100 + 1
     assert os.path.exists(PATH)
+
+
+def test_the_word_cache_is_bounded_by_bytes(monkeypatch):
+    import random
+
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1 << 20)
+    rng = random.Random(1)
+    path = tokenizer()
+    encoder, counter = packing.WordEncoder(path), packing.WordCounter(path)
+    for _ in range(30):
+        plain = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000))  # no spaces: one word
+        many = " ".join(f"{rng.getrandbits(60):x}" for _ in range(1000))
+        for text in (plain, many, f"{many}\n{plain}"):
+            whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole and counter.count(text) == len(whole)
+        for cache in (encoder, counter):
+            assert cache.held < 2 << 20 and len(cache) * packing.ENTRY_BYTES < 2 << 20 and all(len(w) <= packing.CACHED_WORD for w in cache)
