@@ -50,7 +50,7 @@ def test_stages_take_empty_tables(spark, sf):
 
 def test_one_query_for_each_operator():
     names = [q.split("_")[0] for q in queries.QUERIES]
-    assert sorted(names) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(names) == sorted(f"op{n}" for n in range(1, 14))
     assert near_dup.THRESHOLD == 0.8 and F
 
 
