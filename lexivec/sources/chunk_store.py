@@ -16,6 +16,15 @@ from lexivec.sources.folders import materialize, remove, scratch
 BUCKETS = 64
 
 
+#: Ids that are few enough to be sent to all tasks.
+FEW = 100_000
+
+
+def _small(ids: DataFrame, n: int) -> DataFrame:
+    """ids, to be broadcast if there are few."""
+    return F.broadcast(ids) if n <= FEW else ids
+
+
 class ChunkStore:
     """Two Parquet tables in a folder, both partitioned by a hash of doc_id: `chunks` (schemas.CHUNK) and `documents`
     (doc_id, digest, n_chunks). One writer at a time.
@@ -67,16 +76,22 @@ class ChunkStore:
             if dry_run or not counts["partitions"]:
                 return counts
             fresh = found.where("status in ('new', 'changed')").select("doc_id", "digest", "bucket")
-            texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(fresh.select("doc_id"), "doc_id", "left_semi")
-            made = self.chunker(texts).withColumn("bucket", self._bucket())
+            n_fresh, n_old = counts["new"] + counts["changed"], counts["changed"] + counts["gone"]
+            texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+            if counts["same"]:  # else all texts are chunked, and none has to be looked up
+                texts = texts.join(_small(fresh.select("doc_id"), n_fresh), "doc_id", "left_semi")
             columns = [c.name for c in self.spark.createDataFrame([], schemas.CHUNK).schema] + ["bucket"]
-            same = found.where("status = 'same'").join(F.broadcast(touched), "bucket", "left_semi").select("doc_id")
-            kept = self._read("chunks", schemas.CHUNK).join(F.broadcast(touched), "bucket", "left_semi").join(same, "doc_id", "left_semi")
-            # Written apart first, as a table can't be read while it is overwritten.
-            rows = materialize(made.select(*columns).unionByName(kept.select(*columns)))
-            sizes = rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
-            alive = fresh.unionByName(found.where("status = 'same'").join(F.broadcast(touched), "bucket", "left_semi").select("doc_id", "digest", "bucket"))
-            digests = materialize(alive.join(sizes, "doc_id", "left").select("doc_id", "digest", F.coalesce("n", F.lit(0)).alias("n_chunks"), "bucket"))
+            made = materialize(self.chunker(texts).withColumn("bucket", self._bucket()).select(*columns))
+            old = _small(found.where("status in ('changed', 'gone')").select("doc_id"), n_old)
+
+            def kept(name: str, schema: str) -> DataFrame:
+                """What stays in the partitions that are written; apart, as a table can't be read while it is overwritten."""
+                return materialize(self._read(name, schema).join(F.broadcast(touched), "bucket", "left_semi").join(old, "doc_id", "left_anti"))
+
+            rows = made.unionByName(kept("chunks", schemas.CHUNK).select(*columns))
+            sizes = made.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+            noted = fresh.join(sizes, "doc_id", "left").select("doc_id", "digest", F.coalesce("n", F.lit(0)).alias("n_chunks"), "bucket")
+            digests = noted.unionByName(kept("documents", "doc_id string, digest string, n_chunks int").select("doc_id", "digest", "n_chunks", "bucket"))
             for name, table in (("chunks", rows), ("documents", digests)):
                 # A partition that is left without rows is not overwritten but removed.
                 empty = [r["bucket"] for r in touched.join(table.select("bucket").distinct(), "bucket", "left_anti").collect()]

@@ -57,6 +57,14 @@ def test_partitions_without_documents_go_and_limits_keep_others(spark, tmp_path)
     assert done == {"new": 2, "changed": 0, "same": 0, "gone": 0, "partitions": 2} and sorted(r["doc_id"] for r in store.documents().collect()) == ["a", "b", "c"]
 
 
+def test_a_limit_keeps_other_documents_of_the_same_partition(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), buckets=1, chunker=small)
+    store.ingest(frame(spark, {"a": "one two", "b": "three four", "c": "five six"}))
+    assert store.ingest(frame(spark, {"a": "seven", "d": "eight"}), limit=1)["changed"] == 1
+    assert sorted((r["doc_id"], r["text"]) for r in store.chunks().collect()) == [("a", "seven"), ("b", "three four"), ("c", "five six")]
+    assert sorted((r["doc_id"], r["n_chunks"]) for r in store.documents().collect()) == [("a", 1), ("b", 1), ("c", 1)]
+
+
 def test_an_ingest_that_stops_before_its_digests_is_done_again(spark, tmp_path, monkeypatch):
     texts = {f"d{i}": f"words of text {i} and more" for i in range(30)}
     later = texts | {"d3": "other words", "d4": None}
