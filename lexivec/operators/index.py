@@ -69,7 +69,9 @@ class SparseIndex:
 
 
 #: Chunks whose postings a task gathers before it passes them on: a whole number of blocks.
-PART = 1 << 12
+PART = 1 << 10
+#: Rows that a task makes of these at once.
+FRAME = 20_000
 _PART = "segment bigint, term string, first int, docs array<int>, weights array<double>, blocks array<int>, maxima array<double>"
 
 
@@ -80,7 +82,7 @@ def _parts(batches: Iterator[pd.DataFrame], avgdl: float, config: Config) -> Ite
     columns = [c.split()[0] for c in _PART.split(", ")]
     at, found = None, {}
 
-    def flush() -> pd.DataFrame:
+    def flush() -> Iterator[pd.DataFrame]:
         out = []
         for term, (docs, tfs, lengths) in found.items():
             d, tf, dl = np.array(docs, np.int32), np.array(tfs, float), np.array(lengths, float)
@@ -88,13 +90,17 @@ def _parts(batches: Iterator[pd.DataFrame], avgdl: float, config: Config) -> Ite
             of = d >> (BLOCK.bit_length() - 1)
             starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             out.append((at[0], term, docs[0], d, weights, of[starts], np.maximum.reduceat(weights, starts)))
-        return pd.DataFrame(out, columns=columns)
+            if len(out) == FRAME:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     for pdf in batches:
         for segment, doc, tokens in zip(pdf["segment"].tolist(), pdf["doc"].tolist(), pdf["tokens"], strict=True):
             if (segment, doc // PART) != at:
                 if found:
-                    yield flush()
+                    yield from flush()
                 at, found = (segment, doc // PART), {}
             for term, tf in Counter(() if tokens is None else tokens).items():
                 docs, tfs, lengths = found.setdefault(term, ([], [], []))
@@ -102,7 +108,7 @@ def _parts(batches: Iterator[pd.DataFrame], avgdl: float, config: Config) -> Ite
                 tfs.append(tf)
                 lengths.append(len(tokens))
     if found:
-        yield flush()
+        yield from flush()
 
 
 def build_index(chunks: DataFrame, folder: str, config: Config = DEFAULT) -> SparseIndex:
