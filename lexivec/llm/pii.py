@@ -34,27 +34,41 @@ IBAN_LENGTHS = dict(
     "IE:22 IL:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SE:24 SI:19 SK:24 SM:27 "
     "TN:24 TR:26 UA:29 VA:22 VG:24 XK:20".split()
 )
-# Gazetteers: first names and titles, kinds of streets, prefixes of issued keys, and values that stand in examples.
+# Gazetteers, which only vote: first names and titles, kinds of streets, months, prefixes of issued keys, values that
+# stand in examples, and capitalised words that are no one's name or no street before a number.
 FIRST_NAMES = (
     "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Nancy Matthew Lisa Anthony Margaret Mark Sandra "
     "Emily Laura Kevin Brian Anna Peter Hans Klaus Jürgen Wolfgang Ursula Monika Petra Sabine Andreas Stefan Jean Pierre Marie Michel Nathalie Isabelle Philippe François Catherine José Antonio Manuel "
     "Francisco María Carmen Ana Lucía Javier Carlos Isabel"
 ).split()
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
-STREETS = "Street St Avenue Ave Road Rd Lane Boulevard Blvd Drive Court Square".split()
+STREETS = "Street St Avenue Ave Road Rd Lane Boulevard Blvd Drive Court Square Terrace Place Close Crescent".split()
+# Months in English, German, French and Spanish.
+MONTHS = (
+    "january february march april may june july august september october november december januar februar märz mai juni juli oktober dezember "
+    "janvier février mars avril juin juillet août septembre octobre novembre décembre enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre "
+    "jan feb mar apr jun jul aug sep sept oct nov dec"
+).split()
+NO_NAMES = "The This That And Of For In On At To With Der Die Das Und Mit Le La Les Des Et El Los Las Un Una License Public General Free Software University Institute Company Inc Ltd GmbH Street Road Avenue City North South East West New Open Chapter".split()
+NO_STREETS = "Section Chapter Version Figure Table Page Part Article Step Level Room Window Type Model Phase Group Day Week".split()
+#: Words in lower case that stand inside names.
+PARTICLES = "van von der den de del della di da la le el al bin ibn dos".split()
 KEY_PREFIXES = "AKIA ASIA AIza ghp_ gho_ github_pat_ glpat- sk_live_ sk- xoxb- xoxp- eyJ".split()
 EXAMPLES = {"ssn": "078-05-1120 219-09-9999 123-45-6789", "secret": "example sample dummy changeme placeholder 0123456789 abcdef0123 deadbeef xxxxxxxx yourkey your_", "iban": "GB82WEST12345698765432"}
 
 _WORD = r"\p{Lu}[\p{Ll}]++"
-#: Looser shapes that labelers vote on.
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}[\p{Ll}]++(?:\p{Lu}[\p{Ll}]++)?"
+_NEXT = rf"(?: \p{{Lu}}\.)?(?:-| (?:(?:{'|'.join(PARTICLES)}) ){{0,2}}){_NAME}"
+#: Looser shapes that labelers vote on: figures, numbers beside capitalised words, and runs of two to four capitalised words. No
+#: list of names, streets or months makes a candidate.
 SHAPES = {
     "secret": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}([ -])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z-])",
     "national_phone": r"(?<![0-9A-Za-z+)-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "iban": rf"(?=[A-Z]{{2}}[0-9]{{2}})(?<![A-Za-z0-9])(?:{'|'.join(IBAN_LENGTHS)})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}}|[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9A-Za-z/-])",
-    "address": rf"(?=[0-9])(?<![0-9A-Za-z.,-])[0-9]{{1,5}}[A-Za-z]? (?:{_WORD} ){{1,3}}(?:{'|'.join(STREETS)})(?![\p{{L}}0-9])|(?=\p{{Lu}})(?<![\p{{L}}])\p{{Lu}}[\p{{Ll}}]*(?:straße|strasse|gasse|weg|platz) [0-9]{{1,4}}[a-z]?(?![\p{{L}}0-9])|(?=[RrAaCcPp])(?<![\p{{L}}0-9])(?:[Rr]ue|[Aa]venue|[Cc]alle|[Pp]laza) (?:de |du |de la |des |del )?{_WORD}(?: {_WORD})?(?:,? [0-9]{{1,4}})?(?![\p{{L}}0-9])",
-    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:(?:{'|'.join(TITLES)})\.? {_WORD}(?:[ -]{_WORD})?|(?:{'|'.join(FIRST_NAMES)})(?: \p{{Lu}}\.)? {_WORD}(?:-{_WORD})?)(?!\p{{L}})",
+    "date": r"(?<![0-9\p{L}./-])(?:(?=[0-9])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?:\.|st|nd|rd|th)? (?:de )?\p{L}{3,10}\.? (?:de )?[0-9]{4})|(?=\p{Lu})\p{Lu}\p{Ll}{2,9}\.? [0-9]{1,2},? [0-9]{4})(?![0-9A-Za-z/-])",
+    "address": rf"(?=[0-9])(?<![0-9A-Za-z.,/-])[0-9]{{1,5}}[A-Za-z]? {_WORD}(?: {_WORD}){{0,3}}(?![\p{{L}}0-9]|,? [0-9]{{4}}(?![0-9]))|(?=\p{{Lu}})(?<![\p{{L}}])(?:{_WORD}[ -]){{0,2}}{_WORD},? [0-9]{{1,4}}[a-z]?(?![\p{{L}}0-9]|[.:/-]?[0-9]|,? [0-9]{{4}}(?![0-9]))|(?=[RrAaCcPp])(?<![\p{{L}}0-9])(?:[Rr]ue|[Aa]venue|[Cc]alle|[Pp]laza) (?:de |du |de la |des |del )?{_WORD}(?: {_WORD})?(?:,? [0-9]{{1,4}})?(?![\p{{L}}0-9])",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}'’])(?:\p{{Lu}}\p{{Ll}}{{1,3}}\. {_NAME}(?:{_NEXT}){{0,3}}|{_NAME}(?:{_NEXT}){{1,3}})(?!\p{{L}})",
 }
 KINDS = (*BASE, *SHAPES)
 
@@ -66,11 +80,13 @@ CUES = {
     "iban": r"(?:iban|account|konto|bank|compte|cuenta|transfer)",
     "date": r"(?:born|birth|dob|geboren|geburt|née? le|naissance|nacid|nacimiento)",
     "address": r"(?:address|lives? (?:at|in)|resid|home|adresse|anschrift|wohn|habite|domicil|vive en|direcci)",
-    "name": r"(?:name|signed|dear|contact|regards|sincerely|author|patient|customer|employee|born|caller|heiß|liebe|appelle|llamo|atentamente|kunde|client)",
+    "name": r"(?:name|signed|dear|contact|regards|sincerely|author|patient|customer|employee|caller|colleague|friend|i am |i'm |mr\.? |mrs\.? |heiß|liebe|appelle|llamo|atentamente|kunde|client)",
 }
 #: Words before a span that speak against personal data of any kind.
 COUNTER_CUES = r"(?:commit|version|isbn|issn|doi|sha1|sha256|md5|checksum|revision|order|invoice|serial|part|http|www|page|model|published|released|updated|since|until|saint|church)"
 
+#: Kinds whose shapes are so loose that a context without any cue or label speaks against them, and an end does not speak for them.
+LOOSE = ("date", "address", "name")
 LABELERS = ("form", "gazetteer", "cue", "counter", "assigned", "make_up", "closed")
 #: The most patterns of votes and features that the classifier is trained on, the frequent ones first.
 MODEL_PATTERNS = 20_000
@@ -151,19 +167,24 @@ def _votes(x: Column) -> Column:
     yes, no = F.lit(True), F.lit(False)
     bad_ssn = m.rlike(r"^(?:000|666|9)|-00-|-0000$")
     year = F.regexp_extract(m, r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1)
-    real_date = m.rlike(r"^(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-]|-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$")
+    month = F.regexp_extract(F.lower(m), r"(\p{L}{3,10})\.? (?:de )?[0-9]", 1)
+    words = (month != "") & (F.regexp_extract(m, r"(?:^|[^0-9])(?:0?[1-9]|[12][0-9]|3[01])(?:[^0-9]|$)", 0) != "")
+    real_date = words | m.rlike(r"^(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-]|-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$")
     form = {
         "secret": (m.rlike(r"^(?:[0-9a-f]{24,}|[0-9A-F]{24,}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20,})$"), m.rlike(r"^[0-9]+$|[-_=/+]{3}")),
         "ssn": (~bad_ssn, bad_ssn), "national_phone": (m.rlike(r"^\(?[2-9][0-9]{2}"), m.rlike(r"^\(?[01]")),
-        "date": (real_date & (year != ""), ~real_date | (year == "")), "address": (m.rlike("^[0-9]|[0-9][a-z]?$"), ~m.rlike("[0-9]")), "name": (m.rlike(r" .* |\."), no),
+        "date": (real_date & (year != ""), ~real_date | (year == "")), "address": (m.rlike("^[0-9]|[0-9][a-z]?$"), ~m.rlike("[0-9]")), "name": (m.rlike(r" .* |\.|-"), m.rlike(r"(?:^|[ -])(\p{L}+)[ -]\1(?:[ -]|$)") | after.rlike(r"^[ -]\p{Lu}")),
     }
     gazetteer = {
         "secret": (_one_of(m, KEY_PREFIXES), _one_of(F.lower(m), EXAMPLES["secret"])), "ssn": (no, _one_of(m, EXAMPLES["ssn"])),
         "national_phone": (no, m.rlike(r"555[ .-]01[0-9]{2}$")), "iban": (no, F.translate(m, " ", "") == EXAMPLES["iban"]),
-        "date": (year.between("1920", "2012"), year > "2020"), "address": (m.rlike(r"(?:Street|Avenue|Road|Boulevard|straße|strasse|[Rr]ue|[Cc]alle)"), no), "name": (m.rlike(rf"(?:^| )(?:{'|'.join(FIRST_NAMES)}) "), no),
+        "date": (year.between("1920", "2012") & ((month == "") | month.isin(MONTHS)), (year > "2020") | ((month != "") & ~month.isin(MONTHS))),
+        "address": (m.rlike(rf" (?:{'|'.join(STREETS)})$|(?:straße|strasse|gasse|weg|platz|allee) |^(?:[Rr]ue|[Cc]alle|[Aa]venue|[Pp]laza) "), m.rlike(rf"^(?:{'|'.join(NO_STREETS)}) ") | F.regexp_extract(F.lower(m), r"(\p{L}+),? ?[0-9]*$", 1).isin(MONTHS)),
+        "name": (m.rlike(rf"(?:^| )(?:{'|'.join(FIRST_NAMES)}) |^(?:{'|'.join(TITLES)})\.? "), m.rlike(rf"(?:^|[ -])(?:{'|'.join(NO_NAMES)})(?:[ -]|$)")),
     }
     make_up = {
         "secret": ((digits >= 4) & (letters >= 2), (digits < 4) | (letters < 2)), "ssn": (yes, no), "national_phone": (yes, no), "iban": (digits >= 10, digits < 10),
+        "address": (no, before.rlike(r"[.!?]\s*$") & m.rlike("^[0-9]+ ")), "name": (no, before.rlike(r"(?:[0-9]|[.!?]['\")]*)\s*$|^$")),
     }
     holds = _iban_holds(m)
     form["iban"] = (holds, ~holds)
@@ -175,11 +196,11 @@ def _votes(x: Column) -> Column:
         return out
 
     cue = F.coalesce(*[F.when(rank == KINDS.index(k), before.rlike(c)) for k, c in CUES.items()])
-    secret = rank == KINDS.index("secret")
+    secret, loose = rank == KINDS.index("secret"), rank.isin([KINDS.index(k) for k in LOOSE])
     votes = {
-        "form": by_kind(form), "gazetteer": by_kind(gazetteer), "cue": _vote(cue, no), "counter": _vote(no, before.rlike(COUNTER_CUES + r"[^=]*$")),
+        "form": by_kind(form), "gazetteer": by_kind(gazetteer), "cue": _vote(cue, loose & ~before.rlike(r"[\p{L}.][:=]\s*$")), "counter": _vote(no, before.rlike(COUNTER_CUES + r"[^=]*$")),
         "assigned": _vote(before.rlike(r"[=:]\s*[\"']?$|[\"']$"), secret & before.rlike(r"[a-z0-9]\s$")), "make_up": by_kind(make_up),
-        "closed": _vote(after.rlike(r"^(?:[\"'.,;:!?)\s]|$)"), after.rlike(r"^[@/#]")),
+        "closed": _vote(~loose & after.rlike(r"^(?:[\"'.,;:!?)\s]|$)"), after.rlike(r"^[@/#]")),
     }
     return F.array(*[votes[name] for name in LABELERS])
 
