@@ -87,6 +87,8 @@ COUNTER_CUES = r"(?:commit|version|isbn|issn|doi|sha1|sha256|md5|checksum|revisi
 
 #: Kinds whose shapes are so loose that a context without any cue or label speaks against them, and an end does not speak for them.
 LOOSE = ("date", "address", "name")
+#: Labelers of which one must vote for a loose shape: without a listed value, a cue or a label it is held to be false.
+SUPPORT = ("gazetteer", "cue", "assigned")
 LABELERS = ("form", "gazetteer", "cue", "counter", "assigned", "make_up", "closed")
 #: The most patterns of votes and features that the classifier is trained on, the frequent ones first.
 MODEL_PATTERNS = 20_000
@@ -170,10 +172,11 @@ def _votes(x: Column) -> Column:
     month = F.regexp_extract(F.lower(m), r"(\p{L}{3,10})\.? (?:de )?[0-9]", 1)
     words = (month != "") & (F.regexp_extract(m, r"(?:^|[^0-9])(?:0?[1-9]|[12][0-9]|3[01])(?:[^0-9]|$)", 0) != "")
     real_date = words | m.rlike(r"^(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-]|-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$")
+    headline = m.rlike(r"(?:^|[ -])(\p{L}+)[ -]\1(?:[ -]|$)") | after.rlike(r"^[ -]\p{Lu}")
     form = {
         "secret": (m.rlike(r"^(?:[0-9a-f]{24,}|[0-9A-F]{24,}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20,})$"), m.rlike(r"^[0-9]+$|[-_=/+]{3}")),
         "ssn": (~bad_ssn, bad_ssn), "national_phone": (m.rlike(r"^\(?[2-9][0-9]{2}"), m.rlike(r"^\(?[01]")),
-        "date": (real_date & (year != ""), ~real_date | (year == "")), "address": (m.rlike("^[0-9]|[0-9][a-z]?$"), ~m.rlike("[0-9]")), "name": (m.rlike(r" .* |\.|-"), m.rlike(r"(?:^|[ -])(\p{L}+)[ -]\1(?:[ -]|$)") | after.rlike(r"^[ -]\p{Lu}")),
+        "date": (real_date & (year != ""), ~real_date | (year == "")), "address": (m.rlike("^[0-9]|[0-9][a-z]?$"), ~m.rlike("[0-9]")), "name": (m.rlike(r" \p{Lu}\. ") & ~headline, headline),
     }
     gazetteer = {
         "secret": (_one_of(m, KEY_PREFIXES), _one_of(F.lower(m), EXAMPLES["secret"])), "ssn": (no, _one_of(m, EXAMPLES["ssn"])),
@@ -252,7 +255,8 @@ def scan(text: Column) -> Column:
 class Model:
     """Weights of the span classifier; without training it adds no span. reliability has the part of each labeler's votes
     that agree with the estimated truth, None where it casts none; shift has what a vote for, none and one against
-    add to the log odds of a span."""
+    add to the log odds of a span. loose is the model of the kinds in LOOSE, which are many and mostly false: estimated with the
+    others, they would turn what a labeler's vote says of these."""
 
     bias: dict[int, float] = field(default_factory=dict)
     yes: list[float] = field(default_factory=lambda: [0.0] * len(LABELERS))
@@ -260,6 +264,8 @@ class Model:
     features: list[list[float]] = field(default_factory=lambda: [[0.0] * n for n in FEATURES])
     reliability: list[float | None] = field(default_factory=list)
     shift: list[tuple[float, float, float]] = field(default_factory=list)
+    support: bool = False
+    loose: Model | None = None
 
     def accepts(self, candidate: Column) -> Column:
         score = F.lit(0.0)
@@ -270,21 +276,25 @@ class Model:
             score = score + F.when(v == 1, F.lit(y)).when(v == -1, F.lit(n)).otherwise(F.lit(0.0))
         for i, weights in enumerate(self.features):
             score = score + F.get(F.array(*[F.lit(w) for w in weights]), F.get(candidate["features"], F.lit(i)))
-        return F.lit(bool(self.bias)) & (score > 0)
+        own = candidate["rank"].isin(list(self.bias)) & (score > 0) if self.bias else F.lit(False)
+        if self.support:
+            own = own & F.exists(F.array(*[F.get(candidate["votes"], F.lit(LABELERS.index(k))) for k in SUPPORT]), lambda v: v == 1)
+        return own | self.loose.accepts(candidate) if self.loose else own
 
 
 #: Votes that each labeler is held to have cast before any data: (against, none, for) on true spans; on false ones reversed.
 PRIOR_VOTES = (0.75, 2.0, 3.0)
 
 
-def estimate(rank: np.ndarray, votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def estimate(rank: np.ndarray, votes: np.ndarray, n: np.ndarray, rounds: int = 100, possible: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(truth, cast): the probability that each pattern (kind rank[i], votes[i] by all labelers, n[i] times) is true, and
     cast[t, l, v], the probability of vote v - 1 of labeler l on spans of truth t.
 
-    Labelers are independent given the truth. Each kind has a prior of its own. The first guess counts votes."""
+    Labelers are independent given the truth. Each kind has a prior of its own. The first guess counts votes.
+    Patterns that are not possible are held to be false."""
     kinds = np.unique(rank)
     before = np.stack([np.tile(PRIOR_VOTES[::-1], (votes.shape[1], 1)), np.tile(PRIOR_VOTES, (votes.shape[1], 1))])
-    truth = 1 / (1 + np.exp(-1.4 * votes.sum(axis=1)))
+    truth = possible / (1 + np.exp(-1.4 * votes.sum(axis=1)))
     is_vote = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     cast = before
     for _ in range(rounds):
@@ -296,7 +306,7 @@ def estimate(rank: np.ndarray, votes: np.ndarray, n: np.ndarray, rounds: int = 1
             of = rank == k
             part = (weight[1, of].sum() + 2) / (n[of].sum() + 4)
             odds[of] += math.log(part / (1 - part))
-        truth = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        truth = possible / (1 + np.exp(-np.clip(odds, -30, 30)))
     return truth, cast
 
 
@@ -306,14 +316,15 @@ def _design(rank: np.ndarray, votes: np.ndarray, features: np.ndarray, kinds: li
     return np.concatenate(parts, axis=1).astype(float)
 
 
-def train(counts: list[tuple[int, tuple[int, ...], tuple[int, ...], int]], ridge: float = 1.0) -> Model:
-    """Model from (rank, votes, features, count) rows: probabilities from their votes, then a classifier that also sees features."""
+def train(counts: list[tuple[int, tuple[int, ...], tuple[int, ...], int]], ridge: float = 1.0, support: bool = False) -> Model:
+    """Model from (rank, votes, features, count) rows: probabilities from their votes, then a classifier that also sees features.
+    With support, one of the labelers in SUPPORT must vote for a span."""
     if not counts:
-        return Model()
+        return Model(support=support)
     rank, n = np.array([r for r, *_ in counts]), np.array([float(c) for *_, c in counts])
     votes, features = np.array([v for _, v, _, _ in counts]), np.array([f for _, _, f, _ in counts])
     patterns, at = np.unique(np.c_[rank, votes], axis=0, return_inverse=True)
-    truth, cast = estimate(patterns[:, 0], patterns[:, 1:], np.bincount(at.ravel(), n))
+    truth, cast = estimate(patterns[:, 0], patterns[:, 1:], np.bincount(at.ravel(), n), possible=(patterns[:, [1 + LABELERS.index(k) for k in SUPPORT]] == 1).any(axis=1) | (not support))
     y = truth[at.ravel()]
     kinds = sorted(set(rank.tolist()))
     x = _design(rank, votes, features, kinds)
@@ -330,7 +341,7 @@ def train(counts: list[tuple[int, tuple[int, ...], tuple[int, ...], int]], ridge
     shift = np.log(cast[1]) - np.log(cast[0])
     ends = np.cumsum([len(kinds), width, width, *FEATURES])
     bias, yes, no, *rest = (v.round(9).tolist() for v in np.split(w, ends[:-1]))
-    return Model(dict(zip(kinds, bias, strict=True)), yes, no, rest, right, [tuple(r[::-1]) for r in shift.round(6).tolist()])
+    return Model(dict(zip(kinds, bias, strict=True)), yes, no, rest, right, [tuple(r[::-1]) for r in shift.round(6).tolist()], support)
 
 
 def fit(candidates: DataFrame, maybe: str = "maybe", patterns: int = MODEL_PATTERNS) -> Model:
@@ -338,7 +349,11 @@ def fit(candidates: DataFrame, maybe: str = "maybe", patterns: int = MODEL_PATTE
     is more than texts are known to have, the rarest are left out of training (no span is left out of the decision)."""
     counts = candidates.select(F.explode(maybe).alias("c")).groupBy("c.rank", "c.votes", "c.features").count()
     found = counts.orderBy(F.desc("count"), "rank", "votes", "features").limit(patterns).collect()
-    return train(sorted((r["rank"], tuple(r["votes"]), tuple(r["features"]), r["count"]) for r in found))
+    rows = sorted((r["rank"], tuple(r["votes"]), tuple(r["features"]), r["count"]) for r in found)
+    loose = {KINDS.index(k) for k in LOOSE}
+    model = train([r for r in rows if r[0] not in loose])
+    model.loose = train([r for r in rows if r[0] in loose], support=True)
+    return model
 
 
 def spans(found: Column, model: Model) -> Column:

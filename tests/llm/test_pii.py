@@ -254,4 +254,17 @@ def test_precision_and_recall_of_unlisted_values(spark, capsys):
             print(f"\nop7, unlisted {kind}: precision {len(g & w) / max(1, len(g)):.3f}, recall {len(g & w) / len(w):.3f} of {len(w)}", end="")
         print(f"\nop7, unlisted: precision {len(got & want) / len(got):.3f}, recall {len(got & want) / len(want):.3f} of {len(want)}; reliability {dict(zip(pii.LABELERS, model.reliability, strict=True))}")
     assert len(got & want) / len(got) >= 0.8 and len(got & want) / len(want) >= 0.8
-    assert all(r is not None for r in model.reliability)
+    can = [*range(len(pii.LABELERS) - 1)]  # an end of text speaks against a loose shape only
+    assert all(model.loose.reliability[i] is not None for i in can) and model.reliability[-1] is not None
+
+
+def test_loose_shapes_do_not_turn_the_votes_of_others(spark):
+    """Thousands of capitalised runs without any cue neither become names nor make numbers secrets."""
+    rng = random.Random(5)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    number = lambda: next(d for d in iter(lambda: f"98{rng.randint(10**13, 10**14 - 1)}", "") if not luhn(d))
+    texts = [f'here token = "{key()}" ends' for _ in range(60)] + [f"was lost {number()} again" for _ in range(60)]
+    texts += ["Orre Orre Orre Orre. Then Willow Stones went to Mill Harbour Row Quarry Abbey " * 30] * 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, model = pii.find(docs)
+    assert {r["doc_id"]: len(r["spans"]) for r in found.collect()} == {i: int(i < 60) for i in range(180)}
