@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.llm import alignment, archive, block_search, centroids, chat, html_crf, licenses, lz_fingerprint, mixing, near_dup, packing, pii, quality
@@ -83,7 +83,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("bigint").alias(f"n_{k}") for r, k in enumerate(pii.BASE)]
+
+    def count(rank: int) -> Column:
+        # The lambda has one parameter: to a second one, with a default or not, Spark gives the span's place in the array.
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("bigint")
+
+    counts = [count(r).alias(f"n_{k}") for r, k in enumerate(pii.BASE)]
     return found.select("doc_id", *counts, F.sha2(pii.show(F.col("base")), 256).alias("base_sha256"), pii.show(F.col("spans")).alias("spans"))
 
 

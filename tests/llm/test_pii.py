@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexivec.llm import pii
 from lexivec.llm.common import running_sums
+from lexivec.llm.queries import op7_pii
 
 
 def luhn(d):
@@ -43,6 +45,20 @@ def test_base_spans_match_brute_force(spark):
         assert spans == brute("a@b.c" if i is None else texts[i])
 
 
+def test_query_counts_kinds_wherever_they_stand(spark, tmp_path):
+    mixed = ["a@b.co c@d.co é a@b.co", "10.0.0.1", "4111 1111 1111 1111", "+1 (555) 123-4567", "😀 +1 (555) 123-4567, 1.2.3.4; 4111111111111111 a@b.co 1.2.3.4 c@d.co"]
+    texts = CASES + mixed + [" ".join(mixed) * 50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op7_pii(spark, str(tmp_path)).collect()}
+    assert got.keys() == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        want, row = brute(t), got[i]
+        shown = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want]
+        assert [row[c] for c in ("n_email", "n_ip", "n_card", "n_phone")] == [sum(k == rank for _, k, _ in want) for rank in range(4)]
+        assert row["base_sha256"] == hashlib.sha256(",".join(shown).encode()).hexdigest()
+        assert [s for s in row["spans"].split(",") if s.split(":")[0] in pii.BASE] == shown
+
+
 def test_labelers_vote_and_clean_texts_stay(spark):
     rng = random.Random(2)
     secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
