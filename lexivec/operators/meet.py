@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, FractionalType, IntegralType
 
@@ -15,6 +16,8 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, FractionalType,
 SLICE = 256
 #: Rows that are asked at once.
 BATCH = 2048
+#: Bytes of a batch of long rows that goes to Python.
+BATCH_BYTES = 4 << 20
 
 
 class Visitor(Protocol):
@@ -25,6 +28,18 @@ class Visitor(Protocol):
     def ask(self, rows: pd.DataFrame) -> pd.DataFrame: ...
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run within it pass rows to Python in batches of about BATCH_BYTES, of which executor and task hold several copies."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def partitions_of(df: DataFrame) -> int:
     """The number of partitions that the session shuffles into."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from lexivec.config import DEFAULT, Config
 from lexivec.functions import text as T
 from lexivec.operators.index import BLOCK, UNIT, SparseIndex, build_index
-from lexivec.operators.meet import meet, partitions_of
+from lexivec.operators.meet import meet, partitions_of, small_batches
 from lexivec.operators.vector_store import Scan
 from lexivec.sources.folders import materialize, new_folder
 
@@ -191,7 +191,8 @@ def bm25_top(questions: DataFrame, sparse: SparseIndex | DataFrame, n: int | Non
     heavy = Window.partitionBy("qid").orderBy(F.col("most").desc(), "term").rowsBetween(Window.unboundedPreceding, -1)
     terms = materialize(_weighed(questions, sparse).withColumn("heavier", F.coalesce(F.sum("df").over(heavy), F.lit(0))))
     lowest = sparse.terms.agg(F.min("idf")).first()[0] or 0.0
-    first = _summed(terms.where((F.col("heavier") < LEADING_POSTINGS * n) & F.lit(lowest >= 0)), sparse)
+    leading = materialize(terms.where((F.col("heavier") + F.col("df") <= LEADING_POSTINGS * n) & F.lit(lowest >= 0)))
+    first = _summed(leading, sparse)
     bound = top(first, n, F.col("units").desc(), F.col("segment"), F.col("doc")).where((F.col("rank") == n) & (F.col("units") > 0)).select("qid", F.col("units").alias("bound"))
     lists = terms.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "times", "idf"))).alias("t"))
     asking = lists.join(bound, "qid", "left").select(
@@ -202,7 +203,8 @@ def bm25_top(questions: DataFrame, sparse: SparseIndex | DataFrame, n: int | Non
     segments = sparse.postings.join(terms.select("qid", "term"), "term").select("segment", "qid").distinct()
     kind = questions.schema["qid"].dataType.simpleString()
     met = meet(held, materialize(segments.join(asking, "qid")), "segment", lambda: SegmentScorer(n), f"segment bigint, qid {kind}, doc int, units bigint, blocks_read bigint, scored bigint")
-    met = materialize(met)
+    with small_batches(questions.sparkSession):
+        met = materialize(met)
     if report is not None:
         report.append(met)
     scored = _keyed(met.where("doc >= 0"), sparse)

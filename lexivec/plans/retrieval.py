@@ -242,7 +242,7 @@ def q_bm25_topn(spark: SparkSession, sf: str) -> DataFrame:
 SELECT item_id, doc_id AS chunk_id, rank, round(score, 6) AS score FROM sparse""")
 def q_bm25_windows(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 lists of token windows in place of whole documents."""
-    cut = _window_chunks(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("chunk_id").alias("key"), "text")
+    cut = windows(spark, sf).select(F.col("chunk_id").alias("key"), "tokens")
     return ranked(retrieve.bm25_top(questions(spark, sf), stored(spark, sf, "windows", cut, index.build_index))).withColumnRenamed("doc_id", "chunk_id")
 
 

@@ -106,6 +106,51 @@ def test_blocks_at_the_edge_of_two_parts_are_merged():
     assert docs.tolist() == [3, 5] and (units * index.UNIT).round(9).tolist() == [6.0, 4.0] and (read, scored) == (2, 4)
 
 
+def test_index_of_texts_or_tokens_in_segments_of_many_postings(spark, tmp_path, monkeypatch):
+    """Weights and keys are those of the formula, with texts that are null or empty at any place, whatever ends a segment; a term is one row of a segment, though its
+    chunks came in many parts, and its chunks are in the order of their keys."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(90)], rng.integers(0, 12))) for _ in range(2600)]
+    docs = [(f"{(i * 7919) % 2600}#{i % 3:04}", None if i % 7 == 0 or i == 1500 else t) for i, t in enumerate(texts)]
+    tok = {k: t.split() for k, t in docs if t is not None}
+    avg = np.mean([len(t) for t in tok.values()])
+    want = {(w, k): tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avg)) for k, t in tok.items() for w, tf in Counter(t).items()}
+    chunks = spark.createDataFrame(docs, "key string, text string").coalesce(1)
+    tokened = index.chunk_tokens(chunks, "key")
+    for rows, segment, postings, least in ((chunks, 1 << 16, 1 << 20, 1), (tokened, 1 << 16, 1 << 20, 1), (tokened, 700, 1 << 20, 4), (tokened, 1 << 16, 3000, 3)):
+        monkeypatch.setattr(index, "SEGMENT", segment)
+        monkeypatch.setattr(index, "POSTINGS", postings)
+        stored = index.build_index(rows, str(tmp_path / "index"))
+        keys = {(r["segment"], r["doc"]): r["key"] for r in stored.keys.collect()}
+        found = stored.postings.collect()
+        assert sorted(keys.values()) == sorted(k for k, _ in docs) and (stored.n, stored.avgdl) == (2600, pytest.approx(avg))
+        assert len({r["segment"] for r in found}) >= least and len({(r["segment"], r["term"]) for r in found}) == len(found)
+        for s in {s for s, _ in keys}:
+            mine = [keys[s, d] for d in range(sum(x == s for x, _ in keys))]
+            assert mine == sorted(mine)
+        got = {(r["term"], keys[r["segment"], d]): w for r in found for d, w in zip(r["docs"], r["weights"], strict=True)}
+        assert got.keys() == want.keys() and np.allclose([got[x] for x in want], list(want.values()))
+        for r in found:
+            blocks = {}
+            for d, w in zip(r["docs"], r["weights"], strict=True):
+                blocks[d // index.BLOCK] = max(w, blocks.get(d // index.BLOCK, 0))
+            assert (r["docs"], r["df"], r["most"]) == (sorted(r["docs"]), len(r["docs"]), max(r["weights"])) and dict(zip(r["blocks"], r["maxima"], strict=True)) == blocks
+        df = Counter(w for w, _ in want)
+        assert {r["term"]: r["df"] for r in stored.terms.collect()} == df
+
+
+def test_the_bound_reads_few_postings_of_frequent_terms(spark, tmp_path, monkeypatch):
+    """A question's leading terms are left out where they are frequent, so that the bound does not read a part of the corpus for each question; lists are the same."""
+    docs = [(i, f"common{i % 3} rare{i % 40} other") for i in range(400)]
+    asked = [(0, "common0"), (1, "common1 rare1"), (2, "rare3 rare4")]
+    stored, seen, summed = index.build_index(spark.createDataFrame(docs, "key long, text string"), str(tmp_path / "index")), [], retrieve._summed
+    monkeypatch.setattr(retrieve, "_summed", lambda terms, sparse: seen.append(terms.groupBy("qid").agg({"df": "sum"}).collect()) or summed(terms, sparse))
+    got = lists(retrieve.bm25_top(spark.createDataFrame(asked, "qid long, question string"), stored, 3))
+    for qid, q in asked:
+        assert [k for k, _ in got[qid]] == [k for k, _ in bm25(q, docs, 3)]
+    assert seen and all(r["sum(df)"] <= 3 * retrieve.LEADING_POSTINGS for x in seen for r in x)
+
+
 def test_stored_vectors(spark, tmp_path, monkeypatch):
     """Lists of the stored index are those of the scan, with hot copies, keys of text and few or many places."""
     rng = np.random.default_rng(9)
