@@ -73,7 +73,7 @@ class SparseIndex:
 #: Chunks whose terms a task counts at once.
 PART = 1 << 10
 #: A segment is closed once it has so many postings, which bounds what a task holds while it gathers one.
-POSTINGS = 6 << 20
+POSTINGS = 4 << 20
 #: Terms, and about as many postings, of a batch that a task passes on.
 FRAME, FRAME_POSTINGS = 20_000, 1 << 18
 
@@ -128,8 +128,11 @@ class _Run:
         rank, vocabulary = rank[_numbers(every.indices)], every.dictionary.take(pa.array(by_term))
         terms, docs, tfs = (np.concatenate(x) for x in zip(*self.postings, strict=True))
         self.postings, terms, docs = [], rank[terms], place[docs]
-        order = np.argsort(terms * self.n + docs)
         offsets = np.append(0, np.cumsum(np.bincount(terms, minlength=len(vocabulary))))
+        terms *= self.n
+        terms += docs
+        order = np.argsort(terms)
+        del terms, rank, every
         docs, tfs, dl, at = docs[order], tfs[order], _numbers(lengths.fill_null(0)), 0
         while at < len(vocabulary):
             end = min(at + FRAME, max(at + 1, int(np.searchsorted(offsets, offsets[at] + FRAME_POSTINGS, side="right")) - 1))

@@ -24,6 +24,8 @@ from lexivec.sources.folders import materialize, new_folder
 QUESTION_BLOCK, BLOCK_BYTES, VECTORS = 4096, 64 << 20, 65_536
 #: The leading terms of a question have about so many postings for each chunk that is asked for.
 LEADING_POSTINGS = 20
+#: Scores that differ by fewer units can be equal once they are rounded, and one of more is above 0.
+SLACK = int(1.1e-9 / UNIT)
 
 
 def top(scored: DataFrame, n: int, *order: Column, by: str = "qid", rank: str = "rank") -> DataFrame:
@@ -67,8 +69,7 @@ class SegmentScorer:
 
     def __init__(self, n: int):
         self.n, self.lists = n, {}
-        # Scores that differ by less can be equal once they are rounded.
-        self.slack = int(1.1e-9 / UNIT)
+        self.slack = SLACK
 
     def hold(self, rows: pd.DataFrame) -> None:
         for term, docs, weights, blocks, maxima in rows.itertuples(index=False, name=None):
@@ -92,7 +93,7 @@ class SegmentScorer:
 
     def best(self, terms, times, idfs, bound: int | None) -> tuple[np.ndarray, np.ndarray, int, int]:
         """(chunks, units, blocks read, chunks scored): those that can be among the n best of all segments, and all that match
-        where fewer than n of them have a score of 0 or more."""
+        where fewer than n of them have a score above 0."""
         found = [(*self.lists[t], i, int(k)) for t, k, i in zip(terms, times, idfs, strict=True) if t in self.lists]
         none = np.zeros(0, np.int64)
         if not found:
@@ -159,7 +160,7 @@ class SegmentScorer:
             values = np.concatenate([values, sums[chosen]])
             if len(values) >= self.n:
                 nth = int(np.partition(values, len(values) - self.n)[len(values) - self.n])
-                if nth >= 0:
+                if nth > self.slack:
                     low = nth if low is None else max(low, nth)
         if low is not None:
             near = values >= low - self.slack
@@ -177,8 +178,8 @@ def bm25_top(questions: DataFrame, sparse: SparseIndex | DataFrame, n: int | Non
     """(qid, key, rank, score), n for each question, from an index or from chunks (key, text), of which one is built first
     in the shared folder.
 
-    A question with fewer matches of score 0 or more is filled up with chunks of score 0 in canonical order; matches with a
-    negative score rank after these.
+    A question with fewer matches of a score above 0 is filled up with chunks of score 0 in canonical order, whether they match or
+    not; matches with a negative score rank after these.
 
     The n-th best sum over a question's weightiest terms is a bound that every chunk of its list reaches. Questions then meet
     the postings of their terms segment by segment, where blocks of chunks are read in the order of the sums of their maxima until
@@ -193,7 +194,7 @@ def bm25_top(questions: DataFrame, sparse: SparseIndex | DataFrame, n: int | Non
     lowest = sparse.terms.agg(F.min("idf")).first()[0] or 0.0
     leading = materialize(terms.where((F.col("heavier") + F.col("df") <= LEADING_POSTINGS * n) & F.lit(lowest >= 0)))
     first = _summed(leading, sparse)
-    bound = top(first, n, F.col("units").desc(), F.col("segment"), F.col("doc")).where((F.col("rank") == n) & (F.col("units") > 0)).select("qid", F.col("units").alias("bound"))
+    bound = top(first, n, F.col("units").desc(), F.col("segment"), F.col("doc")).where((F.col("rank") == n) & (F.col("units") > SLACK)).select("qid", F.col("units").alias("bound"))
     lists = terms.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "times", "idf"))).alias("t"))
     asking = lists.join(bound, "qid", "left").select(
         "qid", F.col("t.term").alias("terms"), F.col("t.times").alias("times"), F.col("t.idf").alias("idfs"), F.coalesce("bound", F.lit(0)).alias("bound"), F.col("bound").isNotNull().alias("bounded")
@@ -208,7 +209,7 @@ def bm25_top(questions: DataFrame, sparse: SparseIndex | DataFrame, n: int | Non
     if report is not None:
         report.append(met)
     scored = _keyed(met.where("doc >= 0"), sparse)
-    filled = asked.join(scored.groupBy("qid").agg(F.count("*").alias("matched"), F.count_if(F.col("score") >= 0).alias("good")), "qid", "left").select("qid", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("matched", "good")])
+    filled = asked.join(scored.groupBy("qid").agg(F.count("*").alias("matched"), F.count_if(F.col("score") > 0).alias("good")), "qid", "left").select("qid", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("matched", "good")])
     short = filled.where(F.col("good") < n)
     depth = short.agg(F.max("matched")).first()[0]
     if depth is not None:

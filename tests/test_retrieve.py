@@ -205,6 +205,15 @@ def test_negative_scores_rank_below_padding(spark):
     assert [k for k, _ in got[0]] == [3, 0, 1, 2] and got[0][1][1] < 0
 
 
+def test_matches_of_score_zero_tie_with_chunks_that_do_not_match(spark):
+    """Half of all chunks have the term, which so weighs nothing: the list is the first chunks, as it is by SQL."""
+    docs = [(i, f"half{i % 2} rare{i % 40}") for i in range(200)]
+    asked = [(0, "half0"), (1, "half1 half0"), (2, "half1 rare2")]
+    got = lists(retrieve.bm25_top(spark.createDataFrame(asked, "qid long, question string"), spark.createDataFrame(docs, "key long, text string"), 8))
+    for qid, q in asked:
+        assert [k for k, _ in got[qid]] == [k for k, _ in bm25(q, docs, 8)]
+
+
 def test_dense(tables):
     got = lists(retrieve.dense_top(tables["question_vectors"], tables["vectors"], 7))
     scores = np.round(tables["vec"][:3] @ tables["vec"].T, 9)
